@@ -32,18 +32,18 @@ class PieceCache:
     """Ids of the words of texts. A word stands after `rest`, a text's first word after `first`; words are what lies between single spaces.
 
     encode_many: list of pieces -> (flat ids, number of ids per piece). A word that begins or ends with white space (or is empty, or that `unsafe`
-    finds) may belong together with its neighbours: its text is cut at SAFE_CUT only. The cache is begun anew beyond `limit` pieces or `8 * limit`
+    finds) may belong together with its neighbours: its text is cut at SAFE_CUT only; not so if words never do (`apart`). The cache is begun anew beyond `limit` pieces or `8 * limit`
     ids, so its memory is bounded."""
 
-    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], first: str, rest: str, unsafe: re.Pattern | None = None, limit: int = 1_500_000):
-        self.encode_many, self.first, self.rest, self.unsafe, self.limit = encode_many, first, rest, unsafe, limit
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], first: str, rest: str, unsafe: re.Pattern | None = None, limit: int = 1_500_000, apart: bool = False, dtype: str = "u4"):
+        self.encode_many, self.first, self.rest, self.unsafe, self.limit, self.apart, self.dtype = encode_many, first, rest, unsafe, limit, apart, dtype
         self._fresh()
 
     def _fresh(self) -> None:
         self.slots = _Slots()
         self.starts = np.zeros(1 << 16, "i8")
         self.lengths = np.zeros(1 << 16, "i4")  # -1: its text must be cut otherwise
-        self.pool = np.zeros(1 << 18, "u4")
+        self.pool = np.zeros(1 << 18, self.dtype)
         self.used = 0
 
     def _encode_waiting(self) -> None:
@@ -55,7 +55,7 @@ class PieceCache:
         at = n - len(waiting)
         for a in range(0, len(waiting), 20_000):
             some = waiting[a : a + 20_000]
-            good = np.fromiter((bool(w) and not w[0].isspace() and not w[-1].isspace() and (self.unsafe is None or self.unsafe.search(w) is None) for w in some), bool, len(some))
+            good = np.ones(len(some), bool) if self.apart else np.fromiter((bool(w) and not w[0].isspace() and not w[-1].isspace() and (self.unsafe is None or self.unsafe.search(w) is None) for w in some), bool, len(some))
             flat, counts = self.encode_many([self.rest + w for w, ok in zip(some, good.tolist(), strict=True) if ok])
             lengths = np.full(len(some), -1, "i4")
             lengths[good] = counts
@@ -73,7 +73,7 @@ class PieceCache:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids per text)."""
         if not texts:
-            return np.zeros(0, "u4"), np.zeros(0, "i8")
+            return np.zeros(0, self.dtype), np.zeros(0, "i8")
         if len(self.slots) > self.limit or self.used > 8 * self.limit:
             self._fresh()
         get = self.slots.__getitem__
@@ -165,3 +165,28 @@ def byte_pair_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 def word_pair_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids by a BPE file with word ends, which drops white space: words stand alone."""
     return library_cache(path, "").encode(texts.to_pylist())
+
+
+def term_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all terms, number of terms per text). Terms are runs of letters and digits, lower-cased."""
+
+    def make() -> PieceCache:
+        import xxhash
+
+        find = re.compile(r"[^\W_]+").findall
+
+        def encode_many(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            lists = [[xxhash.xxh64_intdigest(t) for t in find(w.lower())] for w in words]
+            counts = np.fromiter(map(len, lists), "i8", len(lists))
+            return np.fromiter((h for x in lists for h in x), "u8", int(counts.sum())), counts
+
+        return PieceCache(encode_many, "", "", apart=True, dtype="u8")
+
+    return cached(("terms",), make).encode(texts)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64, over an array of 64-bit hashes."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
