@@ -8,11 +8,13 @@ from larderflow.llm.piece_bpe import op9_sentencepiece
 from larderflow.llm.token_shards import op4_token_shards
 from larderflow.llm.toxicity import op1_toxicity
 from larderflow.llm.url_filter import op5_url_filter
+from larderflow.llm.voronoi import ORACLE as TOP_K_ORACLE
+from larderflow.llm.voronoi import op8_voronoi_top_k
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_imatch": op2_imatch, "op4_token_shards": op4_token_shards, "op5_url_filter": op5_url_filter, "op7_best_fit": op7_best_fit, "op9_sentencepiece": op9_sentencepiece}
+    return {"op1_toxicity": op1_toxicity, "op2_imatch": op2_imatch, "op4_token_shards": op4_token_shards, "op5_url_filter": op5_url_filter, "op7_best_fit": op7_best_fit, "op8_voronoi_top_k": op8_voronoi_top_k, "op9_sentencepiece": op9_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_voronoi_top_k": TOP_K_ORACLE}
