@@ -10,9 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that one Python step works on at a time; a longer single text is its own step.
 STEP_BYTES = 4 << 20
+#: log2 of the bits of the filter that keeps rows without a partner out of a join.
+FILTER_BITS = 24
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -89,3 +92,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_or_empty() -> F.Column:
     return F.coalesce(F.col("text"), F.lit("")).alias("text")
+
+
+def sieved(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with _touched: false for those whose keys are surely not in found (a join would only carry their texts about), true for the rest.
+
+    The filter has a fixed 2 ** FILTER_BITS bits, 2 MB, whatever the number of keys: filled up, it lets every row pass to the join, which decides."""
+    bit = F.pmod(F.xxhash64(*keys), F.lit(1 << FILTER_BITS))
+    words = found.select(bit.alias("b")).distinct().groupBy((F.col("b") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), "i8")
+    bits[words["w"].to_numpy("i8")] = words["bits"].to_numpy("i8")
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def sieve(batches):
+        for batch in batches:
+            key = batch.column("_bit").to_numpy(zero_copy_only=False)
+            hit = (held.value[key >> 6] >> (key & 63)) & 1 == 1
+            columns = [batch.column(c) for c in batch.schema.names if c != "_bit"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(hit)], [*(c for c in batch.schema.names if c != "_bit"), "_touched"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("_touched", T.BooleanType())])
+    return rows.withColumn("_bit", bit).mapInArrow(sieve, schema)
+
+
+def repeated_ids(docs: DataFrame) -> bool:
+    """Whether two rows have the same doc_id."""
+    return bool(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count())

@@ -21,15 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from larderflow.llm.common import documents, materialised, steps
+from larderflow.llm.common import documents, materialised, repeated_ids, sieved, steps
 from larderflow.llm.words import cached, mix
 
 WIDTH = 13
 #: Reference words of a shard, and words that one task streams against it, on average.
 SHARD_WORDS = 65_536
 ASKED_WORDS = 524_288
-#: log2 of the bits of a filter of fixed size that keeps documents without an answer out of a join.
-FILTER_BITS = 24
 REM = 5
 
 
@@ -145,8 +143,7 @@ def _runs(at: np.ndarray, *by: np.ndarray) -> list[tuple[int, int]]:
 
 def _tagged(docs: DataFrame) -> DataFrame:
     """Adds tag: 0, but for rows that repeat a doc_id with another text."""
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not repeated:
+    if not repeated_ids(docs):
         return docs.withColumn("tag", F.lit(0))
     return docs.withColumn("tag", F.when(F.col("doc_id").isNull(), 0).otherwise(F.dense_rank().over(Window.partitionBy("doc_id").orderBy("text")) - 1).cast("int"))
 
@@ -235,15 +232,6 @@ def answers(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartitionById(parts, F.col("part")).mapInArrow(solve, "doc_id long, tag int, part int, later binary, first binary, owners binary")
 
 
-def _filter(found: DataFrame) -> np.ndarray:
-    """Which of 2 ** FILTER_BITS hash values the found documents have: of fixed size; full, it lets every document pass."""
-    bit = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(1 << FILTER_BITS))
-    rows = found.select("doc_id", "tag").distinct().select(bit.alias("b")).groupBy((F.col("b") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), "i8")
-    out[rows["w"].to_numpy("i8")] = rows["bits"].to_numpy("i8")
-    return out
-
-
 def removals(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(plain, touched, lost): docs with a tag, split into those that lose nothing and those that may; lost has doc_id, tag and the spans of words, an
     array<struct<a, b>>, that go."""
@@ -251,17 +239,7 @@ def removals(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame,
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = _tagged(docs)
     found = materialised(answers(window_rows(docs, parts, width), parts), "substring-answers")
-    held = spark.sparkContext.broadcast(_filter(found))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_touched", T.BooleanType())])
-
-    def sieve(batches):
-        for batch in batches:
-            key = batch.column("_bit").to_numpy(zero_copy_only=False)
-            hit = (held.value[key >> 6] >> (key & 63)) & 1 == 1
-            batch = batch.drop_columns(["_bit"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], schema=pa.schema([*batch.schema, pa.field("_touched", pa.bool_())]))
-
-    marked = docs.withColumn("_bit", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(1 << FILTER_BITS))).mapInArrow(sieve, schema)
+    marked = sieved(docs, found, ["doc_id", "tag"])
     plain = marked.filter("not _touched").drop("_touched")
     touched = materialised(marked.filter("_touched").drop("_touched"), "substring-touched")
 
