@@ -409,3 +409,31 @@ def k03_status_ladder(spark, d):
     """The first rule that holds decides."""
     status = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25), "missing").when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N"), "ordered").when(F.col("l_returnflag") == "A", "received").when(F.col("l_discount") == 0, "nothing_needed").otherwise("needs_review")
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", status.alias("status"))
+
+
+@query("""SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def l01_stream_equals_batch(spark, d):
+    """The latest status of each key, drained through a stream."""
+    from larderflow.streaming import logs
+
+    schema = table(spark, d, "events").schema
+    return logs.drained(logs.latest_status(logs.feed(spark, f"{d}/event[s].parquet", schema), "user_id", "ts", "event_id", "event_type"), "latest", "complete")
+
+
+@query("""WITH c AS (SELECT event_id AS seq, user_id || '-' || json_extract_string(props, '$.k') AS operation, event_type AS request FROM events)
+SELECT seq, CASE WHEN row_number() OVER w = 1 THEN 'accepted' WHEN request = first_value(request) OVER w THEN 'replayed' ELSE 'conflict' END AS outcome FROM c WINDOW w AS (PARTITION BY operation ORDER BY seq)""")
+def l03_dedup_conflict(spark, d):
+    from larderflow.streaming import logs
+
+    e = table(spark, d, "events")
+    return logs.commands_batch(e.select(F.col("event_id").alias("seq"), F.concat_ws("-", F.col("user_id").cast("string"), F.get_json_object("props", "$.k")).alias("operation"), F.col("event_type").alias("request")))
+
+
+@query("""SELECT batch, started FROM (SELECT user_id AS batch, ts AS started, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events)
+WHERE rn = 1 AND event_type = 'click' AND started < TIMESTAMP '2024-01-30 23:00:00' - INTERVAL 150 SECOND""")
+def l05_timeout(spark, d):
+    from larderflow.streaming import logs
+
+    status = F.when(F.col("event_type") == "click", "dispatch_started").otherwise(F.col("event_type"))
+    log = table(spark, d, "events").select(F.col("user_id").alias("batch"), F.col("event_id").alias("id"), status.alias("status"), F.col("ts").alias("at"))
+    return logs.overdue(log, F.lit("2024-01-30 23:00:00").cast("timestamp_ntz")).withColumnRenamed("at", "started")
