@@ -123,8 +123,7 @@ def with_following(docs: DataFrame, step, schema: str) -> DataFrame:
     targets = sorted(before)
     jump = F.lit(-1)
     if targets:
-        found = F.when(F.col("k").isin(targets), _between(F.col("k"), targets))
-        jump = F.coalesce(F.element_at(F.array(*[F.lit(before[t]) for t in targets]), found), F.lit(-1))
+        jump = F.when(F.col("k").isin(targets), F.element_at(F.array(*[F.lit(before[t]) for t in targets]), _between(F.col("k"), targets))).otherwise(-1)
     rows = docs.select("doc_id", text_or_empty(), key.alias("k")).withColumn("at", place)
     rows = rows.withColumn("to", F.when(jump >= 0, F.array(F.struct("at", F.lit(False).alias("extra")), F.struct(jump.alias("at"), F.lit(True).alias("extra")))).otherwise(F.array(F.struct("at", F.lit(False).alias("extra")))))
     rows = rows.select("doc_id", "text", "k", F.explode("to").alias("to")).select("doc_id", "text", "k", "to.*")
