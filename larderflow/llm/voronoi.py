@@ -82,7 +82,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
     for c, _, high in reach.itertuples(index=False):
         upper = np.sort(high + between[c, ranked["cell"].to_numpy()] + ranked["d"].to_numpy())  # of distances from any query of the cell
         k_th = upper[near - 1] if near == k + 1 and len(upper) >= near else np.inf
-        need[c] = between[c] - high - k_th - slack
+        need[c] = np.maximum(between[c] - high - k_th - slack, 0)
         for cell, _, low, far in summary.itertuples(index=False):
             # a vector is at least |pivots| - |query, pivot| - |s, pivot| or |s, pivot| - |pivots| - |query, pivot| away
             if far < need[c, cell] or low - between[c, cell] - high > k_th + slack:
