@@ -18,7 +18,7 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 #: Labelled URLs to learn from: host names as they are registered, often several words written as one.
 BLOCKED = """casinowin.com/slots free-bets.net/jackpot onlinecasino.com/bonus bestpokerbets.com/win winbigcasino.org/free betting-tips.net/odds cheappills.com/viagra
-cheap-pills.net/order buypillsonline.com/discount pharmacypills.org/cheap adultdating.com/free adult-cams.net/live xxxadult.org/videos adultxvideos.com/x spamfarm.com/links
+cheap-pills.net/order buypillsonline.com/discount pharmacypills.org/cheap adultdating.com/free adult-cams.net/live xxxadult.org/videos adultvideos.com/watch spamfarm.com/links
 spam-links.net/farm linkfarm.org/spam ads-track.com/click adstracker.net/pixel trackingads.com/click clickads.org/banner freeprizewin.com/claim win-free-phone.net/prize
 cheapwatches.org/replica replicabags.com/sale loansfast.com/cash paydayloans.net/cash hotgirls.com/adult freespins.net/casino luckyslots.com/spins popupads.net/track
 cheapmeds.com/pills malwarefree.org/download crackedsoft.net/keygen torrentfree.com/warez escortsonline.com/adult gamblingwin.net/bets spamblast.org/mail""".split()
@@ -30,7 +30,7 @@ sportnews.net/football theatretickets.com/show filmreview.org/cinema artmuseum.o
 #: Words beside those of the labelled URLs that names are split into.
 WORDS = """the and for with from about this that best free online home world news city daily open book books school guide game games shop store market music video videos photo health
 food travel car house garden sport science history art film cinema map maps forum blog mail web page pages site link links farm spam ads track tracker tracking click casino
-slot slots poker bet bets betting win winner bonus jackpot lucky cheap pills pill meds pharmacy adult dating cams live x xxx prize claim loan loans cash payday replica sale spin spins
+slot slots poker bet bets betting win winner bonus jackpot lucky cheap pills pill meds pharmacy adult dating cams live xxx prize claim loan loans cash payday replica sale spin spins
 gambling discount order buy fast hot phone watch watches""".split()
 #: Prior odds of "block".
 PRIOR = 0.2
