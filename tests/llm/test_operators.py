@@ -1,0 +1,461 @@
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from larderflow.llm import imatch, lsh_forest, packing, piece_bpe, secrets, substring, token_shards, toxicity, url_filter, voronoi
+from larderflow.llm.common import shared_dir
+from tests.llm.helpers import empty, rows, table, words
+
+
+def tuples(df):
+    return [tuple(r) for r in df.collect()]
+
+
+# toxicity
+
+
+def toxic_corpus(n):
+    r = random.Random(3)
+    out = []
+    for i in range(n):
+        text = words(100 + i, 60).split()
+        bad = i % 5 == 0
+        if bad:
+            for w in r.sample(["grobian", "wretch", "oaf", "lout"], 3):
+                text.insert(r.randrange(60), w)
+        out.append((i, " ".join(text), int(bad)))
+    return out
+
+
+def test_toxicity_is_learned_from_rows_that_are_not_held_out(spark):
+    corpus = toxic_corpus(600)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in corpus], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in corpus], "doc_id long, toxic int")
+    wrong = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    out = {}
+    for name, some in (("right", labels), ("held-out labels turned", wrong)):
+        model = toxicity.train(docs, some)
+        assert 0 < len(model.index) < 2_000  # sparse
+        out[name] = tuples(toxicity.score(docs, model).select("doc_id", "score", "predicted").orderBy("doc_id"))
+    assert out["right"] == out["held-out labels turned"]
+    truth = {i: y for i, _, y in corpus}
+    held = [r for r in out["right"] if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert sum(p == truth[i] for i, _, p in held) / len(held) > 0.95
+    assert all(p == (s >= 0.5) for _, s, p in out["right"])
+
+
+def test_toxicity_takes_odd_rows(spark):
+    labels = spark.createDataFrame([(1, 0), (2, 1), (2, None), (3, 1), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(table(spark), labels)
+    out = toxicity.score(table(spark), model)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "tag", "extra", "score", "predicted"]
+    assert out.count() == len(rows())
+    assert all(0 <= r["score"] <= 1 for r in out.select("score").collect())
+    nothing = toxicity.train(empty(spark), labels.limit(0))
+    assert toxicity.score(empty(spark), nothing).count() == 0
+    assert {r["predicted"] for r in toxicity.score(table(spark), nothing).collect()} == {0}
+
+
+# fingerprints
+
+
+def test_fingerprints_against_brute_force(spark):
+    docs = table(spark)
+    out = imatch.fingerprinted(docs).collect()
+    order = sorted(((r[0], r[1] or "") for r in rows()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    want = Counter()
+    for i, (doc_id, text) in enumerate(order):
+        following = order[(i + 1) % len(order)][1]
+        k = len(text) // 3
+        want[doc_id, len(text), hashlib.sha256((text[: len(text) - k] + following[:k]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in out) == want
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in out)
+    by_text = defaultdict(set)
+    texts = {r[0]: r[1] or "" for r in rows() if r[0] not in (20, 21)}
+    for r in out:
+        if r["doc_id"] in texts:
+            by_text[texts[r["doc_id"]]].add(r["fingerprint"])
+    assert all(len(x) == 1 for x in by_text.values())
+    assert len({next(iter(x)) for x in by_text.values()}) > len(by_text) - 3
+    assert imatch.fingerprinted(empty(spark)).count() == 0
+    assert imatch.fingerprinted(table(spark, rows()[:1])).collect()[0]["near_next"] == 1.0
+
+
+def test_likeness_grows_with_shared_terms():
+    band = np.ones(1 << imatch.BITS, bool)
+    a = words(1, 300)
+    shared = [imatch.likeness(*imatch.fingerprints([a, " ".join(a.split()[:k]) + " " + words(2, 300 - k)], band)) for k in (300, 270, 200, 0)]
+    assert shared[0] == 1 and shared[0] > shared[1] > shared[2] > shared[3] - 1e-9
+
+
+# secrets
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train_forest(secrets.labelled_findings(spark, 2_000))
+
+
+def test_secrets_are_told_from_digests(spark, forest):
+    out = secrets.findings(table(spark), forest)
+    got = {r["start"]: r["secret"] for r in out.filter("doc_id = 17").collect()}
+    assert got == {9: True, 62: False} or got == {9: True, 61: False}
+    text = rows()[16][1]
+    for r in out.filter("doc_id = 17").collect():
+        assert hashlib.sha256(text[r["start"] : r["start"] + r["length"]].encode()).hexdigest() == r["value_sha256"]
+    assert out.filter("doc_id <> 17").count() == 0
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_forest_on_other_labelled_findings(spark, forest):
+    rest = secrets.labelled_findings(spark, 4_000).filter("value is not null")
+    f = rest.selectExpr("secret", "struct(value, left, right, path) as c").selectExpr("secret", f"{secrets.feature_struct()} as f").selectExpr("secret", f"{forest} as score")
+    right = f.selectExpr("avg(if((score >= 0.5) = (secret = 1), 1, 0)) as a").first()["a"]
+    assert right > 0.95
+
+
+def test_redaction_keeps_everything_else(spark, forest):
+    out = secrets.redacted(table(spark), forest)
+    assert out.columns == table(spark).columns
+    want = Counter((r[0], r[1]) for r in rows() if r[0] != 17)
+    assert Counter((r["doc_id"], r["text"]) for r in out.filter("doc_id <> 17 or doc_id is null").collect()) == want
+    assert out.filter("doc_id = 17").first()["text"] == 'token = "' + secrets.MASK + '" and commit ' + "9f8e7d6c5b" * 4
+    assert secrets.redacted(empty(spark), forest).count() == 0
+    one = spark.createDataFrame([("a" * 40 + "1", "", "", "", 1)], "value string, left string, right string, path string, secret int")
+    assert secrets.train_forest(one) == "1.0D"
+
+
+# token shards
+
+
+def test_shards_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    out = shared_dir(spark, "test-shards")
+    records = token_shards.write_shards(table(spark), out, path, end_id=2)
+    parts = token_shards.index_parts(records)
+    assert token_shards.write_index(records, out, parts) == len(rows())
+    back = token_shards.read_ids(token_shards.located(records, out, parts), out).collect()
+    tokenizer = Tokenizer.from_file(path)
+    want = Counter()
+    for r in rows():
+        ids = np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4")
+        want[r[0], len(ids), zlib.crc32(ids.tobytes())] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in back) == want
+    ordered = sorted(back, key=lambda r: (r["shard"], r["offset"]))
+    assert [r["doc_id"] for r in ordered] == sorted((r[0] for r in rows()), key=lambda i: (i is not None, i))
+    ends = defaultdict(int)
+    for r in ordered:  # no gaps
+        assert r["offset"] == ends[r["shard"]]
+        ends[r["shard"]] += r["n_tokens"]
+    absent = spark.createDataFrame([(999_999, 0), (1, 5)], "doc_id long, occurrence int")
+    assert token_shards.located(absent, out, parts).count() == 0
+
+
+def test_shards_of_an_empty_table(spark):
+    out = shared_dir(spark, "test-shards")
+    records = token_shards.write_shards(empty(spark), out, str(public_tokenizers.path("byte_bpe_50k.json")), end_id=2)
+    parts = token_shards.index_parts(records)
+    assert token_shards.write_index(records, out, parts) == 0
+    assert token_shards.read_ids(token_shards.located(records, out, parts), out).count() == 0
+
+
+def test_perfect_hash_is_minimal():
+    r = np.random.default_rng(1)
+    h1, h2 = (r.integers(0, 2**63, 5_000).astype("u8") for _ in range(2))
+    tree = token_shards.PerfectHash.build(h1, h2)
+    assert sorted(tree.slots(h1, h2).tolist()) == list(range(5_000))
+    with pytest.raises(ValueError, match="same 128-bit hash"):
+        token_shards.PerfectHash.build(h1[[0, 0]], h2[[0, 0]])
+
+
+# URL filter
+
+
+def test_urls_are_taken_apart():
+    assert url_filter.parts_of(None) == url_filter.parts_of("example.net/en/") == ("", "")
+    assert url_filter.parts_of("HTTP://A.Example.NET/En?q#f") == ("a.example.net", "/En")
+    assert url_filter.parts_of("x://ÄB?a/b") == ("Äb", "")
+    assert url_filter.parts_of("a://b#://c") == ("b", "")
+
+
+def test_rules_and_method(spark):
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    urls = {
+        "https://www.example.net/en/1": ("example.net/en/", "allow"), "https://www.example.net/de/1": ("net/", "block"), "https://net/x": ("net/", "block"), "https://net": (None, "allow"),
+        "https://m.example.com/de/4": ("example.com/de/", "block"), "https://xexample.com/de/4": (None, "allow"), "https://a.org/fr/": ("org/fr/", "allow"), "https://freecasinobets.com/en/": (None, "block"),
+        "https://m.cheap-pills.example.org/en/9": (None, "block"), "https://cityschool.example.com/en/9": (None, "allow"), "": (None, "allow"), None: (None, "allow"),
+    }
+    pages = spark.createDataFrame([(i, u, "x", 1.0) for i, u in enumerate(urls)] + [(0, next(iter(urls)), "y", 2.0)], "page_id long, url string, html string, rule double")
+    out = url_filter.judge(pages, model).collect()
+    assert len(out) == len(urls) + 1
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in out} == dict(enumerate(urls.values()))
+    assert url_filter.judge(pages.limit(0), model).count() == 0
+
+
+def test_segmentation_is_the_cheapest(spark):
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    assert url_filter.split_words("freecasinobets", model.cost, model.unknown) == ["free", "casino", "bets"]
+    assert url_filter.split_words("", model.cost, model.unknown) == []
+
+
+# substring dedup
+
+
+def removed_by_hand(some, width=13):
+    first, parts = {}, [(i, (t or "").encode().split()) for i, t in some]
+    for i, w in parts:
+        for k in range(len(w) - width + 1):
+            key = tuple(w[k : k + width])
+            if i is not None:
+                first[key] = min(first.get(key, i), i)
+    out = Counter()
+    for i, w in parts:
+        gone = [False] * len(w)
+        for k in range(len(w) - width + 1):
+            if i is not None and first[tuple(w[k : k + width])] < i:
+                gone[k : k + width] = [True] * width
+        out[i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()] += 1
+    return out
+
+
+def test_substrings_against_brute_force(spark):
+    assert Counter(tuples(substring.digests(table(spark)))) == removed_by_hand([(r[0], r[1]) for r in rows()])
+    assert substring.digests(empty(spark)).count() == 0
+
+
+def test_substrings_of_random_documents(spark):
+    r = random.Random(9)
+    pool = [words(i, 30) for i in range(6)]
+    some = [(i, " ".join(r.choice(pool) if r.random() < 0.5 else words(1000 + i, r.randrange(1, 40)) for _ in range(r.randrange(1, 6)))) for i in range(80)]
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    assert Counter(tuples(substring.digests(docs))) == removed_by_hand(some)
+
+
+def test_windows_with_equal_hashes_are_told_apart(spark, monkeypatch):
+    some = [(i, words(i % 7, 30)) for i in range(20)] + [(30, words(50, 30))]
+    # all windows of a document but few hashes: nearly every window meets others with its hash
+    plain = substring.window_hashes
+    monkeypatch.setattr(substring, "window_hashes", lambda w, width: plain(w, width) % np.uint64(5) if width == 13 else plain(w, width))
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    assert Counter(tuples(substring.digests(docs))) == removed_by_hand(some)
+
+
+def test_deduplicated_keeps_clean_texts_and_columns(spark):
+    out = substring.deduplicated(table(spark))
+    assert out.columns == table(spark).columns and out.count() == len(rows())
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got[12] == words(6, 20_000) and got[7] is None and got[8] == "   \n " and got[2] == "" and got[-5] == words(2, 40)
+    assert got[5] == words(5, 90)
+
+
+def test_automaton_matching_statistics():
+    r = random.Random(2)
+    for _ in range(40):
+        refs = [[r.choice([b"a", b"b", b"c"]) for _ in range(r.randrange(1, 12))] for _ in range(3)]
+        tree = substring.SuffixAutomaton()
+        for x in refs:
+            tree.add(x)
+        ask = [r.choice([b"a", b"b", b"c", b"d"]) for _ in range(20)]
+        held = {tuple(x[i:j]) for x in refs for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
+        assert tree.matches(ask) == [max((k for k in range(1, e + 2) if tuple(ask[e + 1 - k : e + 1]) in held), default=0) for e in range(20)]
+
+
+# packing
+
+
+def test_packing_is_exact_and_tight(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    out = packing.packed_documents(table(spark)).collect()
+    want = Counter()
+    for r in rows():
+        ids = np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")
+        for p, a in enumerate(range(0, len(ids), 2048)):
+            want[r[0], p, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())] += 1
+    assert Counter(tuple(r)[:5] for r in out) == want
+    bins = defaultdict(list)
+    for r in out:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for x in bins.values():
+        at = 0
+        for offset, length in sorted(x):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) == packing.lower_bound(np.array([r["length"] for r in out]), 2048)
+    assert packing.packed_documents(empty(spark)).count() == 0
+
+
+def test_rounds_exchange_pieces(spark):
+    r = random.Random(4)
+    sizes = [r.choice([700, 1000, 1030, 340, 2048, 690]) for _ in range(300)]
+    pieces = spark.createDataFrame([(i, 0, s, "x") for i, s in enumerate(sizes)], "doc_id long, piece int, length long, note string")
+    out = packing.pack(pieces, group_pieces=30).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in out) == list(enumerate(sizes))
+    used = defaultdict(int)
+    for x in out:
+        used[x["sequence_id"]] += x["length"]
+    assert max(used.values()) <= 2048
+    alone = packing.pack(pieces, group_pieces=30, rounds=1).select("sequence_id").distinct().count()
+    assert len(used) <= alone
+
+
+def test_bounds_hold():
+    r = random.Random(6)
+
+    def best(sizes, capacity):  # by trying all
+        least = [len(sizes)]
+
+        def place(i, rooms):
+            if len(rooms) >= least[0]:
+                return
+            if i == len(sizes):
+                least[0] = len(rooms)
+                return
+            for k in range(len(rooms)):
+                if rooms[k] >= sizes[i]:
+                    rooms[k] -= sizes[i]
+                    place(i + 1, rooms)
+                    rooms[k] += sizes[i]
+            rooms.append(capacity - sizes[i])
+            place(i + 1, rooms)
+            rooms.pop()
+
+        place(0, [])
+        return least[0]
+
+    for _ in range(150):
+        capacity = r.choice([10, 20, 33])
+        sizes = sorted((r.randrange(1, capacity + 1) for _ in range(r.randrange(1, 8))), reverse=True)
+        need = best(sizes, capacity)
+        assert packing.lower_bound(np.array(sizes), capacity) <= need <= int(packing.best_fit_decreasing(np.array(sizes), capacity).max()) + 1
+
+
+# top-k
+
+
+def test_top_k_against_brute_force(spark):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(400, 8)).astype("f4")
+    v[50:120] = v[50]  # ties
+    made = [(i, x.tolist()) for i, x in enumerate(v)] + [(1000, None), (1001, [None] * 8), (1002, [float("nan")] * 8), (1003, [float("inf")] * 8), (None, [1.0] * 8)]
+    df = spark.createDataFrame([(i, x, 1) for i, x in made], "vec_id long, embedding array<float>, label int")
+    vectors = voronoi.integers(df)
+    assert vectors.count() == 400
+    whole = np.floor(64 * v.astype("f8")).astype("i8")
+    for pivots, block in ((16, 64), (3, 1000)):
+        out = voronoi.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20, pivots=pivots, block_rows=block).collect()
+        got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in out}
+        assert len(got) == len(out) == 20 * 20
+        for q in range(0, 400, 20):
+            score = whole @ whole[q]
+            best = sorted((i for i in range(400) if i != q), key=lambda i: (-score[i], i))[:20]
+            assert [got[q, k + 1] for k in range(20)] == [(i, score[i]) for i in best]
+    few = vectors.filter("vec_id < 5")
+    assert voronoi.top_k(few, few, 20).count() == 20
+    assert voronoi.top_k(vectors.limit(0), vectors.limit(0), 20).count() == 0
+    assert voronoi.top_k(vectors, vectors.limit(0), 20).count() == 0
+
+
+# SentencePiece
+
+
+def test_encoding_and_decoding_is_the_library_s(spark):
+    import sentencepiece
+
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    want, digests = Counter(), Counter()
+    for r in rows():
+        ids = model.encode(r[1] or "", add_bos=True, add_eos=True)
+        want[r[0], tuple(ids), model.decode(ids)] += 1
+        digests[r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in piece_bpe.encode_decode(table(spark), path).collect()) == want
+    assert Counter(tuples(piece_bpe.digests(table(spark), path))) == digests
+    assert piece_bpe.digests(empty(spark), path).count() == 0
+
+
+# n-gram Jaccard join
+
+
+def classes_by_hand(some, threshold=0.8):
+    sets = []
+    for i, t in some:
+        w = (t or "").encode().split()
+        n = min(5, len(w))
+        sets.append((i, frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if w else frozenset()))
+    nodes = {s for i, s in sets if s and i is not None}
+    root = {s: s for s in nodes}
+    links = Counter()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in nodes:
+        for b in nodes:
+            if a != b and len(a & b) >= threshold * len(a | b) - 1e-9:
+                links[a] += 1
+                root[find(a)] = find(b)
+    least, copy = {}, {}
+    for i, s in sets:
+        if s in nodes and i is not None:
+            copy[s] = min(copy.get(s, i), i)
+            least[find(s)] = min(least.get(find(s), i), i)
+    return Counter((i, least[find(s)], copy[s], links[s]) if s in nodes else (i, i, i, 0) for i, s in sets)
+
+
+def test_near_duplicates_against_brute_force(spark):
+    some = [(r[0], r[1]) for r in rows()]
+    out = lsh_forest.near_duplicates(table(spark)).select("doc_id", "class_id", "copy_id", "n_links").collect()
+    assert Counter(map(tuple, out)) == classes_by_hand(some)
+    assert lsh_forest.near_duplicates(empty(spark)).count() == 0
+
+
+def test_near_duplicates_of_a_large_group(spark, monkeypatch):
+    r = random.Random(8)
+    base = words(77, 120).split()
+    some = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.randrange(0, 4)):
+            w[r.randrange(len(w))] = f"edit{r.randrange(50)}"
+        some.append((i, " ".join(w)))
+    some += [(500 + i, words(600 + i, 60)) for i in range(40)]
+    monkeypatch.setattr(lsh_forest, "BLOCK_ROWS", 16)  # several blocks
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    out = lsh_forest.near_duplicates(docs).select("doc_id", "class_id", "copy_id", "n_links").collect()
+    assert Counter(map(tuple, out)) == classes_by_hand(some)
+
+
+def test_one_of_each(spark):
+    out = lsh_forest.one_of_each(table(spark))
+    assert out.columns == table(spark).columns
+    kept = Counter(r["doc_id"] for r in out.collect())
+    assert kept[1] == 1 and kept[2] == kept[3] == kept[10] == kept[16] == 0
+    assert kept[None] == kept[6] == kept[7] == kept[8] == kept[9] == kept[20] == kept[12] == 1
+    assert lsh_forest.one_of_each(empty(spark)).count() == 0
+
+
+def test_depth_reaches_the_recall():
+    k = lsh_forest.depth_for(0.8)
+    assert 1 - (1 - 0.8**k) ** lsh_forest.TRIES >= lsh_forest.RECALL
+    assert lsh_forest.depth_for(0.01) == 1
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 201)]
+    out = lsh_forest.components(spark.createDataFrame(edges, "u long, v long"))
+    got = {r["node"]: r["root"] for r in out.collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
