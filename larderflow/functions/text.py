@@ -10,6 +10,7 @@ from urllib.parse import parse_qsl, urlencode, urlsplit
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def matching(df: DataFrame, search: str, *columns: str) -> DataFrame:
@@ -44,7 +45,7 @@ def domain(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]+)", 1)), r"^www\.", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def slug(text: pd.Series) -> pd.Series:
     """Decomposed, lower case, every other run of characters `_`, 60 at most."""
 
@@ -58,7 +59,10 @@ def slug(text: pd.Series) -> pd.Series:
 TRACKING = re.compile(r"utm_.*|gclid|fbclid|msclkid|mc_[ce]id|igshid")
 
 
-@F.pandas_udf("struct<ok: boolean, code: string, url: string, key: string, domain: string>")
+LINK = T.StructType([T.StructField("ok", T.BooleanType()), *[T.StructField(c, T.StringType()) for c in ("code", "url", "key", "domain")]])
+
+
+@F.pandas_udf(LINK)
 def link(urls: pd.Series) -> pd.DataFrame:
     """A saved link: refused with a code, or cleaned of tracking parameters, with a key under which its variants (scheme, www., fragment, order of
     parameters, a slash at the end) are one."""
@@ -99,6 +103,6 @@ def plain(markup: str | None, cap: int = 2_000) -> str | None:
     return " ".join("".join(c if c.isprintable() else " " for c in text).split())[:cap].strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clean(markup: pd.Series) -> pd.Series:
     return markup.map(plain)

@@ -10,6 +10,7 @@ from fractions import Fraction
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larderflow.functions.exact import q_mul, q_sum
 from larderflow.functions.units import SCALE, base_unit, parts
@@ -22,7 +23,7 @@ def demand_parts(lines: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "unit").agg(F.sum(F.col("parts").cast("decimal(28,0)")).alias("parts"), F.countDistinct("event").alias("n_events"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _joined(n: pd.Series, d: pd.Series) -> str:
     return str(sum((Fraction(int(a), int(b)) for a, b in zip(n, d, strict=True)), Fraction(0)))
 
