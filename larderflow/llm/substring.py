@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from larderflow.llm.common import documents, materialised, repeated_ids, sieved, steps
-from larderflow.llm.words import cached, mix
+from larderflow.llm.words import cached_words, mix
 
 WIDTH = 13
 #: Reference words of a shard, and words that one task streams against it, on average.
@@ -37,12 +37,12 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class _Hashes(dict):
-    """64-bit hash of a word; begun anew beyond a million words."""
+    """64-bit hash of a word; begun anew beyond 300,000 words."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -53,7 +53,7 @@ def window_hashes(words: list[bytes], width: int) -> np.ndarray:
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, "u8")
-    h = np.fromiter(map(cached(("word hashes",), _Hashes).__getitem__, words), "u8", len(words))
+    h = np.fromiter(map(cached_words(("word hashes",), _Hashes).__getitem__, words), "u8", len(words))
     out = np.zeros(n, "u8")
     for i in range(width):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]

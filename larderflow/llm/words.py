@@ -128,15 +128,24 @@ class PieceCache:
 
 
 _CACHES: dict[tuple, object] = {}
+_LARGE: dict[tuple, object] = {}
 
 
 def cached(key: tuple, make: Callable[[], object]) -> object:
-    """One object per worker process and key: tokenizers and caches outlive a task."""
+    """One object per worker process and key: tokenizers and models outlive a task."""
     if key not in _CACHES:
         _CACHES[key] = make()
     return _CACHES[key]
 
 
+def cached_words(key: tuple, make: Callable[[], object]) -> object:
+    """A cache of words, which may be large: a worker that turns to another stage's cache drops the one it has."""
+    if key not in _LARGE:
+        _LARGE.clear()
+        _LARGE[key] = make()
+    return _LARGE[key]
+
+
 def library_cache(path: str, rest: str) -> PieceCache:
     """Pieces encoded by the tokenizers library with the file at `path`, without special tokens."""
 
@@ -154,7 +163,7 @@ def library_cache(path: str, rest: str) -> PieceCache:
 
         return PieceCache(encode_many, "", rest)
 
-    return cached(("library", path, rest), make)
+    return cached_words(("library", path, rest), make)
 
 
 def byte_pair_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +191,7 @@ def term_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
         return PieceCache(encode_many, "", "", apart=True, dtype="u8")
 
-    return cached(("terms",), make).encode(texts)
+    return cached_words(("terms",), make).encode(texts)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
