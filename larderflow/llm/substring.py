@@ -2,7 +2,7 @@
 
 A whole corpus is far larger than any automaton, so the work is cut down first, exactly:
 1. Every document sends the hashes of its windows (`width` consecutive words), 5 bytes each beside their part, to parts by hash. A part finds the
-   windows of more than one document and their owner, the document with the smallest id. Parts answer with bits, not with text.
+   windows of more than one document and their owner, the document with the smallest id. Parts answer with flags, not with text.
 2. Of the documents that got an answer, owners give the runs of words that others repeat (the reference, in shards of bounded size), later documents
    the runs that they have from an owner.
 3. Each shard's suffix automaton is built where its runs are asked for; a shard that many documents ask is sent to several tasks. Streaming a run
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from larderflow.llm.common import documents, materialised, repeated_ids, sieved, steps
+from larderflow.llm.common import documents, materialised, ragged, repeated_ids, sieved, steps
 from larderflow.llm.words import cached_words, mix
 
 WIDTH = 13
@@ -186,8 +186,9 @@ def window_rows(docs: DataFrame, parts: int, width: int) -> DataFrame:
 
 
 def answers(rows: DataFrame, parts: int) -> DataFrame:
-    """For each document and part with a shared window: bits of its windows of the part (in order) that an earlier document has, bits of those that it
-    owns and a later one has, and the owners of the former."""
+    """For each document with a shared window one row: its parts, their numbers of windows, a flag per window (in the order of the part: 1, an earlier
+    document has it; 2, it is owned here and a later one has it) and the owners of the former. Parts send what they found in one row for each of
+    `parts` buckets of documents, and a bucket puts its documents' flags together, so the rows are as many as the documents."""
 
     def solve(batches):
         ids, tags, sizes, rems, part = [], [], [], [], None
@@ -213,23 +214,48 @@ def answers(rows: DataFrame, parts: int) -> DataFrame:
         lows, highs = np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads)
         size = np.diff(np.r_[heads, len(doc)])
         low = np.repeat(lows, size)
-        later, first = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
-        owner = np.zeros(len(doc), "i8")
-        later[order], first[order], owner[order] = doc > low, (doc == low) & np.repeat(highs > lows, size), low
+        flag, owner = np.zeros(len(doc), "u1"), np.zeros(len(doc), "i8")
+        flag[order], owner[order] = np.where(doc > low, 1, np.where(np.repeat(highs > lows, size), 2, 0)), low
+        hit = np.unique(entry[flag > 0])
+        bucket = (mix(ids[hit].view("u8") + tags[hit].astype("u8")) % np.uint64(parts)).astype("i8")
+        hit = hit[np.argsort(bucket, kind="stable")]
+        bucket = np.sort(bucket)
+        firsts = np.cumsum(sizes) - sizes
+        for b in np.unique(bucket).tolist():
+            mine = hit[slice(*np.searchsorted(bucket, [b, b + 1]))]
+            at = ragged(firsts[mine], sizes[mine])
+            flags = flag[at]
+            yield pa.record_batch([pa.array([x], t) for x, t in zip((b, part, ids[mine].tobytes(), tags[mine].tobytes(), sizes[mine].astype("u4").tobytes(), flags.tobytes(), owner[at][flags == 1].tobytes()), (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)], ["bucket", "part", "ids", "tags", "sizes", "flags", "owners"])
+
+    def gather(batches):
+        held: list[list[np.ndarray]] = [[], [], [], [], [], []]
+        for batch in batches:
+            for part, *raw in zip(*(batch.column(c).to_pylist() for c in ("part", "ids", "tags", "sizes", "flags", "owners")), strict=True):
+                for x, y in zip(held, [np.frombuffer(r, t) for r, t in zip(raw, ("i8", "i4", "u4", "u1", "i8"), strict=True)] + [np.full(len(raw[0]) // 8, part, "i4")], strict=True):
+                    x.append(y)
+        if not held[0]:
+            return
+        ids, tags, sizes, flags, owners, of_part = map(np.concatenate, held)
+        sizes = sizes.astype("i8")
+        late = np.r_[0, np.cumsum(flags == 1)]
         ends = np.cumsum(sizes)
-        hit = np.unique(entry[later | first])
-        for a in range(0, len(hit), 20_000):
-            some = hit[a : a + 20_000].tolist()
-            cut = [slice(int(ends[e] - sizes[e]), int(ends[e])) for e in some]
+        n_late = late[ends] - late[ends - sizes]
+        order = np.lexsort((of_part, tags, ids))
+        flags = flags[ragged((ends - sizes)[order], sizes[order])]
+        owners = owners[ragged(late[ends - sizes][order], n_late[order])]
+        ids, tags, sizes, n_late, of_part = ids[order], tags[order], sizes[order], n_late[order], of_part[order]
+        heads = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])
+        cuts = np.r_[heads, len(ids)]
+        w, o = np.r_[0, np.cumsum(sizes)][cuts], np.r_[0, np.cumsum(n_late)][cuts]
+        for a in range(0, len(heads), 2_000):
+            z = range(a, min(a + 2_000, len(heads)))
             yield pa.record_batch(
-                [
-                    pa.array(ids[some]), pa.array(tags[some]), pa.array([part] * len(some), pa.int32()),
-                    pa.array([np.packbits(later[c]).tobytes() for c in cut], pa.binary()), pa.array([np.packbits(first[c]).tobytes() for c in cut], pa.binary()), pa.array([owner[c][later[c]].tobytes() for c in cut], pa.binary()),
-                ],
-                ["doc_id", "tag", "part", "later", "first", "owners"],
-            )
+                [pa.array(ids[heads[a : a + 2_000]]), pa.array(tags[heads[a : a + 2_000]]), pa.array([of_part[cuts[i] : cuts[i + 1]].tobytes() for i in z], pa.binary()), pa.array([sizes[cuts[i] : cuts[i + 1]].astype("u4").tobytes() for i in z], pa.binary()), pa.array([flags[w[i] : w[i + 1]].tobytes() for i in z], pa.binary()), pa.array([owners[o[i] : o[i + 1]].tobytes() for i in z], pa.binary())],
+                ["doc_id", "tag", "parts", "sizes", "flags", "owners"],
+            )
 
-    return rows.repartitionById(parts, F.col("part")).mapInArrow(solve, "doc_id long, tag int, part int, later binary, first binary, owners binary")
+    solved = rows.repartitionById(parts, F.col("part")).mapInArrow(solve, "bucket int, part int, ids binary, tags binary, sizes binary, flags binary, owners binary")
+    return solved.repartitionById(parts, F.col("bucket")).mapInArrow(gather, "doc_id long, tag int, parts binary, sizes binary, flags binary, owners binary")
 
 
 def removals(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -243,25 +269,26 @@ def removals(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame,
     plain = marked.filter("not _touched").drop("_touched")
     touched = materialised(marked.filter("_touched").drop("_touched"), "substring-touched")
 
-    gathered = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("part", "later", "first", "owners")).alias("found"))
-    asked = touched.filter("doc_id is not null").select("doc_id", "tag", "text").join(gathered, ["doc_id", "tag"])
+    asked = touched.filter("doc_id is not null").select("doc_id", "tag", "text").join(found, ["doc_id", "tag"])
 
     def cut(batches):
         for batch in steps(batches, "text"):
             out = []
-            for doc_id, tag, text, hits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text", "found")), strict=True):
+            for doc_id, tag, text, *raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text", "parts", "sizes", "flags", "owners")), strict=True):
                 words = words_of(text)
                 h = window_hashes(words, width)
                 part = (h % np.uint64(parts)).astype("i8")
                 order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], [[x["part"], x["part"] + 1] for x in hits])
-                later, first, owner = np.zeros(len(h), bool), np.zeros(len(h), bool), np.zeros(len(h), "i8")
-                for x, (a, b) in zip(hits, edges.tolist(), strict=True):
-                    at = order[a:b]
-                    late = np.unpackbits(np.frombuffer(x["later"], "u1"), count=b - a).astype(bool)
-                    later[at] |= late
-                    first[at] |= np.unpackbits(np.frombuffer(x["first"], "u1"), count=b - a).astype(bool)
-                    owner[at[late]] = np.frombuffer(x["owners"], "i8")
+                of_part, sizes, flags, owners = (np.frombuffer(r, t) for r, t in zip(raw, ("i4", "u4", "u1", "i8"), strict=True))
+                edges = np.searchsorted(part[order], [of_part, of_part + 1]).T
+                flag, owner, f, o = np.zeros(len(h), "u1"), np.zeros(len(h), "i8"), 0, 0
+                for (a, b), n in zip(edges.tolist(), sizes.tolist(), strict=True):  # a repeated row has its parts twice, with equal flags
+                    at, mine = order[a:b], flags[f : f + n]
+                    k = int((mine == 1).sum())
+                    flag[at] = mine
+                    owner[at[mine == 1]] = owners[o : o + k]
+                    f, o = f + n, o + k
+                later, first = flag == 1, flag == 2
                 at = np.flatnonzero(later)
                 for a, b in _runs(at, owner[at]):
                     out.append((1, int(owner[at[a]]), doc_id, tag, int(at[a]), b"\n".join(words[at[a] : at[b] + width])))
