@@ -112,7 +112,7 @@ def q_convert(qty: Column, unit: Column, to: Column) -> Column:
     from larderflow.functions.units import dimension, normalize_unit, parts
 
     same = normalize_unit(unit).eqNullSafe(normalize_unit(to))
-    ratio = F.concat_ws("/", parts(unit).cast("string"), parts(to).cast("string"))
+    ratio = F.concat(parts(unit).cast("string"), F.lit("/"), parts(to).cast("string"))  # null where either is unknown
     return F.when(same, qty).when(dimension(unit) == dimension(to), q_mul(qty, ratio))
 
 

@@ -23,8 +23,9 @@ def feed(spark: SparkSession, path: str, schema, files_per_trigger: int = 50) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", stateful: bool = False) -> DataFrame:
-    """All rows that are there now, through the stream, as a table under the shared folder. In complete mode the last state wins."""
+def drained(stream: DataFrame, name: str, mode: str = "append", stateful: bool = False, seconds: int | None = None) -> DataFrame:
+    """All rows that are there now, through the stream, as a table under the shared folder. In complete mode the last state wins. A stream with timers
+    never ends by itself: give the seconds after which it is stopped."""
     spark = stream.sparkSession
     out, cursor = shared_path(spark, name), shared_path(spark, f"{name}-cursor")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
@@ -35,14 +36,19 @@ def drained(stream: DataFrame, name: str, mode: str = "append", stateful: bool =
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/epoch={epoch}")  # the same epoch again: the same files
 
     try:
-        stream.writeStream.outputMode(mode).option("checkpointLocation", cursor).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", cursor).foreachBatch(put)
+        if seconds is None:
+            writer.trigger(availableNow=True).start().awaitTermination()
+        else:
+            run = writer.trigger(processingTime="1 second").start()
+            run.awaitTermination(seconds)
+            run.stop()
     finally:
         if stateful and before is not None:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
         elif stateful:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    found = spark.read.schema(stream.schema).parquet(out)
-    return found
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def latest_status(log: DataFrame, key: str, *order: str) -> DataFrame:

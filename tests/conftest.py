@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 def spark(tmp_path_factory):
     top = tmp_path_factory.mktemp("shared")
     session = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[2]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
