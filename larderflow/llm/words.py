@@ -35,7 +35,7 @@ class PieceCache:
     finds) may belong together with its neighbours: its text is cut at SAFE_CUT only; not so if words never do (`apart`). The cache is begun anew beyond `limit` pieces or `8 * limit`
     ids, so its memory is bounded."""
 
-    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], first: str, rest: str, unsafe: re.Pattern | None = None, limit: int = 1_500_000, apart: bool = False, dtype: str = "u4"):
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], first: str, rest: str, unsafe: re.Pattern | None = None, limit: int = 400_000, apart: bool = False, dtype: str = "u4"):
         self.encode_many, self.first, self.rest, self.unsafe, self.limit, self.apart, self.dtype = encode_many, first, rest, unsafe, limit, apart, dtype
         self._fresh()
 
