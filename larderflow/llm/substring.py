@@ -37,12 +37,12 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class _Hashes(dict):
-    """64-bit hash of a word; begun anew beyond 300,000 words."""
+    """64-bit hash of a word; begun anew beyond 150,000 words."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

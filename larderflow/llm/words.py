@@ -9,7 +9,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-from larderflow.llm.common import ragged
+from larderflow.llm.common import give_back, ragged
 
 #: Between a character that is no white space and a single space before another such character.
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -35,7 +35,7 @@ class PieceCache:
     finds) may belong together with its neighbours: its text is cut at SAFE_CUT only; not so if words never do (`apart`). The cache is begun anew beyond `limit` pieces or `8 * limit`
     ids, so its memory is bounded."""
 
-    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], first: str, rest: str, unsafe: re.Pattern | None = None, limit: int = 400_000, apart: bool = False, dtype: str = "u4"):
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], first: str, rest: str, unsafe: re.Pattern | None = None, limit: int = 200_000, apart: bool = False, dtype: str = "u4"):
         self.encode_many, self.first, self.rest, self.unsafe, self.limit, self.apart, self.dtype = encode_many, first, rest, unsafe, limit, apart, dtype
         self._fresh()
 
@@ -142,6 +142,7 @@ def cached_words(key: tuple, make: Callable[[], object]) -> object:
     """A cache of words, which may be large: a worker that turns to another stage's cache drops the one it has."""
     if key not in _LARGE:
         _LARGE.clear()
+        give_back()
         _LARGE[key] = make()
     return _LARGE[key]
 
