@@ -178,16 +178,28 @@ def c14_chain_recursive(spark, d):
     return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("bigint").alias("generation"), F.first("o_orderkey").over(w).alias("root"))
 
 
+def term_members(suppliers: DataFrame, parts: DataFrame) -> DataFrame:
+    """s_suppkey, p_partkey of each part with the supplier's folded term, for the supplier's member or, if that is null, for everyone."""
+    term = F.when(F.col("s_suppkey") % 3 == 0, "RED").when(F.col("s_suppkey") % 3 == 1, "widget ").otherwise("economy")
+    terms = suppliers.select("s_suppkey", F.lower(F.trim(term)).alias("tag"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("member"))
+    tags = parts.select("p_partkey", (F.col("p_size") % 25).alias("eater"), F.explode(F.array_distinct(F.concat(F.split(F.lower("p_name"), " "), F.array(F.lower("p_type"))))).alias("tag"))
+    return tags.join(terms, "tag").filter("member is null or member = eater").select("s_suppkey", "p_partkey").distinct()
+
+
 @query("""WITH terms AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'RED' WHEN 1 THEN 'widget ' ELSE 'economy' END AS term, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END AS member FROM supplier WHERE s_suppkey < 12),
   tags AS (SELECT p_partkey, p_size % 25 AS eater, unnest(string_split(lower(p_name), ' ')) AS tag FROM part UNION SELECT p_partkey, p_size % 25, lower(p_type) FROM part)
 SELECT DISTINCT s_suppkey, p_partkey FROM terms JOIN tags ON lower(trim(term)) = tag AND (member IS NULL OR member = eater)""")
 def c19_term_membership(spark, d):
-    """Set membership as an equi-join of folded terms; a null member means everyone."""
-    s = table(spark, d, "supplier").filter("s_suppkey < 12")
-    term = F.when(F.col("s_suppkey") % 3 == 0, "RED").when(F.col("s_suppkey") % 3 == 1, "widget ").otherwise("economy")
-    terms = s.select("s_suppkey", F.lower(F.trim(term)).alias("tag"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("member"))
-    tags = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 25).alias("eater"), F.explode(F.array_distinct(F.concat(F.split(F.lower("p_name"), " "), F.array(F.lower("p_type"))))).alias("tag"))
-    return tags.join(terms, "tag").filter("member is null or member = eater").select("s_suppkey", "p_partkey").distinct()
+    """Set membership as an equi-join of folded terms; a null member means everyone. Its SQL asks for eleven suppliers; c19_term_membership_all has all."""
+    return term_members(table(spark, d, "supplier").filter("s_suppkey < 12"), table(spark, d, "part"))
+
+
+@query("""WITH terms AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'RED' WHEN 1 THEN 'widget ' ELSE 'economy' END AS term, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END AS member FROM supplier),
+  tags AS (SELECT p_partkey, p_size % 25 AS eater, unnest(string_split(lower(p_name), ' ')) AS tag FROM part UNION SELECT p_partkey, p_size % 25, lower(p_type) FROM part)
+SELECT DISTINCT s_suppkey, p_partkey FROM terms JOIN tags ON lower(trim(term)) = tag AND (member IS NULL OR member = eater)""")
+def c19_term_membership_all(spark, d):
+    """The same over every supplier."""
+    return term_members(table(spark, d, "supplier"), table(spark, d, "part"))
 
 
 @query("""SELECT o_orderpriority, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey

@@ -32,3 +32,15 @@ def test_query_equals_its_sql(spark, sql, tmp_path, name):
     columns = ", ".join(f'"{c}"' for c, _ in shape[0])
     for x, y in ("ab", "ba"):
         assert sql.execute(f"select count(*) from (select {columns} from {x} except all select {columns} from {y})").fetchall() == [(0,)]
+
+
+def test_every_supplier_has_its_parts(spark):
+    suppliers = [(k, k % 5) for k in (3, 4, 8, 12, 13, 500, 997)]
+    parts = [(1, "Red Widget", 3, "ECONOMY"), (2, "red red", 2, "promo"), (3, "blue", 27, "economy"), (4, None, 2, "widget")]
+    term = {0: "red", 1: "widget", 2: "economy"}
+    want = {(k, p) for k, nation in suppliers for p, name, size, kind in parts if name is not None and term[k % 3] in [*name.lower().split(" "), kind.lower()] and (k % 2 or nation == size % 25)}
+    s = spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey long")
+    p = spark.createDataFrame(parts, "p_partkey long, p_name string, p_size long, p_type string")
+    got = [tuple(r) for r in relational.term_members(s, p).collect()]
+    assert {k for k, _ in got} - set(range(12))
+    assert set(got) == want and len(got) == len(want)
