@@ -29,7 +29,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     are ignored; every document has at least the piece of its end id."""
 
     def step(batch):
-        ids, counts = word_pair_ids(batch.column("text"), tokenizer_path)
+        ids, counts = word_pair_ids(batch.column("text"), tokenizer_path, added=True)
         ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
         counts = counts + 1
         firsts = np.cumsum(counts) - counts

@@ -123,7 +123,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, wi
             nonlocal last, again, at
             stream.write(struct.pack(HEADER, MAGIC, width, 0))
             for batch in steps(batches, "text"):
-                ids, counts = byte_pair_ids(batch.column("text"), tokenizer_path)
+                ids, counts = byte_pair_ids(batch.column("text"), tokenizer_path, added=True)
                 if len(ids) and int(ids.max()) >> (8 * width):
                     raise ValueError(f"an id needs more than {width} bytes")
                 ends = np.cumsum(counts)

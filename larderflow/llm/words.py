@@ -147,34 +147,38 @@ def cached_words(key: tuple, make: Callable[[], object]) -> object:
     return _LARGE[key]
 
 
-def library_cache(path: str, rest: str) -> PieceCache:
-    """Pieces encoded by the tokenizers library with the file at `path`, without special tokens."""
+def library_cache(path: str, rest: str, added: bool = False) -> PieceCache:
+    """Pieces encoded by the tokenizers library with the file at `path`, without special tokens around them. The file's added tokens, such as
+    <|endoftext|>, are plain text, or with `added` the ids that the library by itself gives them; no cut is made beside them."""
 
     def make() -> PieceCache:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = not added
+        names = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added else []
+        # a token with white space in it may lie over any cut: then none is made
+        unsafe = re.compile("" if any(re.search(r"\s", x) for x in names) else "|".join(map(re.escape, names))) if names else None
 
         def encode_many(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
             lists = [x.ids for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
             counts = np.fromiter(map(len, lists), "i8", len(lists))
             return np.fromiter((i for x in lists for i in x), "u4", int(counts.sum())), counts
 
-        return PieceCache(encode_many, "", rest)
+        return PieceCache(encode_many, "", rest, unsafe)
 
-    return cached_words(("library", path, rest), make)
+    return cached_words(("library", path, rest, added), make)
 
 
-def byte_pair_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def byte_pair_ids(texts: pa.Array, path: str, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids by a byte-level BPE file: a space belongs to the word after it."""
-    return library_cache(path, " ").encode(texts.to_pylist())
+    return library_cache(path, " ", added).encode(texts.to_pylist())
 
 
-def word_pair_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def word_pair_ids(texts: pa.Array, path: str, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids by a BPE file with word ends, which drops white space: words stand alone."""
-    return library_cache(path, "").encode(texts.to_pylist())
+    return library_cache(path, "", added).encode(texts.to_pylist())
 
 
 def term_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -160,6 +160,24 @@ def test_shards_round_trip(spark):
     assert token_shards.located(absent, out, parts).count() == 0
 
 
+def test_added_tokens_in_texts_have_the_library_s_ids(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a b <|endoftext|> c", "<|endoftext|>", "a  <|endoftext|>  b <|startoftext|> c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for file, end in (("byte_bpe_50k.json", 2), ("word_bpe_49k.json", 0)):
+        tokenizer = Tokenizer.from_file(str(public_tokenizers.path(file)))
+        want[file] = sorted((i, zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, end], "<u4").tobytes())) for i, t in enumerate(texts))
+    out = shared_dir(spark, "test-shards")
+    records = token_shards.write_shards(docs, out, str(public_tokenizers.path("byte_bpe_50k.json")), end_id=2)
+    parts = token_shards.index_parts(records)
+    token_shards.write_index(records, out, parts)
+    back = token_shards.read_ids(token_shards.located(records, out, parts), out)
+    assert sorted(tuples(back.select("doc_id", "ids_crc32"))) == want["byte_bpe_50k.json"]
+    assert sorted(tuples(packing.packed_documents(docs).select("doc_id", "ids_crc32"))) == want["word_bpe_49k.json"]
+
+
 def test_shards_of_an_empty_table(spark):
     out = shared_dir(spark, "test-shards")
     records = token_shards.write_shards(empty(spark), out, str(public_tokenizers.path("byte_bpe_50k.json")), end_id=2)

@@ -25,6 +25,18 @@ def test_pieces_give_the_ids_of_whole_texts(file, encode):
     same(*encode(pa.array(TEXTS), path), [tokenizer.encode(t, add_special_tokens=False).ids for t in TEXTS])
 
 
+ADDED = ["a b <|endoftext|> c", "<|endoftext|>", "a <|endoftext|>b", "a<|endoftext|> b", "a  <|endoftext|>  b c", "<|endoftext|> <|startoftext|> a b", "x <|endoftext|>\n y z", " <|endoftext|>", "<|StartOfText|> a", "<|endof text|> a <|startoftext|>'s"]
+
+
+@pytest.mark.parametrize(("file", "encode"), [("byte_bpe_50k.json", words.byte_pair_ids), ("word_bpe_49k.json", words.word_pair_ids)])
+def test_added_tokens_have_the_library_s_ids(file, encode):
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path(file))
+    tokenizer = Tokenizer.from_file(path)
+    same(*encode(pa.array(TEXTS + ADDED), path, added=True), [tokenizer.encode(t, add_special_tokens=False).ids for t in TEXTS + ADDED])
+
+
 def test_backtracking_gives_the_library_s_ids():
     import sentencepiece
 
