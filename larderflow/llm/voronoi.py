@@ -70,7 +70,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
     r = materialised(queries.mapInArrow(dealt(True), schema), "voronoi-queries")
     near = min(K_SUMMARY, k + 1)
     summary = s.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).toPandas()
-    ranked = s.select("cell", "d", F.row_number().over(Window.partitionBy("cell").orderBy("d")).alias("i")).filter(F.col("i") <= near).select("cell", "d").toPandas()  # cells * near rows
+    # one row per id: a query's own id, however often and in however many cells it stands, takes one of the k + 1 places
+    apart = s.groupBy("vec_id").agg(F.min(F.struct("d", "cell")).alias("x")).select("x.cell", "x.d")
+    ranked = apart.select("cell", "d", F.row_number().over(Window.partitionBy("cell").orderBy("d")).alias("i")).filter(F.col("i") <= near).select("cell", "d").toPandas()  # cells * near rows
     reach = r.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("high")).toPandas()
     if reach.empty:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

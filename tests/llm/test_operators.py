@@ -385,6 +385,20 @@ def test_top_k_against_brute_force(spark):
     assert voronoi.top_k(vectors, vectors.limit(0), 20).count() == 0
 
 
+def test_top_k_with_repeated_ids(spark):
+    r = np.random.default_rng(5)
+    v = np.floor(64 * r.normal(size=(60, 4))).astype("i8")
+    v[0], v[20] = [900, 0, 0, 0], [0, 900, 0, 0]  # the longest: as queries they are at no distance from themselves
+    # id 0 stands 50 times in one place, id 20 in two places; id 31, which is no query, 4 times
+    some = [(i, v[i].tolist()) for i in range(60)] + [(0, v[0].tolist())] * 49 + [(20, v[20].tolist())] * 30 + [(31, v[31].tolist())] * 3
+    some += [(20, [0, 0, 900, 0])] * 30
+    vectors = spark.createDataFrame(some, "vec_id long, v array<long>")
+    for q, pivots, block in ((0, 200, 16), (20, 200, 16), (40, 5, 1000)):  # one at a time: queries of a group share what is sent
+        out = voronoi.top_k(vectors, spark.createDataFrame([(q, v[q].tolist())], vectors.schema), 20, pivots=pivots, block_rows=block).collect()
+        best = sorted((-int(np.dot(v[q], x)), i) for i, x in some if i != q)[:20]
+        assert sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in out) == [(q, k + 1, i, -d) for k, (d, i) in enumerate(best)]
+
+
 # SentencePiece
 
 
