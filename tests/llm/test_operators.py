@@ -471,6 +471,17 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     assert Counter(map(tuple, out)) == classes_by_hand(some)
 
 
+def test_near_duplicates_of_few_long_documents(spark, monkeypatch):
+    some = []
+    for k in range(6):
+        long = words(900 + k, 300).split()
+        some += [(10 * k, " ".join(long)), (10 * k + 1, " ".join([*long[:150], "changed", *long[151:]]))]
+    monkeypatch.setattr(lsh_forest, "BLOCK_SHINGLES", 150)  # more blocks than members: some are empty
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    out = lsh_forest.near_duplicates(docs).select("doc_id", "class_id", "copy_id", "n_links").collect()
+    assert Counter(map(tuple, out)) == classes_by_hand(some)
+
+
 def test_one_of_each(spark):
     out = lsh_forest.one_of_each(table(spark))
     assert out.columns == table(spark).columns
