@@ -8,11 +8,20 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larderflow.llm.common import documents
+from larderflow.llm.common import documents, materialised
 
-#: A candidate: a whole run of these characters, of at least 16, that has a digit. Each run is read once from its start.
-CLASS = r"[A-Za-z0-9_+/=\-]"
-CANDIDATE = rf"(?<!{CLASS})(?={CLASS}{{16}})[A-Za-z_+/=\-]*+[0-9]{CLASS}*+"
+#: What candidates are made of. `=` is no part of it but for padding at the end: what stands before it is a name.
+CLASS = r"[A-Za-z0-9_+/\-]"
+PADDING = r"(?:={1,2}(?![A-Za-z0-9_+/=\-\"'`]))?+"
+KEYWORDS = r"token|secret|passw(or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer"
+#: A name with a keyword, and what may stand between it and its value.
+NAMED = rf"(?i:{KEYWORDS})(?:[_-][A-Za-z0-9_-]{{0,16}})?"
+#: A candidate: a whole run of these characters, of at least 16 with its padding, that has a digit; or a run of any length and kind that is assigned
+#: to a name with a keyword, or follows "bearer". Each run is read once from its start.
+LONG = rf"(?={CLASS}{{16}}|{CLASS}{{14,15}}=)[A-Za-z_+/\-]*+[0-9]{CLASS}*+"
+#: The first condition is a cheap one that most words of a text fail.
+ASSIGNED = rf"(?<=[:=]\s{{0,3}}[\"'`]?|(?i:arer)\s{{1,3}}[\"'`]?)(?<=(?:{NAMED}[\"'`]?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}|(?i:bearer)\s{{1,3}})[\"'`]?){CLASS}++"
+CANDIDATE = rf"(?<!{CLASS})(?:{LONG}|{ASSIGNED}){PADDING}"
 #: Characters of the text before and after a candidate whose words are looked at.
 BEFORE, AFTER = 48, 24
 TREES, DEPTH = 24, 6
@@ -24,7 +33,6 @@ DICTIONARY = """the and for that with this from have not are was were will your
 year good some could them see other than then now look only come over think also back after use two how our work first well way even new want because any these give day most
 user name file data test code line list item page image color style class value index table order number string config server client local main master example sample version
 update delete insert create table article story news report summer winter lorem ipsum dolor amet""".split()
-KEYWORDS = r"token|secret|passw(or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer"
 PLAIN = r"commit|sha[_-]?(1|256|512)|md5|hash|digest|checksum|integrity|revision|etag|uuid|guid|order|invoice|isbn|phone|card|serial|build|base64"
 
 #: name -> SQL over a candidate c (value, left, right, path).
@@ -45,7 +53,7 @@ FEATURES = {
     "dictionary": f"1 - length(regexp_replace(lower(c.value), '{'|'.join(sorted(DICTIONARY, key=len, reverse=True))}', '')) / length(c.value)",
     "test_path": "if(lower(c.path) rlike 'test|spec|example|fixture|sample|mock|docs?/', 1D, 0D)",
     "lock_path": r"if(lower(c.path) rlike 'lock|\\.sum|package|vendor', 1D, 0D)",
-    "key_before": f"if(c.left rlike '(?i)({KEYWORDS})[^A-Za-z0-9]{{0,8}}$', 1D, 0D)",
+    "key_before": f"if(c.left rlike '(?i){NAMED}[^A-Za-z0-9]{{0,8}}$', 1D, 0D)",
     "key_near": f"if(c.left rlike '(?i)({KEYWORDS})', 1D, 0D)",
     "plain_before": f"if(c.left rlike '(?i)({PLAIN})[^A-Za-z0-9]{{0,8}}$', 1D, 0D)",
     "assigned": r"if(c.left rlike '[:=]\\s*[\"\'`]?$', 1D, 0D)",
@@ -56,11 +64,18 @@ FEATURES = {
 
 
 def with_candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """docs with _pieces (the text between candidates) and _candidates (value, left, right, path); a null text has none."""
+    """docs with _pieces (the text between candidates) and _candidates (value, left, right, path; left and right are the text's characters before and
+    after the value, other candidates among them); a null text has none."""
     text = F.coalesce(F.col("text"), F.lit(""))
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
     out = docs.withColumns({"_pieces": F.split(text, CANDIDATE, -1), "_values": F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), "_path": where})
-    return out.withColumn("_candidates", F.expr(f"transform(_values, (v, i) -> struct(v as value, right(_pieces[i], {BEFORE}) as left, left(_pieces[i + 1], {AFTER}) as right, _path as path))")).drop("_values", "_path")
+    # between two candidates is a character at least: so many of them and their pieces hold all that is looked at
+    n, m = BEFORE // 2, AFTER // 2
+    earlier = f"array_join(zip_with(slice(_pieces, greatest(i - {n}, 0) + 1, least(i, {n})), slice(_values, greatest(i - {n}, 0) + 1, least(i, {n})), (p, x) -> concat(right(p, {BEFORE}), right(x, {BEFORE}))), '')"
+    later = f"array_join(zip_with(slice(_values, i + 2, {m}), slice(_pieces, i + 3, {m}), (x, p) -> concat(left(x, {AFTER}), left(p, {AFTER}))), '')"
+    left = f"right(concat({earlier}, right(_pieces[i], {BEFORE})), {BEFORE})"
+    right = f"left(concat(left(_pieces[i + 1], {AFTER}), {later}), {AFTER})"
+    return out.withColumn("_candidates", F.expr(f"transform(_values, (v, i) -> struct(v as value, {left} as left, {right} as right, _path as path))")).drop("_values", "_path")
 
 
 def feature_struct() -> str:
@@ -68,9 +83,17 @@ def feature_struct() -> str:
 
 
 def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFrame:
-    """Findings (value, left, right, path, secret) of the kinds that scans meet, made from hashes of their numbers: credentials where credentials
-    stand, and digests, identifiers, numbers, names and placeholders that look like them. A user's own reviewed findings take their place."""
-    r = spark.range(rows).withColumns({"h": F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 512), "k": F.pmod(F.xxhash64("id"), F.lit(20))})
+    """Findings (value, left, right, path, secret) of the kinds that scans meet: the candidates of whole texts that are made from hashes of their
+    numbers, with credentials where credentials stand, and digests, identifiers, numbers, names and placeholders that look like them. A user's own
+    reviewed findings take their place."""
+    texts = labelled_texts(spark, rows)
+    found = with_candidates(texts, "path").select("credential", F.explode("_candidates").alias("c")).select("c.*", F.when(F.instr(F.col("credential"), F.col("c.value")) > 0, 1).otherwise(0).alias("secret"))
+    return materialised(found, "labelled-findings")  # training reads them several times
+
+
+def labelled_texts(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFrame:
+    """text, path and credential (the part of the text that is secret, or null)."""
+    r = spark.range(rows).withColumns({"h": F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 512), "k": F.pmod(F.xxhash64("id"), F.lit(31))})
     r = r.withColumns({"b64": F.regexp_replace(F.base64(F.unhex("h")), "\\s", ""), "n": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(7)).cast("int"), "u": F.pmod(F.xxhash64("id", F.lit(2)), F.lit(100))})
     word = F.element_at(F.array(*[F.lit(w) for w in DICTIONARY]), (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(len(DICTIONARY))) + 1).cast("int"))
     other = F.element_at(F.array(*[F.lit(w) for w in DICTIONARY]), (F.pmod(F.xxhash64("id", F.lit(4)), F.lit(len(DICTIONARY))) + 1).cast("int"))
@@ -78,6 +101,9 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFra
     key = F.element_at(F.array(*[F.lit(x) for x in ('token = "', "api_key=", 'password: "', "secret = '", "access_key: ", "auth_token=", "Authorization: Bearer ")]), F.col("n") + 1)
     plain = F.element_at(F.array(*[F.lit(x) for x in ("commit ", "sha1: ", "md5 ", "checksum=", 'integrity="', "revision ", "etag: ")]), F.col("n") + 1)
     digits = F.regexp_replace(F.translate("h", "abcdef", "123456"), "[^0-9]", "")
+    line = F.element_at(F.array(*[F.lit(x) for x in ("password: ", 'token = "', "secret: ", "auth=", 'passwd = "', "api_key: ", 'password = "')]), F.col("n") + 1)
+    setting = F.element_at(F.array(*[F.lit(x) for x in ("AWS_SECRET_ACCESS_KEY=", "DB_PASSWORD=", "api_key_prod_2024=", "GITHUB_TOKEN=", "client_secret_2023_v10=", "API_KEY: ", "auth-token-live-01: ")]), F.col("n") + 1)
+    letters = F.translate("b64", "0123456789+/=", "qzxkvbnwjyfgh")
     kinds = [  # value, left, secret
         (F.substring("h", 1, 40), F.concat(lead, key), 1),
         (F.upper(F.substring("h", 1, 40)), F.concat(lead, F.upper(key)), 1),
@@ -99,12 +125,24 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFra
         (F.concat(F.lit("your_"), word, F.lit("_key_123456")), F.concat(lead, key), 0),
         (F.concat(F.lit("xxxxxxxxxxxxxxxx"), F.substring(digits, 1, 3)), F.concat(lead, key), 0),
         (F.concat(F.substring("b64", 1, 60)), F.concat(lead, F.lit("data:image/png;base64,")), 0),
+        (F.substring("b64", 1, 40), F.concat(lead, setting), 1),
+        (F.substring("h", 1, 40), F.concat(lead, setting), 1),
+        (F.concat_ws(".", F.concat(F.lit("eyJ"), F.regexp_replace(F.substring("b64", 1, 33), "[+/=]", "_")), F.concat(F.lit("eyJ"), F.regexp_replace(F.substring("b64", 20, 50), "[+/=]", "-")), F.regexp_replace(F.substring("b64", 9, 43), "[+/=]", "_")), F.concat(lead, F.when(F.col("n") < 4, "Authorization: Bearer ").otherwise(setting)), 1),
+        (F.substring(letters, 1, 24), F.concat(lead, line), 1),
+        (F.substring(letters, 3, 10), F.concat(lead, line), 1),
+        (F.lower(F.substring(letters, 13, 12)), F.concat(lead, line), 1),
+        (F.concat(word, F.substring(digits, 1, 3), F.substring(letters, 5, 5)), F.concat(lead, line), 1),
+        (F.concat(word, F.lit(" "), other), F.concat(lead, line), 0),
+        (F.concat_ws("_", word, other), F.concat(lead, line), 0),
+        (F.element_at(F.array(*[F.lit(x) for x in ("None", "null", "true", "false", "required", "os", "process")]), F.col("n") + 1), F.concat(lead, line), 0),
+        (F.substring("h", 1, 40), F.concat(lead, F.lit("GIT_COMMIT=")), 0),
     ]
     pick = lambda i: F.coalesce(*[F.when(F.col("k") == k, F.lit(x[i]) if i == 2 else x[i]) for k, x in enumerate(kinds)])
     path = F.when(F.col("u") < 5, F.lit("src/tests/fixtures.py")).when(F.col("u") < 10, F.concat(F.lit("web/"), word, F.lit(".lock"))).when(F.col("u") < 40, F.concat(F.lit("src"), F.col("n").cast("string"))).otherwise(F.concat(F.lit("app/"), word, F.lit(".py")))
     # some findings stand in running text whose marks and case have been changed
     left = F.when(F.col("u") % 10 == 3, F.upper(pick(1))).otherwise(pick(1))
-    return r.select(pick(0).alias("value"), left.alias("left"), F.when(F.col("u") % 3 == 0, '" end').when(F.col("u") % 3 == 1, F.lit(" and more")).otherwise(F.lit('"&&& end')).alias("right"), path.alias("path"), pick(2).alias("secret"))
+    right = F.when(F.col("u") % 3 == 0, '" end').when(F.col("u") % 3 == 1, F.lit(" and more")).otherwise(F.lit('"&&& end'))
+    return r.select(F.concat(left, pick(0), right).alias("text"), path.alias("path"), F.when(pick(2) == 1, pick(0)).alias("credential"))
 
 
 def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> str:
