@@ -9,12 +9,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one Python step works on at a time; a longer single text is its own step.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 8 << 20
 #: log2 of the bits of the filter that keeps rows without a partner out of a join.
 FILTER_BITS = 24
 
@@ -23,7 +23,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder (as a URI or path) under spark.checkpoint.dir, which all executors see."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = tempfile.mkdtemp(prefix="larderflow-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="larderflow-")  # one process: the driver's folder is the executors'
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/larderflow/{name}-{uuid.uuid4().hex}"
 
@@ -35,6 +37,9 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_WORDS: dict[tuple, object] = {}
+
+
 def give_back() -> None:
     """Returns a worker's freed memory to the system: a worker outlives its tasks, and what one stage has freed would stand beside the next one's."""
     pa.default_memory_pool().release_unused()
@@ -43,6 +48,20 @@ def give_back() -> None:
         trim(0)
 
 
+def cached_words(key: tuple, make: Callable[[], object]) -> object:
+    """A worker's cache of words: a worker that turns to another stage's cache drops the one it has."""
+    if key not in _WORDS:
+        without_words()
+        _WORDS[key] = make()
+    return _WORDS[key]
+
+
+def without_words() -> None:
+    """Drops a worker's cache of words. To be called first by whatever a worker does without one: workers are used again by the stages that follow."""
+    _WORDS.clear()
+    give_back()
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the column's bytes stay near STEP_BYTES each."""
     give_back()
@@ -59,6 +78,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordB
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, pa.Table]]:
     """(key, rows) for each run of equal keys in batches that are sorted by it; holds one run at a time."""
+    without_words()
     held: list[pa.RecordBatch] = []
     now: object = None
     for batch in batches:
@@ -106,10 +126,25 @@ def text_or_empty() -> F.Column:
     return F.coalesce(F.col("text"), F.lit("")).alias("text")
 
 
+#: Holds the columns that an operator only hands on, whatever their names.
+REST = "_rest"
+
+
+def sealed(df: DataFrame, own: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """df's columns `own` and all others in one struct, so that their names cannot clash with an operator's."""
+    rest = [F.col(f"`{c}`").alias(c) for c in df.columns if c not in own]
+    return df.select(*own, F.struct(*(rest or [F.lit(0).alias("none")])).alias(REST))
+
+
+def opened(columns: list[str], own: tuple[str, ...] = ("doc_id", "text")) -> list[Column]:
+    """What to select from sealed rows to get `columns` back, in their order."""
+    return [F.col(c) if c in own else F.col(REST).getField(c).alias(c) for c in columns]
+
+
 def sieved(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """rows with _touched: false for those whose keys are surely not in found (a join would only carry their texts about), true for the rest.
 
-    The filter has a fixed 2 ** FILTER_BITS bits, 2 MB, whatever the number of keys: filled up, it lets every row pass to the join, which decides."""
+    rows: without columns _bit and _touched. The filter has a fixed 2 ** FILTER_BITS bits, 2 MB, whatever the number of keys: filled up, it lets every row pass to the join, which decides."""
     bit = F.pmod(F.xxhash64(*keys), F.lit(1 << FILTER_BITS))
     words = found.select(bit.alias("b")).distinct().groupBy((F.col("b") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")).toPandas()
     bits = np.zeros(1 << (FILTER_BITS - 6), "i8")
@@ -117,6 +152,7 @@ def sieved(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(bits)
 
     def sieve(batches):
+        without_words()
         for batch in batches:
             key = batch.column("_bit").to_numpy(zero_copy_only=False)
             hit = (held.value[key >> 6] >> (key & 63)) & 1 == 1

@@ -29,7 +29,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(1 << BITS, "i8")
         for batch in steps(batches, "text"):
-            h, n = term_hashes(batch.column("text").to_pylist())
+            h, n = term_hashes(batch.column("text"))
             pairs = np.unique(np.repeat(np.arange(len(n)), n) << BITS | (mix(h) >> np.uint64(64 - BITS)).astype("i8"))
             total += np.bincount(pairs & (1 << BITS) - 1, minlength=1 << BITS)
         seen = np.flatnonzero(total)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larderflow.llm.common import documents, mapped, materialised, text_or_empty
+from larderflow.llm.common import documents, mapped, materialised, text_or_empty, without_words
 from larderflow.llm.words import word_pair_ids
 
 CAPACITY = 2048
@@ -96,12 +96,13 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def solver(turn: int, last: bool, capacity: int):
+def solver(turn: int, last: bool, capacity: int, ids: tuple[str, str], size: str):
     """Packs one partition of a round; all its sequences are done if its bin count equals the bound."""
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable").drop(columns="_group").reset_index(drop=True)
-        sizes = pdf["length"].to_numpy("i8")
+        without_words()
+        pdf = pdf.sort_values(list(ids), kind="stable").drop(columns="group").reset_index(drop=True)
+        sizes = pdf[size].to_numpy("i8")
         bins, bound = best_fit_decreasing(sizes, capacity), lower_bound(sizes, capacity)
         n_bins = int(bins.max()) + 1
         order = np.argsort(bins, kind="stable")
@@ -120,30 +121,40 @@ def solver(turn: int, last: bool, capacity: int):
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
     """Adds sequence_id, offset (gapless from 0 in each sequence), and bins and bound of the partition that made the sequence to pieces.
 
-    pieces: doc_id, piece, length (1 to capacity) and any other columns, which are kept. Repeated rows are packed each for itself; an empty table gives
-    an empty one. A partition whose bin count equals its lower bound is certified and done; of the others, the sequences with more than FILLED of
-    their room free are taken apart, dealt anew among all such partitions, and packed again, for at most `rounds` rounds."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    made = schema + ", sequence_id long, offset long, bins int, bound int, done boolean"
-    open_, done = pieces, None
+    pieces: doc_id, piece, length (1 to capacity) and any other columns, which are kept; those with the names of the added ones are replaced. Repeated
+    rows, equal and null ids are packed each for itself, dealt out evenly; an empty table gives an empty one. A partition whose bin count equals its
+    lower bound is certified and done; of the others, the sequences with more than FILLED of their room free are taken apart, dealt anew among all
+    such partitions, and packed again, for at most `rounds` rounds: what the last round makes stays, certified or not (bins > bound tells)."""
+    added = {"sequence_id": "long", "offset": "long", "bins": "int", "bound": "int"}
+    names = {c: f"in_{i}" for i, c in enumerate(pieces.columns)}  # the solver's own names never clash with the table's
+    held = pieces.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema.fields)
+    made = schema + ", " + ", ".join(f"{k} {v}" for k, v in added.items()) + ", done boolean"
+    ids, size = (names["doc_id"], names["piece"]), names["length"]
+    open_, done = held, None
     for turn in range(rounds):
         n = open_.count()
         if not n and done is not None:
             break
         groups = max(1, -(-n // group_pieces))
-        dealt = open_.withColumn("_group", F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "length"), F.lit(groups)))
-        packed = materialised(dealt.groupBy("_group").applyInPandas(solver(turn, turn == rounds - 1, capacity), made), f"packed-{turn}")
+        # the row's number parts equal rows; pieces come from written files, so a task that runs again numbers them alike
+        dealt = open_.withColumn("group", F.pmod(F.xxhash64(F.lit(turn), *ids, F.monotonically_increasing_id()), F.lit(groups)))
+        packed = materialised(dealt.groupBy("group").applyInPandas(solver(turn, turn == rounds - 1, capacity, ids, size), made), f"packed-{turn}")
         new = packed.filter("done").drop("done")
         done = new if done is None else done.unionByName(new)
-        open_ = packed.filter("not done").select(*pieces.columns)
-    return done
-
-
-def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_documents(documents(spark, sf_dir))
+        open_ = packed.filter("not done").select(*names.values())
+    return done.select(*[F.col(n).alias(c) for c, n in names.items() if c not in added], *added)
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
+    """The pieces of docs (doc_id, text), packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset, bins, bound. A null text counts as
+    empty and an empty one is the piece of its end id; rows that repeat an id, and rows with a null id, have their own pieces each; other columns are
+    left out; an empty table gives an empty one."""
     import public_tokenizers
 
     return pack(materialised(token_pieces(docs, str(public_tokenizers.path("word_bpe_49k.json")), end_id=0), "pieces"))
+
+
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """packed_documents() of the whole table `documents`, nulls, repeated rows, long texts and all."""
+    return packed_documents(documents(spark, sf_dir))

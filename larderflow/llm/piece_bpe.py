@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from larderflow.llm.common import documents, mapped, text_or_empty
-from larderflow.llm.words import PieceCache, cached, cached_words
+from larderflow.llm.common import cached_words, documents, mapped, text_or_empty
+from larderflow.llm.words import PieceCache, cached
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -138,7 +138,7 @@ def library(path: str):
 def piece_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts (no nulls) as SentencePiece's own encode gives them, without begin and end ids; an empty text has none."""
     cache = cached_words(("pieces", path), lambda: PieceCache(PieceEncoder(model_pieces(path)).encode_many, " ", " ", re.compile(SPACE)))
-    return cache.encode(texts.to_pylist())
+    return cache.encode(texts)
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:

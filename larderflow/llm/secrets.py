@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larderflow.llm.common import documents, materialised
+from larderflow.llm.common import REST, documents, materialised, opened, sealed
 
 #: What candidates are made of. `=` is no part of it but for padding at the end: what stands before it is a name.
 CLASS = r"[A-Za-z0-9_+/\-]"
@@ -196,22 +196,28 @@ def findings(docs: DataFrame, forest: str, path: str = "source") -> DataFrame:
     """doc_id, start (0-based, code points), length, score, secret (score >= 0.5) and a digest of each candidate of docs (doc_id, text, path).
 
     Rows without candidates, null and empty texts have no findings; repeated rows have theirs each; other columns are ignored."""
-    from pyspark.sql.window import Window
-
-    kept = docs.select("doc_id", "text", *[c for c in (path,) if c in docs.columns])
-    rows = scanned(kept, forest, path).filter("size(_candidates) > 0").withColumn("_row", F.monotonically_increasing_id())
-    found = rows.select("doc_id", "_row", F.posexplode(F.expr("transform(_candidates, (c, i) -> struct(length(_pieces[i]) as gap, length(c.value) as length, sha2(c.value, 256) as value_sha256, _scores[i] as score))")).alias("i", "c"))
-    before = F.sum(F.col("c.gap") + F.col("c.length")).over(Window.partitionBy("_row").orderBy("i"))
-    return found.select("doc_id", (before - F.col("c.length")).alias("start"), F.col("c.length").cast("long").alias("length"), F.col("c.score").alias("score"), (F.col("c.score") >= 0.5).alias("secret"), F.col("c.value_sha256").alias("value_sha256"))
+    kept = docs.select("doc_id", "text", (F.col(f"`{path}`").cast("string") if path in docs.columns else F.lit(None).cast("string")).alias("path"))
+    rows = scanned(kept, forest, "path").filter("size(_candidates) > 0")
+    # running sums of the lengths, candidate by candidate: no row leaves its task
+    ends = "aggregate(zip_with(_pieces, _candidates, (p, c) -> struct(length(p) as gap, length(c.value) as length)), cast(array() as array<bigint>), (a, x) -> array_append(a, coalesce(try_element_at(a, -1), 0L) + x.gap + coalesce(x.length, 0)))"
+    rows = rows.withColumn("_ends", F.expr(ends))
+    found = rows.select("doc_id", F.explode(F.expr("transform(_candidates, (c, i) -> struct(_ends[i] - length(c.value) as start, length(c.value) as length, sha2(c.value, 256) as value_sha256, _scores[i] as score))")).alias("c"))
+    return found.select("doc_id", F.col("c.start").alias("start"), F.col("c.length").cast("long").alias("length"), F.col("c.score").alias("score"), (F.col("c.score") >= 0.5).alias("secret"), F.col("c.value_sha256").alias("value_sha256"))
 
 
 def redacted(docs: DataFrame, forest: str, path: str = "source") -> DataFrame:
-    """docs with the candidates that the forest calls secrets replaced by MASK; null texts stay null."""
+    """docs with the candidates that the forest calls secrets replaced by MASK; null texts stay null, empty ones empty, repeated rows stay repeated.
+    Other columns are handed on unchanged, whatever their names; `path`, if it is one of them, tells the forest where a text is from."""
+    columns = docs.columns
+    held = sealed(docs, ("text",))
+    where = F.col(REST).getField(path).cast("string") if path in columns else F.lit(None).cast("string")
+    out = scanned(held.withColumn("path", where), forest, "path")
     masks = F.expr(f"zip_with(_candidates, _scores, (c, s) -> if(s >= 0.5, '{MASK}', c.value))")
-    out = scanned(docs, forest, path).withColumn("_masks", masks)
-    joined = F.array_join(F.expr("zip_with(_pieces, _masks, (p, m) -> concat(coalesce(p, ''), coalesce(m, '')))"), "")
-    return out.withColumn("text", F.when(F.size("_candidates") > 0, joined).otherwise(F.col("text"))).select(*docs.columns)
+    joined = F.array_join(F.zip_with("_pieces", masks, lambda p, m: F.concat(F.coalesce(p, F.lit("")), F.coalesce(m, F.lit("")))), "")
+    return out.withColumn("text", F.when(F.size("_candidates") > 0, joined).otherwise(F.col("text"))).select(*opened(columns, ("text",)))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """findings() of `documents`: one row for each candidate of each row; rows without one, among them null and empty texts, have none, repeated rows
+    have theirs each; a null doc_id stays null; other columns are left out, `source` is the path."""
     return findings(documents(spark, sf_dir), train_forest(labelled_findings(spark)))

@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from larderflow.llm.common import documents, materialised, ragged, repeated_ids, sieved, steps
-from larderflow.llm.words import cached_words, mix
+from larderflow.llm.common import cached_words, documents, materialised, opened, ragged, repeated_ids, sealed, sieved, steps, without_words
+from larderflow.llm.words import mix
 
 WIDTH = 13
 #: Reference words of a shard, and words that one task streams against it, on average.
 SHARD_WORDS = 65_536
+#: Windows of one part, on average: what a task holds at a time.
+PART_WINDOWS = 1_000_000
 ASKED_WORDS = 524_288
 REM = 5
 
@@ -172,7 +174,7 @@ def window_rows(docs: DataFrame, parts: int, width: int) -> DataFrame:
                 base = int(ids.min())
                 delta = ids - base
                 delta = delta.astype("u4") if int(delta.max()) < 2**32 else delta
-                sizes_out = sizes.astype("u2") if sizes.max() < 65536 else sizes.astype("u4")
+                sizes_out = sizes.astype("u1" if sizes.max() < 256 else "u2" if sizes.max() < 65536 else "u4")
                 cuts = np.flatnonzero(np.r_[True, part[heads][1:] != part[heads][:-1]])
                 edges = np.r_[cuts, len(heads)]
                 ends = np.r_[heads, len(part)]
@@ -191,12 +193,13 @@ def answers(rows: DataFrame, parts: int) -> DataFrame:
     `parts` buckets of documents, and a bucket puts its documents' flags together, so the rows are as many as the documents."""
 
     def solve(batches):
+        without_words()
         ids, tags, sizes, rems, part = [], [], [], [], None
         for batch in batches:
             for p, tag, base, n, d, s, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 part = p
                 ids.append(np.frombuffer(d, "u4" if len(d) == 4 * n else "i8").astype("i8") + base)
-                sizes.append(np.frombuffer(s, "u2" if len(s) == 2 * n else "u4").astype("i8"))
+                sizes.append(np.frombuffer(s, f"u{len(s) // n}").astype("i8"))
                 tags.append(np.full(n, tag, "i4"))
                 rems.append(np.frombuffer(r, "u1").reshape(-1, REM))
         if part is None:
@@ -207,15 +210,20 @@ def answers(rows: DataFrame, parts: int) -> DataFrame:
         del rems
         h, entry = rem.view("u8").ravel(), np.repeat(np.arange(len(ids), dtype="i4"), sizes)
         order = np.argsort(h, kind="stable")
-        sorted_h = h[order]
-        heads = np.flatnonzero(np.r_[True, sorted_h[1:] != sorted_h[:-1]])
-        del sorted_h, h, rem
-        doc = ids[entry[order]]
-        lows, highs = np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads)
-        size = np.diff(np.r_[heads, len(doc)])
-        low = np.repeat(lows, size)
-        flag, owner = np.zeros(len(doc), "u1"), np.zeros(len(doc), "i8")
-        flag[order], owner[order] = np.where(doc > low, 1, np.where(np.repeat(highs > lows, size), 2, 0)), low
+        h = h[order]
+        heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        del h, rem
+        order, n = order.astype("i4"), np.diff(np.r_[heads, len(order)])
+        # most windows stand alone: only the others go on
+        order, n = order[np.repeat(n > 1, n)], n[n > 1]
+        flag, owner = np.zeros(len(entry), "u1"), np.zeros(len(entry), "i8")
+        if len(order):
+            doc, heads = ids[entry[order]], np.cumsum(n) - n
+            lows, highs = np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads)
+            low = np.repeat(lows, n)
+            flag[order], owner[order] = np.where(doc > low, 1, np.where(np.repeat(highs > lows, n), 2, 0)), low
+            del doc, low
+        del order
         hit = np.unique(entry[flag > 0])
         bucket = (mix(ids[hit].view("u8") + tags[hit].astype("u8")) % np.uint64(parts)).astype("i8")
         hit = hit[np.argsort(bucket, kind="stable")]
@@ -228,6 +236,7 @@ def answers(rows: DataFrame, parts: int) -> DataFrame:
             yield pa.record_batch([pa.array([x], t) for x, t in zip((b, part, ids[mine].tobytes(), tags[mine].tobytes(), sizes[mine].astype("u4").tobytes(), flags.tobytes(), owner[at][flags == 1].tobytes()), (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)], ["bucket", "part", "ids", "tags", "sizes", "flags", "owners"])
 
     def gather(batches):
+        without_words()
         held: list[list[np.ndarray]] = [[], [], [], [], [], []]
         for batch in batches:
             for part, *raw in zip(*(batch.column(c).to_pylist() for c in ("part", "ids", "tags", "sizes", "flags", "owners")), strict=True):
@@ -262,7 +271,8 @@ def removals(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame,
     """(plain, touched, lost): docs with a tag, split into those that lose nothing and those that may; lost has doc_id, tag and the spans of words, an
     array<struct<a, b>>, that go."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # by the text's size, a word being some seven bytes: a part's memory is the same at every size of the table
+    parts = max(1, -(-int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (7 * PART_WINDOWS)))
     docs = _tagged(docs)
     found = materialised(answers(window_rows(docs, parts, width), parts), "substring-answers")
     marked = sieved(docs, found, ["doc_id", "tag"])
@@ -310,6 +320,7 @@ def removals(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame,
     salted = salted.select("shard", F.explode("salt").alias("salt"), "asks", "doc_id", "tag", "start", "words")
 
     def stream(batches):
+        without_words()
         tree, now, fed = None, None, None
         for batch in batches:
             out = []
@@ -368,8 +379,9 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with the words removed from text that stand in a window of `width` words which an earlier document (smaller doc_id) has.
 
     A text that loses words becomes its kept words joined by one space; any other stays as it is. Null and empty texts and those of fewer words stay;
-    a null doc_id is neither earlier nor later than another; rows that repeat a doc_id are not earlier than each other. Other columns are kept."""
-    columns = docs.columns
+    a null doc_id is neither earlier nor later than another; rows that repeat a doc_id are not earlier than each other. Other columns are handed on
+    unchanged, whatever their names; an empty table gives an empty one."""
+    columns, docs = docs.columns, sealed(docs)
     plain, touched, lost = removals(docs, width)
     schema = T.StructType(docs.schema.fields)
 
@@ -377,9 +389,10 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         texts = []
         for text, gone in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             texts.append(b" ".join(kept_words(text, gone)[0]).decode() if gone else text)
-        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], columns)
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in schema.names], schema.names)
 
-    return plain.select(columns).unionByName(_finish(touched.join(lost, ["doc_id", "tag"], "left").select(*columns, "spans"), step, schema))
+    changed = _finish(touched.join(lost, ["doc_id", "tag"], "left").select(*schema.names, "spans"), step, schema)
+    return plain.select(schema.names).unionByName(changed).select(*opened(columns))
 
 
 def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -400,4 +413,6 @@ def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digests() of `documents`: a row for each row. A null or empty text has no words; of repeated rows each has its own, and none is earlier than the
+    others; a null doc_id loses and takes nothing; other columns are left out."""
     return digests(documents(spark, sf_dir))

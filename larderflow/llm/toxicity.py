@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larderflow.llm.common import documents, mapped, text_or_empty
+from larderflow.llm.common import documents, mapped, opened, sealed
 from larderflow.llm.words import mix, term_hashes
 
 #: log2 of the number of weights.
@@ -38,7 +38,7 @@ class Model:
         return out
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(feature index, row) of all words, word pairs and pairs that skip one word; repeats included."""
     h, counts = term_hashes(texts)
     row = np.repeat(np.arange(len(texts)), counts)
@@ -112,15 +112,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs' columns and score (0 to 1) and predicted (1 if score >= 0.5): each distinct n-gram of the whole text counts once. A null or empty text has
-    the score of the bias alone. Columns named score or predicted are replaced."""
+    the score of the bias alone; repeated rows have one score. Columns named score or predicted are replaced, others handed on unchanged."""
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-    docs = docs.drop("score", "predicted")
+    columns = [c for c in docs.columns if c not in ("score", "predicted")]
+    docs = sealed(docs, ("text",))
     weights = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(batch):
         m = weights.value
-        index, row = features(["" if t is None else t for t in batch.column("text").to_pylist()])
+        index, row = features(batch.column("text").fill_null(""))
         w = m.dense()[index]
         hit = np.flatnonzero(w)
         _, once = np.unique(row[hit] << BITS | index[hit], return_index=True)
@@ -129,10 +130,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype("i4"))], [*batch.schema.names, "score", "predicted"])
 
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return mapped(docs, step, "text", schema)
+    return mapped(docs, step, "text", schema).select(*opened(columns, ("text",)), "score", "predicted")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() of `documents`, learned from `labels`: a row for each row; null and empty texts have the score of the bias, repeated rows the same score,
+    a null doc_id counts as held out; other columns are left out."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

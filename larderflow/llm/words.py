@@ -2,112 +2,123 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import re
+import string
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from larderflow.llm.common import give_back, ragged
+from larderflow.llm.common import cached_words, ragged
 
 #: Between a character that is no white space and a single space before another such character.
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-class _Slots(dict):
-    """piece -> slot; an unknown piece gets the next slot and waits to be encoded."""
-
-    def __init__(self):
-        super().__init__()
-        self.waiting: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        slot = self[piece] = len(self)
-        self.waiting.append(piece)
-        return slot
+#: Pieces that one call of the tokenizer takes: what it returns for each is far larger than its ids.
+ENCODED_AT_ONCE = 10_000
+MARKS = string.punctuation
+#: Below it, libraries agree on what is a letter and on lower case; U+0130 alone becomes two characters.
+LATIN_END = "\u0250"
+PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
 
 
 class PieceCache:
     """Ids of the words of texts. A word stands after `rest`, a text's first word after `first`; words are what lies between single spaces.
 
     encode_many: list of pieces -> (flat ids, number of ids per piece). A word that begins or ends with white space (or is empty, or that `unsafe`
-    finds) may belong together with its neighbours: its text is cut at SAFE_CUT only; not so if words never do (`apart`). The cache is begun anew beyond `limit` pieces or `8 * limit`
-    ids, so its memory is bounded."""
-
-    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], first: str, rest: str, unsafe: re.Pattern | None = None, limit: int = 200_000, apart: bool = False, dtype: str = "u4"):
-        self.encode_many, self.first, self.rest, self.unsafe, self.limit, self.apart, self.dtype = encode_many, first, rest, unsafe, limit, apart, dtype
-        self._fresh()
-
-    def _fresh(self) -> None:
-        self.slots = _Slots()
-        self.starts = np.zeros(1 << 16, "i8")
-        self.lengths = np.zeros(1 << 16, "i4")  # -1: its text must be cut otherwise
-        self.pool = np.zeros(1 << 18, self.dtype)
-        self.used = 0
-
-    def _encode_waiting(self) -> None:
-        waiting, n = self.slots.waiting, len(self.slots)
-        self.slots.waiting = []
-        while n > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        at = n - len(waiting)
-        for a in range(0, len(waiting), 20_000):
-            some = waiting[a : a + 20_000]
-            good = np.ones(len(some), bool) if self.apart else np.fromiter((bool(w) and not w[0].isspace() and not w[-1].isspace() and (self.unsafe is None or self.unsafe.search(w) is None) for w in some), bool, len(some))
-            flat, counts = self.encode_many([self.rest + w for w, ok in zip(some, good.tolist(), strict=True) if ok])
-            lengths = np.full(len(some), -1, "i4")
-            lengths[good] = counts
-            self.lengths[at : at + len(some)] = lengths
-            self.starts[at : at + len(some)] = self.used + np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
-            self._append(flat)
-            at += len(some)
-
-    def _append(self, flat: np.ndarray) -> None:
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, number of ids per text)."""
-        if not texts:
+    finds) may belong together with its neighbours: its text is cut at SAFE_CUT only; not so if words never do (`apart`). With `marks`, ASCII marks
+    at a word's end never share an id with the letter or digit before them, so that they are a piece of their own.
+
+    The distinct words of a call are found by Arrow and their pieces encoded once. Pieces are kept for later calls, `limit` of them at most: beyond
+    it the most frequent ones of the latest call remain, so memory is bounded and common words are never encoded anew."""
+
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], first: str, rest: str, unsafe: re.Pattern | None = None, limit: int = 150_000, apart: bool = False, marks: bool = False, dtype: str = "u4"):
+        self.encode_many, self.first, self.rest, self.unsafe, self.limit, self.apart, self.marks, self.dtype = encode_many, first, rest, unsafe, limit, apart, marks, dtype
+        self.slots: dict[str, int] = {}
+        self.starts, self.lengths, self.pool = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, dtype)
+
+    def _all(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.encode_many(pieces[a : a + ENCODED_AT_ONCE]) for a in range(0, len(pieces), ENCODED_AT_ONCE)]
+        return (np.concatenate([x for x, _ in parts]).astype(self.dtype), np.concatenate([n for _, n in parts]).astype("i8")) if parts else (np.zeros(0, self.dtype), np.zeros(0, "i8"))
+
+    def _pieces(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """(distinct pieces, for each word its first and second piece): -1 is no piece; -2, as the first, a word whose text must be cut otherwise."""
+        at: dict[str, int] = {}
+        find = self.unsafe.search if self.unsafe is not None and self.unsafe.search("\0".join(words)) else None
+        one, two, new, rest, apart, marks, last = [], [], at.setdefault, self.rest, self.apart, self.marks, MARKS[-1]
+        for w in words:
+            if not apart and (not w or len(w.strip()) < len(w) or (find is not None and find(w))):
+                one.append(-2)
+                two.append(-1)
+                continue
+            if marks and w and w[-1] <= last and not w[-1].isalnum():
+                body = w.rstrip(MARKS)
+                if body and body[-1] < LATIN_END and body[-1].isalnum():
+                    one.append(new(rest + body, len(at)))
+                    two.append(new(w[len(body) :], len(at)))
+                    continue
+            one.append(new(rest + w, len(at)))
+            two.append(-1)
+        return list(at), np.column_stack([np.array(one, "i8"), np.array(two, "i8")])
+
+    def _keep(self, pieces: list[str], slots: np.ndarray, times: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pool: np.ndarray) -> None:
+        """Takes the new pieces in, or if there are too many begins anew with the most frequent ones of this call."""
+        chosen = np.flatnonzero(slots < 0)
+        if len(self.slots) + len(chosen) > self.limit:
+            chosen = np.flatnonzero(times > 1)
+            if len(chosen) > self.limit // 2:
+                chosen = np.sort(chosen[np.argsort(-times[chosen], kind="stable")[: self.limit // 2]])
+            self.slots, self.starts, self.lengths, self.pool = {}, self.starts[:0], self.lengths[:0], self.pool[:0]
+        sizes, before, used = lengths[chosen], len(self.slots), len(self.pool)
+        self.slots.update(zip((pieces[i] for i in chosen.tolist()), range(before, before + len(chosen)), strict=True))
+        self.starts = np.concatenate([self.starts, used + np.cumsum(sizes) - sizes])
+        self.lengths = np.concatenate([self.lengths, sizes])
+        self.pool = np.concatenate([self.pool, pool[ragged(starts[chosen], sizes)]])
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids per text) of texts without nulls."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
             return np.zeros(0, self.dtype), np.zeros(0, "i8")
-        if len(self.slots) > self.limit or self.used > 8 * self.limit:
-            self._fresh()
-        get = self.slots.__getitem__
-        rows = [np.fromiter(map(get, words), "i8", len(words)) for words in (t.split(" ") for t in texts)]
-        if self.slots.waiting:
-            self._encode_waiting()
-        words_in = np.fromiter(map(len, rows), "i8", len(rows))
-        seq = np.concatenate(rows)
-        lens = self.lengths[seq].astype("i8")
+        rows = pc.split_pattern(texts, " ")
+        words_in = pc.list_value_length(rows).to_numpy(zero_copy_only=False).astype("i8")
+        coded = rows.flatten().dictionary_encode()
+        words, seq = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        del rows, coded
+        pieces, parts = self._pieces(words)
+        get = self.slots.get
+        slots = np.fromiter((get(p, -1) for p in pieces), "i8", len(pieces))
+        known, new = np.flatnonzero(slots >= 0), np.flatnonzero(slots < 0)
+        flat, counts = self._all([pieces[i] for i in new.tolist()])
+        starts, lengths = np.zeros(len(pieces) + 1, "i8"), np.zeros(len(pieces) + 1, "i8")  # the last one: no piece
+        starts[known], lengths[known] = self.starts[slots[known]], self.lengths[slots[known]]
+        starts[new], lengths[new] = len(self.pool) + np.cumsum(counts) - counts, counts
+        pool = np.concatenate([self.pool, flat])
+        times = np.bincount(np.maximum(parts, -1).ravel() + 1, weights=np.repeat(np.bincount(seq, minlength=len(words)), 2), minlength=len(pieces) + 1)[1:]
+        self._keep(pieces, slots, times, starts, lengths, pool)
+
         heads = np.cumsum(words_in) - words_in
+        lens, at = lengths[np.maximum(parts, -1)][seq], starts[np.maximum(parts, -1)][seq]
         own: dict[int, np.ndarray] = {}  # a text's ids, where they aren't those of its words
-        for i in np.flatnonzero(np.minimum.reduceat(lens, heads) < 0).tolist():
-            own[i] = self._apart(texts[i])
-        starts = self.starts[seq]
-        if own:
-            lens[np.repeat(np.isin(np.arange(len(rows)), list(own)), words_in)] = 0
+        if (odd := parts[:, 0] == -2).any():
+            for i in np.flatnonzero(np.logical_or.reduceat(odd[seq], heads)).tolist():
+                own[i] = self._apart(texts[i].as_py())
+            lens[np.repeat(np.isin(np.arange(len(texts)), list(own)), words_in)] = 0
         if self.first != self.rest:  # the first words stand after something else
-            todo = [(i, t.partition(" ")[0]) for i, t in enumerate(texts) if i not in own]
-            pieces = list(dict.fromkeys(self.first + w for _, w in todo))
-            flat, counts = self.encode_many(pieces)
-            at = dict(zip(pieces, (self.used + np.cumsum(counts) - counts).tolist(), strict=True))
-            size = dict(zip(pieces, counts.tolist(), strict=True))
-            pool = np.concatenate([self.pool[: self.used], flat.astype("u4")]) if len(self.pool) < self.used + len(flat) else self.pool
-            pool[self.used : self.used + len(flat)] = flat
-            for i, w in todo:
-                starts[heads[i]], lens[heads[i]] = at[self.first + w], size[self.first + w]
-        else:
-            pool = self.pool
-        ids = pool[ragged(starts, lens)]
-        counts = np.add.reduceat(lens, heads)
+            todo = np.setdiff1d(np.arange(len(texts)), list(own))
+            firsts, which = np.unique(seq[heads[todo]], return_inverse=True)
+            flat, counts = self._all([self.first + words[i] for i in firsts.tolist()])
+            at[heads[todo], 0], lens[heads[todo], 0], lens[heads[todo], 1] = (len(pool) + np.cumsum(counts) - counts)[which], counts[which], 0
+            pool = np.concatenate([pool, flat])
+        ids = pool[ragged(at.ravel(), lens.ravel())]
+        counts = np.add.reduceat(lens.sum(1), heads)
         if own:
             ends = np.cumsum(counts)
-            parts = [own.get(i) if i in own else ids[ends[i] - counts[i] : ends[i]] for i in range(len(rows))]
-            ids, counts = np.concatenate(parts), np.fromiter(map(len, parts), "i8", len(parts))
+            texts_ids = [own[i] if i in own else ids[ends[i] - counts[i] : ends[i]] for i in range(len(texts))]
+            ids, counts = np.concatenate(texts_ids), np.fromiter(map(len, texts_ids), "i8", len(texts_ids))
         return ids, counts
 
     def _apart(self, text: str) -> np.ndarray:
@@ -128,7 +139,6 @@ class PieceCache:
 
 
 _CACHES: dict[tuple, object] = {}
-_LARGE: dict[tuple, object] = {}
 
 
 def cached(key: tuple, make: Callable[[], object]) -> object:
@@ -138,13 +148,7 @@ def cached(key: tuple, make: Callable[[], object]) -> object:
     return _CACHES[key]
 
 
-def cached_words(key: tuple, make: Callable[[], object]) -> object:
-    """A cache of words, which may be large: a worker that turns to another stage's cache drops the one it has."""
-    if key not in _LARGE:
-        _LARGE.clear()
-        give_back()
-        _LARGE[key] = make()
-    return _LARGE[key]
+LOWER_RULES = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 
 def library_cache(path: str, rest: str, added: bool = False) -> PieceCache:
@@ -161,27 +165,43 @@ def library_cache(path: str, rest: str, added: bool = False) -> PieceCache:
         # a token with white space in it may lie over any cut: then none is made
         unsafe = re.compile("" if any(re.search(r"\s", x) for x in names) else "|".join(map(re.escape, names))) if names else None
 
-        def encode_many(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            lists = [x.ids for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        # a normaliser that lower-cases and does nothing else to plain words: these are lower-cased here, and alike ones encoded once
+        rules = json.loads(tokenizer.to_str())
+        lowers = (rules["normalizer"] or {}).get("normalizers") == LOWER_RULES
+        plain = Tokenizer.from_str(json.dumps(rules | {"normalizer": None})) if lowers else None
+
+        def ids_of(t, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            lists = [x.ids for x in t.encode_batch_fast(pieces, add_special_tokens=False)]
             counts = np.fromiter(map(len, lists), "i8", len(lists))
-            return np.fromiter((i for x in lists for i in x), "u4", int(counts.sum())), counts
+            return np.fromiter(itertools.chain.from_iterable(lists), "u4", int(counts.sum())), counts
 
-        return PieceCache(encode_many, "", rest, unsafe)
+        def encode_many(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            if not lowers:
+                return ids_of(tokenizer, pieces)
+            low, rest_of = {}, {}
+            place = [low.setdefault(p.lower(), len(low)) if PLAIN.fullmatch(p) and "<|" not in p else ~rest_of.setdefault(p, len(rest_of)) for p in pieces]
+            (a, n), (b, m) = ids_of(plain, list(low)), ids_of(tokenizer, list(rest_of))
+            at = np.array(place, "i8")
+            at = np.where(at < 0, len(low) + ~at, at)
+            counts = np.concatenate([n, m])
+            return np.concatenate([a, b])[ragged((np.cumsum(counts) - counts)[at], counts[at])], counts[at]
+
+        return PieceCache(encode_many, "", rest, unsafe, marks=True)
 
     return cached_words(("library", path, rest, added), make)
 
 
 def byte_pair_ids(texts: pa.Array, path: str, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids by a byte-level BPE file: a space belongs to the word after it."""
-    return library_cache(path, " ", added).encode(texts.to_pylist())
+    return library_cache(path, " ", added).encode(texts)
 
 
 def word_pair_ids(texts: pa.Array, path: str, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids by a BPE file with word ends, which drops white space: words stand alone."""
-    return library_cache(path, "", added).encode(texts.to_pylist())
+    return library_cache(path, "", added).encode(texts)
 
 
-def term_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def term_hashes(texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of all terms, number of terms per text). Terms are runs of letters and digits, lower-cased."""
 
     def make() -> PieceCache:
@@ -192,9 +212,9 @@ def term_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         def encode_many(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             lists = [[xxhash.xxh64_intdigest(t) for t in find(w.lower())] for w in words]
             counts = np.fromiter(map(len, lists), "i8", len(lists))
-            return np.fromiter((h for x in lists for h in x), "u8", int(counts.sum())), counts
+            return np.fromiter(itertools.chain.from_iterable(lists), "u8", int(counts.sum())), counts
 
-        return PieceCache(encode_many, "", "", apart=True, dtype="u8")
+        return PieceCache(encode_many, "", "", apart=True, marks=True, dtype="u8")
 
     return cached_words(("terms",), make).encode(texts)
 

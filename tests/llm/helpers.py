@@ -2,7 +2,10 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, tag int, extra string"
+#: Among the columns are names that operators use for their own ones.
+CLASHING = {"tag": 3, "spans": "s", "_touched": "t", "_bit": 7, "_n": 8, "n": 9, "_masks": "keep", "_pieces": "p", "_candidates": "c", "_scores": 1.5, "_group": 2, "group": 4, "bins": 5, "bound": 6, "offset": 10, "sequence_id": 11, "done": "d", "predicted": 12, "score": 0.25, "path": "x", "none": 1, "k": 2, "at": 3, "extra": "x", "h1": 1, "h2": 2, "size": 3, "a.b": 4}
+KINDS = {int: "long", str: "string", float: "double"}
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{k}` {KINDS[type(v)]}" for k, v in CLASHING.items())
 
 
 def words(seed, n, vocabulary=400):
@@ -20,7 +23,12 @@ def rows():
         (10, "one two"), (None, base), (12, words(6, 20_000)), (13, "ｆｕｌｌ １２ 日本語 😀 e\u0301 \x00 \u2581 a\u2028b"), (14, words(7, 12)), (15, words(8, 13)), (16, words(8, 13)),
         (17, "token = \"" + "0a1b2c3d4e" * 4 + "\" and commit " + "9f8e7d6c5b" * 4), (20, words(9, 30)), (20, words(9, 30)), (21, words(11, 30)), (21, words(12, 30)), (-5, passage), (2**40, words(13, 50)),
     ]
-    return [(i, t, "en", "src1", None if t is None else len(t), 0.25, 3, "x") for i, t in out]
+    return [(i, t, "en", "src1", None if t is None else len(t), *CLASHING.values()) for i, t in out]
+
+
+def untouched(rows):
+    """Whether the columns that an operator hands on have their values."""
+    return all(r["lang"] == "en" and r["source"] == "src1" and all(r[k] == v for k, v in CLASHING.items()) for r in rows)
 
 
 def table(spark, some=None):

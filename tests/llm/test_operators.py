@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larderflow.llm import imatch, lsh_forest, packing, piece_bpe, secrets, substring, token_shards, toxicity, url_filter, voronoi
 from larderflow.llm.common import shared_dir
-from tests.llm.helpers import empty, rows, table, words
+from tests.llm.helpers import CLASHING, empty, rows, table, untouched, words
 
 
 def tuples(df):
@@ -54,7 +54,7 @@ def test_toxicity_takes_odd_rows(spark):
     labels = spark.createDataFrame([(1, 0), (2, 1), (2, None), (3, 1), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(table(spark), labels)
     out = toxicity.score(table(spark), model)
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "tag", "extra", "score", "predicted"]
+    assert out.columns == [c for c in table(spark).columns if c not in ("score", "predicted")] + ["score", "predicted"]
     assert out.count() == len(rows())
     assert all(0 <= r["score"] <= 1 for r in out.select("score").collect())
     nothing = toxicity.train(empty(spark), labels.limit(0))
@@ -148,7 +148,7 @@ def test_candidates_are_seen_in_their_document(spark):
 
 def test_redaction_keeps_everything_else(spark, forest):
     out = secrets.redacted(table(spark), forest)
-    assert out.columns == table(spark).columns
+    assert out.columns == table(spark).columns and untouched(out.collect())
     want = Counter((r[0], r[1]) for r in rows() if r[0] != 17)
     assert Counter((r["doc_id"], r["text"]) for r in out.filter("doc_id <> 17 or doc_id is null").collect()) == want
     assert out.filter("doc_id = 17").first()["text"] == 'token = "' + secrets.MASK + '" and commit ' + "9f8e7d6c5b" * 4
@@ -294,7 +294,7 @@ def test_windows_with_equal_hashes_are_told_apart(spark, monkeypatch):
 
 def test_deduplicated_keeps_clean_texts_and_columns(spark):
     out = substring.deduplicated(table(spark))
-    assert out.columns == table(spark).columns and out.count() == len(rows())
+    assert out.columns == table(spark).columns and out.count() == len(rows()) and untouched(out.collect())
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     assert got[12] == words(6, 20_000) and got[7] is None and got[8] == "   \n " and got[2] == "" and got[-5] == words(2, 40)
     assert got[5] == words(5, 90)
@@ -353,6 +353,16 @@ def test_rounds_exchange_pieces(spark):
     assert len(used) <= alone
 
 
+def test_packing_hands_on_columns_and_deals_out_equal_rows(spark):
+    clash = {k: v for k, v in CLASHING.items() if k not in ("sequence_id", "offset", "bins", "bound")}
+    from pyspark.sql import functions as F
+
+    pieces = spark.createDataFrame([(None, 0, 500)] * 400, "doc_id long, piece int, length long").withColumns({f"{k}" if "." not in k else f"`{k}`": F.lit(v) for k, v in CLASHING.items() if "." not in k}).coalesce(1)
+    out = packing.pack(pieces, group_pieces=40, rounds=1).collect()
+    assert len(out) == 400 and all(r[k] == v for r in out for k, v in clash.items() if "." not in k)
+    assert len({r["sequence_id"] >> 28 for r in out}) == 10  # no group has all rows without an id
+
+
 def test_bounds_hold():
     r = random.Random(6)
 
@@ -509,7 +519,7 @@ def test_near_duplicates_of_few_long_documents(spark, monkeypatch):
 
 def test_one_of_each(spark):
     out = lsh_forest.one_of_each(table(spark))
-    assert out.columns == table(spark).columns
+    assert out.columns == table(spark).columns and untouched(out.collect())
     kept = Counter(r["doc_id"] for r in out.collect())
     assert kept[1] == 1 and kept[2] == kept[3] == kept[10] == kept[16] == 0
     assert kept[None] == kept[6] == kept[7] == kept[8] == kept[9] == kept[20] == kept[12] == 1

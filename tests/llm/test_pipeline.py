@@ -2,7 +2,7 @@ import hashlib
 from collections import Counter
 
 import corpus_pipeline
-from tests.llm.helpers import empty, rows, table
+from tests.llm.helpers import empty, rows, table, untouched
 
 
 def tables(spark, tmp_path, docs):
@@ -21,6 +21,7 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert docs.columns == before.columns, name
         docs = corpus_pipeline.materialised(docs, name)
         kept[name] = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+        assert untouched(docs.collect()), name
     # so few labels reject nothing
     assert sum(kept["toxicity"].values()) == len(rows())
     gone = {2, 3, 10, 16}

@@ -59,9 +59,16 @@ def test_backtracking_on_random_words():
         assert encoder.encode((" " + word).replace(" ", "▁")) == model.encode(word)
 
 
-def test_cache_starts_anew_at_its_limit():
-    cache = words.PieceCache(lambda p: (np.arange(len(p), dtype="u4"), np.ones(len(p), "i8")), "", "", limit=3, apart=True)
-    for i in range(5):
-        ids, counts = cache.encode([f"a{i} b{i}"])
-        assert counts.tolist() == [2]
-    assert len(cache.slots) <= 4
+def test_cache_keeps_frequent_words_within_its_limit():
+    asked = []
+
+    def encode_many(pieces):
+        asked.extend(pieces)
+        return np.array([int(p[1:]) for p in pieces], "u4"), np.ones(len(pieces), "i8")
+
+    cache = words.PieceCache(encode_many, "", "", limit=4, apart=True)
+    for i in range(20):
+        ids, counts = cache.encode([f"a7 b{i} a7", f"c{i} a7 c{i}", f"a7 c{i}"])
+        assert counts.tolist() == [3, 3, 2] and ids.tolist() == [7, i, 7, i, 7, i, 7, i]
+        assert len(cache.slots) <= 4
+    assert asked.count("a7") == 1 and asked.count("b3") == 1  # frequent ones stay, single ones never stand in the cache
