@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larderflow.llm import lsh_forest, packing, secrets, substring, toxicity
-from larderflow.llm.common import materialised
+from larderflow.llm.common import materialised, opened, sealed
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -24,24 +24,29 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the rows that the model calls toxic. Null and empty texts have the score of the bias; repeated rows share their fate."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return toxicity.score(sealed(docs), model).filter("predicted = 0").select(*opened(docs.columns))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lsh_forest.one_of_each(docs).select(*docs.columns)
+    """docs with one row of each class of near duplicates, that with the least doc_id; rows without words or with a null doc_id stay."""
+    return lsh_forest.one_of_each(docs)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(substring.deduplicated(docs)).select(*docs.columns)
+    """docs whose texts have lost the passages of earlier rows; no row goes. Null, empty and short texts and rows with a null doc_id stay as they are."""
+    return _counted(substring.deduplicated(docs))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with secrets masked; no row goes. Null and empty texts stay as they are."""
     forest = secrets.train_forest(secrets.labelled_findings(spark))
-    return _counted(secrets.redacted(docs, forest)).select(*docs.columns)
+    return _counted(secrets.redacted(docs, forest))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows and their places, as packing.packed_documents gives them."""
     return packing.packed_documents(docs)
 
 
