@@ -33,12 +33,16 @@ class PieceCache:
     at a word's end never share an id with the letter or digit before them, so that they are a piece of their own.
 
     The distinct words of a call are found by Arrow and their pieces encoded once. Pieces are kept for later calls, `limit` of them at most: beyond
-    it the most frequent ones of the latest call remain, so memory is bounded and common words are never encoded anew."""
+    it the most frequent ones of the latest call remain, so memory is bounded and common words are never encoded anew. What is kept of a piece are two
+    64-bit hashes and its ids, in arrays sorted by the first hash: some 40 bytes."""
 
-    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], first: str, rest: str, unsafe: re.Pattern | None = None, limit: int = 150_000, apart: bool = False, marks: bool = False, dtype: str = "u4"):
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], first: str, rest: str, unsafe: re.Pattern | None = None, limit: int = 600_000, apart: bool = False, marks: bool = False, dtype: str = "u4"):
         self.encode_many, self.first, self.rest, self.unsafe, self.limit, self.apart, self.marks, self.dtype = encode_many, first, rest, unsafe, limit, apart, marks, dtype
-        self.slots: dict[str, int] = {}
-        self.starts, self.lengths, self.pool = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, dtype)
+        self._begin()
+
+    def _begin(self) -> None:
+        self.kept = {"h1": np.zeros(0, "i8"), "h2": np.zeros(0, "i8"), "start": np.zeros(0, "i4"), "length": np.zeros(0, "i4")}
+        self.pool = np.zeros(0, self.dtype)
 
     def _all(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = [self.encode_many(pieces[a : a + ENCODED_AT_ONCE]) for a in range(0, len(pieces), ENCODED_AT_ONCE)]
@@ -64,19 +68,18 @@ class PieceCache:
             two.append(-1)
         return list(at), np.column_stack([np.array(one, "i8"), np.array(two, "i8")])
 
-    def _keep(self, pieces: list[str], slots: np.ndarray, times: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pool: np.ndarray) -> None:
+    def _keep(self, hashes: np.ndarray, new: np.ndarray, times: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pool: np.ndarray) -> None:
         """Takes the new pieces in, or if there are too many begins anew with the most frequent ones of this call."""
-        chosen = np.flatnonzero(slots < 0)
-        if len(self.slots) + len(chosen) > self.limit:
-            chosen = np.flatnonzero(times > 1)
-            if len(chosen) > self.limit // 2:
-                chosen = np.sort(chosen[np.argsort(-times[chosen], kind="stable")[: self.limit // 2]])
-            self.slots, self.starts, self.lengths, self.pool = {}, self.starts[:0], self.lengths[:0], self.pool[:0]
-        sizes, before, used = lengths[chosen], len(self.slots), len(self.pool)
-        self.slots.update(zip((pieces[i] for i in chosen.tolist()), range(before, before + len(chosen)), strict=True))
-        self.starts = np.concatenate([self.starts, used + np.cumsum(sizes) - sizes])
-        self.lengths = np.concatenate([self.lengths, sizes])
-        self.pool = np.concatenate([self.pool, pool[ragged(starts[chosen], sizes)]])
+        if len(self.kept["h1"]) + len(new) > self.limit:
+            new = np.flatnonzero(times > 1)
+            if len(new) > self.limit // 2:
+                new = new[np.argsort(-times[new], kind="stable")[: self.limit // 2]]
+            self._begin()
+        sizes = lengths[new]
+        added = {"h1": hashes[0, new], "h2": hashes[1, new], "start": (len(self.pool) + np.cumsum(sizes) - sizes).astype("i4"), "length": sizes.astype("i4")}
+        order = np.argsort(np.concatenate([self.kept["h1"], added["h1"]]), kind="stable")
+        self.kept = {k: np.concatenate([v, added[k]])[order] for k, v in self.kept.items()}
+        self.pool = np.concatenate([self.pool, pool[ragged(starts[new], sizes)]])
 
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids per text) of texts without nulls."""
@@ -89,16 +92,19 @@ class PieceCache:
         words, seq = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         del rows, coded
         pieces, parts = self._pieces(words)
-        get = self.slots.get
-        slots = np.fromiter((get(p, -1) for p in pieces), "i8", len(pieces))
-        known, new = np.flatnonzero(slots >= 0), np.flatnonzero(slots < 0)
+        hashes = np.array([np.fromiter(map(hash, pieces), "i8", len(pieces)), np.fromiter((hash(p + "\0") for p in pieces), "i8", len(pieces))])
+        slots, hit = np.searchsorted(self.kept["h1"], hashes[0]), np.zeros(len(pieces), bool)
+        if len(self.kept["h1"]):
+            slots = np.minimum(slots, len(self.kept["h1"]) - 1)
+            hit = (self.kept["h1"][slots] == hashes[0]) & (self.kept["h2"][slots] == hashes[1])
+        known, new = np.flatnonzero(hit), np.flatnonzero(~hit)
         flat, counts = self._all([pieces[i] for i in new.tolist()])
         starts, lengths = np.zeros(len(pieces) + 1, "i8"), np.zeros(len(pieces) + 1, "i8")  # the last one: no piece
-        starts[known], lengths[known] = self.starts[slots[known]], self.lengths[slots[known]]
+        starts[known], lengths[known] = self.kept["start"][slots[known]], self.kept["length"][slots[known]]
         starts[new], lengths[new] = len(self.pool) + np.cumsum(counts) - counts, counts
         pool = np.concatenate([self.pool, flat])
         times = np.bincount(np.maximum(parts, -1).ravel() + 1, weights=np.repeat(np.bincount(seq, minlength=len(words)), 2), minlength=len(pieces) + 1)[1:]
-        self._keep(pieces, slots, times, starts, lengths, pool)
+        self._keep(hashes, new, times, starts, lengths, pool)
 
         heads = np.cumsum(words_in) - words_in
         lens, at = lengths[np.maximum(parts, -1)][seq], starts[np.maximum(parts, -1)][seq]
