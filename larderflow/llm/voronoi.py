@@ -1,27 +1,27 @@
 """Exact top-k by inner product as a Voronoi kNN join.
 
-Inner products become distances: with M the largest norm, a vector x gets one more component sqrt(M^2 - |x|^2) and a query 0, so that
-d^2 = |q|^2 + M^2 - 2 q.x. Queries and vectors are grouped by their nearest pivots. Counts and distance ranges of the cells bound the distance of the
-k-th neighbour of every query of a group; by the triangle inequality, cells and vectors that are farther need not be sent to the group. What is sent
-is compared in blocks of bounded size, whose best k per query are merged."""
+Vectors belong to the cell of their nearest pivot p, at a distance r. By Cauchy-Schwarz, q.x <= q.p + |q| r for every vector x of the cell. Queries of
+neighbouring cells form groups. A group is first compared with a share of the vectors of its own cells; the k-th best score that a query has found
+there is one that the final answer cannot fall below. So a vector matters to the group only if, for one of its queries, the bound reaches that score:
+r must be at least the least (score - q.p) / |q|. Cells whose farthest vector is nearer are not sent, of the others only the vectors far enough from
+their pivot. What is sent is compared in blocks of bounded size, whose best k per query are merged."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larderflow.llm.common import STEP_BYTES, materialised
+from larderflow.llm.common import STEP_BYTES, materialised, without_words
 
-#: Cells. A table of cells by groups is held by the driver and tasks: PIVOTS * PIVOTS numbers at most.
-PIVOTS = 64
+#: Vectors of a cell, on average, and the most pivots: the driver and every task hold the pivots and one summary row for each.
+CELL_ROWS, MOST_PIVOTS = 160, 1_024
 #: Vectors and queries of one block, on average: a task compares one block of each at a time.
 BLOCK_ROWS = 2_048
-#: Summary rows per cell: the least distances to the pivot.
-K_SUMMARY = 32
+#: The table of which group needs which cell is sent to every task up to so many rows; beyond it, it is joined by cell.
+MOST_NEEDS = 200_000
 
 
 def integers(vectors: DataFrame) -> DataFrame:
@@ -37,100 +37,122 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(values), -1)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k best vectors by inner product, all if fewer, never the row with its own id; ties go to the
-    smaller vec_id. vectors and queries: vec_id, v (array of integers, all of one length). Repeated rows count each for itself (a query that is
-    repeated is answered once). Empty tables give an empty result."""
+def best(asked: np.ndarray, q_ids: np.ndarray, data: np.ndarray, s_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(indices into data, scores) of each query's k best, equal scores in the order of data; -inf where there is none. The query's own id is none."""
+    product = asked @ data.T
+    product[q_ids[:, None] == s_ids] = -np.inf
+    order = np.argsort(-product, axis=1, kind="stable")[:, :k]
+    return order, np.take_along_axis(product, order, 1)
+
+
+def candidates(vectors: DataFrame, queries: DataFrame, k: int, pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame] | None:
+    """(asked, sent): queries and the vectors that they need, by group g and block b (vec_id, v); None if there is nothing to ask or to find."""
     spark = vectors.sparkSession
-    queries = queries.dropDuplicates(["vec_id"])
-    # pivots: rows with the least hashes
-    chosen = vectors.orderBy(F.xxhash64("v", "vec_id")).limit(pivots).select("v").collect()
-    out_schema = "query_id long, vec_id long, score long"
+    if pivots is None:
+        pivots = max(1, min(MOST_PIVOTS, -(-vectors.count() // CELL_ROWS)))
+    chosen = vectors.orderBy(F.xxhash64("v", "vec_id")).limit(pivots).select("v").collect()  # pivots: rows with the least hashes
     if not chosen:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    norm = vectors.agg(F.max(F.aggregate("v", F.lit(0).cast("double"), lambda a, e: a + e * e))).first()[0]
-    p = np.array([r["v"] for r in chosen], "f8")
-    p = np.c_[p, np.sqrt(np.maximum(norm - (p * p).sum(1), 0))]
-
-    def dealt(query: bool):
-        def run(batches):
-            for batch in batches:
-                for a in range(0, batch.num_rows, max(1, STEP_BYTES // (16 * p.shape[1]))):
-                    part = batch.slice(a, max(1, STEP_BYTES // (16 * p.shape[1])))
-                    x = matrix(part.column("v"))
-                    x = np.c_[x, np.zeros(len(x)) if query else np.sqrt(np.maximum(norm - (x * x).sum(1), 0))]
-                    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1) - 2 * x @ p.T, 0))
-                    cell = d.argmin(1)
-                    yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(cell.astype("i4")), pa.array(d[np.arange(len(cell)), cell])], ["vec_id", "v", "cell", "d"])
-
-        return run
-
-    schema = "vec_id long, v array<long>, cell int, d double"
-    s = materialised(vectors.mapInArrow(dealt(False), schema), "voronoi-vectors")
-    r = materialised(queries.mapInArrow(dealt(True), schema), "voronoi-queries")
-    near = min(K_SUMMARY, k + 1)
-    summary = s.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).toPandas()
-    # one row per id: a query's own id, however often and in however many cells it stands, takes one of the k + 1 places
-    apart = s.groupBy("vec_id").agg(F.min(F.struct("d", "cell")).alias("x")).select("x.cell", "x.d")
-    ranked = apart.select("cell", "d", F.row_number().over(Window.partitionBy("cell").orderBy("d")).alias("i")).filter(F.col("i") <= near).select("cell", "d").toPandas()  # cells * near rows
-    reach = r.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("high")).toPandas()
-    if reach.empty:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-
-    # groups of query cells; the farthest a vector of a cell may be from its pivot's side to matter to a group
-    between = np.sqrt(np.maximum(((p[:, None] - p) ** 2).sum(2), 0))
-    slack = 1e-6 * (1 + np.sqrt(norm))
-    need = np.zeros((len(p), len(p)))  # [query cell, vector cell]: least |s, pivot| that is sent; inf: none
-    for c, _, high in reach.itertuples(index=False):
-        upper = np.sort(high + between[c, ranked["cell"].to_numpy()] + ranked["d"].to_numpy())  # of distances from any query of the cell
-        k_th = upper[near - 1] if near == k + 1 and len(upper) >= near else np.inf
-        need[c] = np.maximum(between[c] - high - k_th - slack, 0)
-        for cell, _, low, far in summary.itertuples(index=False):
-            # a vector is at least |pivots| - |query, pivot| - |s, pivot| or |s, pivot| - |pivots| - |query, pivot| away
-            if far < need[c, cell] or low - between[c, cell] - high > k_th + slack:
-                need[c, cell] = np.inf
-    n_blocks = max(1, -(-int(summary["n"].sum()) // block_rows))
-    query_blocks = {int(c): max(1, -(-int(n) // block_rows)) for c, n in zip(reach["cell"], reach["n"], strict=True)}
-    # neighbouring query cells with few queries share a group
-    groups, group_of, filled = [], {}, 0
-    for c in sorted(query_blocks, key=lambda c: (between[int(reach["cell"].iloc[0]), c], c)):
-        n = int(reach.loc[reach["cell"] == c, "n"].iloc[0])
-        if not groups or filled + n > block_rows:
-            groups.append([])
-            filled = 0
-        groups[-1].append(c)
-        filled += n
-        group_of[c] = len(groups) - 1
-    least = np.array([need[g].min(0) for g in groups])  # [group, vector cell]
-    cell_groups = spark.createDataFrame(pd.DataFrame([(int(c), g, float(least[g, c])) for g in range(len(groups)) for c in range(len(p)) if np.isfinite(least[g, c])], columns=["cell", "g", "least"]), "cell int, g int, least double")
-    query_groups = spark.createDataFrame([(c, g, max(query_blocks[x] for x in groups[g])) for c, g in group_of.items()], "cell int, g int, blocks int")
-    sent = s.join(F.broadcast(cell_groups), "cell").filter("d >= least").select("g", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("b"), "vec_id", "v")
-    asked = r.join(F.broadcast(query_groups), "cell").select("g", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), F.pmod(F.xxhash64("vec_id", F.lit(1)), "blocks").alias("qb"), "vec_id", "v")
-    sent = sent.join(F.broadcast(query_groups.groupBy("g").agg(F.max("blocks").alias("blocks"))), "g").select("g", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("qb"), "vec_id", "v")
+        return None
+    p = np.unique(np.array([r["v"] for r in chosen], "f8"), axis=0)
+
+    def dealt(batches):
+        without_words()
+        rows = max(1, STEP_BYTES // (16 * max(p.shape)))
+        for batch in batches:
+            for a in range(0, batch.num_rows, rows):
+                part = batch.slice(a, rows)
+                x = matrix(part.column("v"))
+                cell = ((p * p).sum(1) - 2 * x @ p.T).argmin(1)
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(cell.astype("i4")), pa.array(np.sqrt(((x - p[cell]) ** 2).sum(1)))], ["vec_id", "v", "cell", "r"])
+
+    schema = "vec_id long, v array<long>, cell int, r double"
+    # u numbers the rows, so that repeated ids are dealt out as well; it is written, and so the same for whoever reads it
+    s = materialised(vectors.mapInArrow(dealt, schema).withColumn("u", F.xxhash64(F.monotonically_increasing_id())), "voronoi-vectors")
+    r = materialised(queries.mapInArrow(dealt, schema), "voronoi-queries")
+    n, far, asks = (np.zeros(len(p)) for _ in range(3))
+    for c, count, most in s.groupBy("cell").agg(F.count("*"), F.max("r")).collect():  # a row per pivot
+        n[c], far[c] = count, most
+    for c, count in r.groupBy("cell").count().collect():
+        asks[c] = count
+    if not asks.any():
+        return None
+
+    # groups: neighbouring cells with few queries together, a cell with many in parts
+    around = ((p - p[int(asks.argmax())]) ** 2).sum(1)
+    place, groups, filled = {}, 0, block_rows + 1
+    for c in sorted(np.flatnonzero(asks).tolist(), key=lambda c: (around[c], c)):
+        parts = max(1, -(-int(asks[c]) // block_rows))
+        if parts > 1 or filled + asks[c] > block_rows:
+            place[c], groups = (groups, parts), groups + parts
+            filled = block_rows + 1 if parts > 1 else asks[c]
+        else:
+            place[c], filled = (groups - 1, 1), filled + asks[c]
+    near = np.bincount([g for g, _ in place.values()], weights=[n[c] for c in place], minlength=groups)
+    of_cell = spark.createDataFrame([(c, g, parts, max(1, -(-int(near[g]) // (4 * block_rows)))) for c, (g, parts) in place.items()], "cell int, g0 int, parts int, share int")  # a row per pivot at most
+    grouped = r.join(F.broadcast(of_cell), "cell").select((F.col("g0") + F.pmod(F.xxhash64("vec_id"), "parts")).cast("int").alias("g"), "vec_id", "v")
+    home = s.join(F.broadcast(of_cell), "cell").filter(F.pmod("u", "share") == 0).select(F.explode(F.sequence("g0", F.col("g0") + F.col("parts") - 1)).alias("g"), "vec_id", "v")
+    salts = np.maximum(1, -(-n // (8 * block_rows))).astype("i8")  # parts of a cell, so that none is joined in one task
+    slack = 1e-6 * (1 + float(np.abs(p).max()))
+
+    def bounds(left: pa.Table, right: pa.Table) -> pa.Table:
+        without_words()
+        least, g = np.full(len(p), np.inf), left.column("g")[0].as_py() if left.num_rows else -1
+        for a in range(0, left.num_rows, 256):
+            some = left.slice(a, 256)
+            q = matrix(some.column("v"))
+            score = np.full(len(q), -np.inf)
+            if right.num_rows >= k:
+                score = best(q, some.column("vec_id").to_numpy(), matrix(right.column("v")), right.column("vec_id").to_numpy(), k)[1][:, -1]
+            length = np.sqrt((q * q).sum(1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = (score[:, None] - q @ p.T) / length[:, None] - slack
+            least = np.minimum(least, np.where((length == 0)[:, None], -np.inf, need).min(0))
+        needed = np.flatnonzero((n > 0) & (far >= least))
+        blocks = max(1, -(-int(n[needed].sum()) // block_rows))
+        rows = np.repeat(needed, salts[needed])
+        salt = np.concatenate([np.arange(x) for x in salts[needed]] + [np.zeros(0, "i8")])
+        return pa.table([pa.array(np.full(len(rows), g, "i4")), pa.array(rows.astype("i4")), pa.array(salt.astype("i4")), pa.array(np.maximum(least[rows], 0)), pa.array(np.full(len(rows), blocks, "i4"))], ["g", "cell", "salt", "least", "blocks"])
+
+    needs = materialised(grouped.groupBy("g").cogroup(home.groupBy("g")).applyInArrow(bounds, "g int, cell int, salt int, least double, blocks int"), "voronoi-needs").filter("g >= 0")
+    salted = s.join(F.broadcast(spark.createDataFrame([(c, int(x)) for c, x in enumerate(salts)], "cell int, salts int")), "cell").withColumn("salt", F.pmod(F.xxhash64("u"), "salts").cast("int"))
+    sent = salted.join(F.broadcast(needs) if needs.count() <= MOST_NEEDS else needs, ["cell", "salt"]).filter("r >= least").select("g", F.pmod("u", "blocks").alias("b"), "vec_id", "v")
+    blocks = needs.groupBy("g").agg(F.max("blocks").alias("blocks"))
+    asked = grouped.join(blocks, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("b"), "vec_id", "v")
+    return asked, sent
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: each query's k best vectors by inner product, all if fewer, never a row with its own id; ties go to the
+    smaller vec_id. vectors and queries: vec_id, v (array of integers, all of one length). Repeated rows count each for itself (a query that is
+    repeated is answered once). Empty tables give an empty result; other columns are ignored."""
+    found = candidates(vectors.select("vec_id", "v"), queries.select("vec_id", "v").dropDuplicates(["vec_id"]), k, pivots, block_rows)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    asked, sent = found
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        without_words()
         rows = []
         if left.num_rows and right.num_rows:
             q_ids, s_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
             order = np.argsort(s_ids, kind="stable")
             s_ids, data = s_ids[order], matrix(right.column("v"))[order]
-            asked_v = matrix(left.column("v"))
+            q = matrix(left.column("v"))
             for a in range(0, len(q_ids), 256):
-                product = asked_v[a : a + 256] @ data.T
-                product[q_ids[a : a + 256, None] == s_ids] = -np.inf
-                best = np.argsort(-product, axis=1, kind="stable")[:, :k]  # equal scores stay in the order of ids
-                score = np.take_along_axis(product, best, 1)
+                at, score = best(q[a : a + 256], q_ids[a : a + 256], data, s_ids, k)  # equal scores stay in the order of ids
                 ok = np.isfinite(score)
-                rows.append((np.repeat(q_ids[a : a + 256], best.shape[1])[ok.ravel()], s_ids[best][ok], score[ok]))
+                rows.append((np.repeat(q_ids[a : a + 256], at.shape[1])[ok.ravel()], s_ids[at][ok], score[ok]))
         parts = [np.concatenate([x[i] for x in rows]) if rows else np.zeros(0) for i in range(3)]
         return pa.table([pa.array(x.astype("i8")) for x in parts], ["query_id", "vec_id", "score"])
 
-    pairs = asked.groupBy("g", "b", "qb").cogroup(sent.groupBy("g", "b", "qb")).applyInArrow(compare, out_schema)
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    pairs = asked.groupBy("g", "b").cogroup(sent.groupBy("g", "b")).applyInArrow(compare, "query_id long, vec_id long, score long")
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return pairs.withColumn("rank", first).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """top_k() of `embeddings`, 20 for each row whose id is divisible by 20, against all rows. Rows with a null id, or with a null, non-finite or no
+    vector take no part; repeated rows are found each for itself; an empty table gives an empty one; other columns are left out."""
     vectors = integers(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20)
 

@@ -420,6 +420,23 @@ def test_top_k_against_brute_force(spark):
     assert voronoi.top_k(vectors, vectors.limit(0), 20).count() == 0
 
 
+def test_top_k_sends_what_is_needed(spark):
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(12, 16))
+    v = np.floor(64 * (centres[np.arange(1200) % 12] + 0.05 * r.normal(size=(1200, 16)))).astype("i8")
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<long>")
+    queries = vectors.filter("vec_id % 20 = 0")
+    asked, sent = voronoi.candidates(vectors, queries, 20, pivots=40, block_rows=16)
+    groups = asked.select("g").distinct().count()
+    assert groups > 2 and sent.count() < 0.5 * groups * 1200  # clusters apart are not sent to each other
+    out = voronoi.top_k(vectors, queries, 20, pivots=40, block_rows=16).collect()
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in out}
+    for q in range(0, 1200, 20):
+        score = v @ v[q]
+        want = sorted((i for i in range(1200) if i != q), key=lambda i: (-score[i], i))[:20]
+        assert [got[q, k + 1] for k in range(20)] == [(i, score[i]) for i in want]
+
+
 def test_top_k_with_repeated_ids(spark):
     r = np.random.default_rng(5)
     v = np.floor(64 * r.normal(size=(60, 4))).astype("i8")
@@ -506,6 +523,42 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     assert Counter(map(tuple, out)) == classes_by_hand(some)
 
 
+@pytest.mark.parametrize("crowded", [4, 1000])
+def test_recall_of_the_forest(spark, monkeypatch, crowded):
+    """Crowded nodes are descended to the full depth: links at the threshold are still found."""
+    r = random.Random(18)
+    some = []
+    for g in range(6):
+        base = words(3000 + g, 200).split()
+        for i in range(12):
+            w = list(base)
+            for k in r.sample(range(200), r.randrange(0, 6)):
+                w[k] = f"other{r.randrange(10**6)}"
+            some.append((100 * g + i, " ".join(w)))
+    monkeypatch.setattr(lsh_forest, "CROWDED", crowded)
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    out = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in lsh_forest.near_duplicates(docs).collect()}
+    want = {k[0]: (k[1], k[3]) for k in classes_by_hand(some)}
+    assert sum(n for _, n in out.values()) >= 0.97 * sum(n for _, n in want.values()) > 200
+    assert all(out[i][1] <= want[i][1] for i in out)
+    if crowded == 1000:
+        assert out == want
+
+
+def test_leaves_are_the_shortest_uncrowded_prefixes(spark):
+    r = np.random.default_rng(4)
+    same = r.integers(0, 2**32, lsh_forest.TRIES * lsh_forest.DEPTH, dtype="u4")
+    rows_ = []
+    for i in range(40):  # alike in the first five values of each trie; the sixth parts them into ten fours
+        x = same.copy().reshape(lsh_forest.TRIES, lsh_forest.DEPTH)
+        x[:, 5:] = r.integers(0, 2**32, x[:, 5:].shape)
+        x[:, 5] = i // 4
+        rows_.append((i, bytearray(x.tobytes())))
+    rows_.append((99, bytearray(r.integers(0, 2**32, len(same), dtype="u4").tobytes())))
+    out = lsh_forest.leaves(spark.createDataFrame(rows_, "node long, sig binary"), 4, 8).collect()
+    assert len(out) == 40 * lsh_forest.TRIES and {x["c"] for x in out} == {4} and 99 not in {x["node"] for x in out}
+
+
 def test_near_duplicates_of_few_long_documents(spark, monkeypatch):
     some = []
     for k in range(6):
