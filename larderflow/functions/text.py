@@ -41,22 +41,32 @@ def fingerprint(fields: dict[str, tuple[Column, str]]) -> Column:
 
 
 def domain(url: Column) -> Column:
-    """Host in lower case, without `www.`; empty where there is none."""
-    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]+)", 1)), r"^www\.", "")
+    """Host in lower case, without `www.`, user or port; null where there is none."""
+    host = F.nullif(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
+    return F.regexp_replace(host, r"^www\.", "")
 
 
 @F.pandas_udf(T.StringType())
 def slug(text: pd.Series) -> pd.Series:
-    """Decomposed, lower case, every other run of characters `_`, 60 at most."""
+    """Lower case, decomposed, every other run of characters `_`, 60 at most."""
 
     def one(t):
-        return None if t is None else re.sub(r"[^a-z0-9]+", "_", unicodedata.normalize("NFKD", t).lower()).strip("_")[:60]
+        return None if t is None else re.sub(r"[^a-z0-9]+", "_", unicodedata.normalize("NFKD", t.lower())).strip("_")[:60]
 
     return text.map(one)
 
 
-#: Parameters that only track a visit.
-TRACKING = re.compile(r"utm_.*|gclid|fbclid|msclkid|mc_[ce]id|igshid")
+# Parameters that only track a visit, and names that never lead to a public site.
+TRACKING = re.compile(r"utm_.*|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|igshid|_ga|_gl|yclid|ref|ref_src|ck_subscriber_id|epik|si")
+PRIVATE = ("local", "localhost", "internal", "home.arpa", "arpa", "test", "invalid", "onion", "lan", "localdomain", "intranet", "corp", "home", "example")
+LABEL = re.compile(r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?")
+TOP = re.compile(r"[a-z]{2,63}|xn--[a-z0-9-]{1,59}")
+
+
+def public(host: str) -> bool:
+    """Whether a host name may be one of a public site."""
+    *labels, top = host.split(".")
+    return bool(labels) and len(host) <= 253 and all(map(LABEL.fullmatch, labels)) and bool(TOP.fullmatch(top)) and not any(host == x or host.endswith("." + x) for x in PRIVATE)
 
 
 LINK = T.StructType([T.StructField("ok", T.BooleanType()), *[T.StructField(c, T.StringType()) for c in ("code", "url", "key", "domain")]])
@@ -80,7 +90,7 @@ def link(urls: pd.Series) -> pd.DataFrame:
         if p.username or p.password:
             return (False, "credentials", None, None, None)
         host = (p.hostname or "").rstrip(".")
-        if "." not in host or re.fullmatch(r"[0-9.]+", host):
+        if not public(host):
             return (False, "host", None, None, None)
         default = {"http": 80, "https": 443}[p.scheme]
         at = host if port in (None, default) else f"{host}:{port}"

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from larderflow.operators import relational
+from larderflow.operators import goldens, household, relational  # noqa: F401  (they register their queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 SMALL = "/root/testdata/sf0.001"
@@ -44,3 +44,12 @@ def test_every_supplier_has_its_parts(spark):
     got = [tuple(r) for r in relational.term_members(s, p).collect()]
     assert {k for k, _ in got} - set(range(12))
     assert set(got) == want and len(got) == len(want)
+
+
+def test_chains_without_a_beginning_are_left_out(spark):
+    from larderflow.operators.chains import chains
+
+    links = [(1, None), (2, 1), (3, 2), (4, 3), (5, 4), (10, 99), (11, 10), (20, 21), (21, 20), (30, None)]
+    got = sorted(tuple(r) for r in chains(spark.createDataFrame(links, "id long, previous long")).collect())
+    assert got == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4), (5, 1, 5), (30, 30, 1)]
+    assert chains(spark.createDataFrame([], "id long, previous long")).count() == 0
