@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from larderflow.llm.common import documents, steps, text_or_empty
 from larderflow.llm.words import mix, term_hashes
 
-#: log2 of the counters of document frequency: a table of fixed size, whatever the corpus.
-BITS = 18
-#: The band: a term's counter is in at least 1 / RARE and at most 1 / COMMON of the documents.
+#: log2 of the counters that bound document frequencies from above: a table of fixed size, whatever the corpus.
+BITS = 20
+#: The band: a term is in at least 1 / RARE and at most 1 / COMMON of the documents.
 RARE, COMMON = 5_000, 5
 #: Lexicon subsets.
 SUBSETS = 32
@@ -23,66 +23,104 @@ SUBSETS = 32
 MOST_RANGES = 4_096
 
 
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """How many documents (text) have a term of each counter, over all documents; 2 ** BITS counters."""
+def counters(docs: DataFrame, bits: int) -> np.ndarray:
+    """For each of 2 ** bits counters how many times documents (text) have a term of it: at least the number of documents that have any one of its terms."""
 
     def count(batches):
-        total = np.zeros(1 << BITS, "i8")
+        total = np.zeros(1 << bits, "i8")
         for batch in steps(batches, "text"):
             h, n = term_hashes(batch.column("text"))
-            pairs = np.unique(np.repeat(np.arange(len(n)), n) << BITS | (mix(h) >> np.uint64(64 - BITS)).astype("i8"))
-            total += np.bincount(pairs & (1 << BITS) - 1, minlength=1 << BITS)
+            total += np.bincount(counter_of(distinct(h, n)[0], bits), minlength=1 << bits)
         seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen.astype("i4")), pa.array(total[seen])], ["counter", "n"])
+        for a in range(0, len(seen), 100_000):
+            yield pa.record_batch([pa.array(seen[a : a + 100_000].astype("i4")), pa.array(total[seen[a : a + 100_000]])], ["counter", "n"])
 
-    rows = docs.select(text_or_empty()).mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # 2 ** BITS rows at most
-    out = np.zeros(1 << BITS, "i8")
+    rows = docs.select(text_or_empty()).mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # 2 ** bits rows at most
+    out = np.zeros(1 << bits, "i8")
     out[rows["counter"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
-def lexicon(frequencies: np.ndarray, n_docs: int, rare: int = RARE, common: int = COMMON) -> np.ndarray:
-    """Which counters are in the band."""
-    return (frequencies >= max(2, n_docs / rare)) & (frequencies <= max(2, n_docs / common))
+def counter_of(h: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(h) >> np.uint64(64 - bits)).astype("i8")
 
 
-def fingerprints(texts: list[str], band: np.ndarray) -> list[str]:
-    """`level:signatures:signatures` of each text: SUBSETS four-digit signatures (0000: none of the text's terms is in the subset) on a level and
-    the next. A level halves the lexicon subsets; a text's own is that on which about one of its terms is in a subset.
+def distinct(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, text) of term_hashes(), each term once for each text."""
+    text = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    first = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])][: len(h)]
+    return h[first], text[first]
+
+
+def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> np.ndarray:
+    """The sorted hashes of the terms within the band, by their own document frequencies over all docs (text).
+
+    Counters first tell which terms may be frequent enough; only those are counted one by one. However large the corpus, a document has on average at
+    least 1 / `rare` of a place for each term of the band: it has `rare` times the mean number of distinct terms of a document at most."""
+    n_docs, bits = docs.count(), BITS
+    low, high = max(2, -(-n_docs // rare)), max(2, n_docs // common)
+    enough = docs.sparkSession.sparkContext.broadcast(np.packbits(counters(docs, bits) >= low))
+
+    def count(batches):
+        may = np.unpackbits(enough.value).astype(bool)
+        for batch in steps(batches, "text"):
+            h, n = term_hashes(batch.column("text"))
+            keep = may[counter_of(h, bits)]
+            n = np.bincount(np.repeat(np.arange(len(n)), n)[keep], minlength=len(n))
+            terms, times = np.unique(distinct(h[keep], n)[0], return_counts=True)
+            yield pa.record_batch([pa.array(terms.view("i8")), pa.array(times.astype("i8"))], ["term", "n"])
+
+    counted = docs.select(text_or_empty()).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return np.sort(counted.filter(F.col("n").between(low, high)).select("term").toPandas()["term"].to_numpy("i8").view("u8"))
+
+
+def within(terms: np.ndarray, band: np.ndarray | None) -> np.ndarray:
+    """The terms that are in the band; all of them if none is, or without a band."""
+    if band is None or not len(band):
+        return terms
+    kept = terms[band[np.minimum(np.searchsorted(band, terms), len(band) - 1)] == terms]
+    return kept if len(kept) else terms
+
+
+def fingerprints(texts: list[str], band: np.ndarray | None) -> list[str]:
+    """`level:all:signatures:signatures:signatures` of each text: a hash of all its terms in the band, and SUBSETS four-digit signatures (0000: none of
+    its terms is in the subset) on a level and the next two. A level halves the lexicon subsets; a text's own is that on which about one of its terms
+    is in a subset, so likeness is told by a sample of some 40 terms, equality by all of them.
 
     Texts without a term in the band use all their terms; texts without any term have `=` and a digest of themselves."""
     h, counts = term_hashes(texts)
     seeds = mix(np.arange(1, SUBSETS + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))
     out = []
     for text, terms in zip(texts, np.split(h, np.cumsum(counts)[:-1]), strict=True):
-        terms = np.unique(terms)  # sorted and distinct
-        kept = terms[band[(mix(terms) >> np.uint64(64 - BITS)).astype("i8")]]
-        terms = kept if len(kept) else terms
+        terms = within(np.unique(terms), band)  # sorted and distinct
         if not len(terms):
             out.append("=" + hashlib.sha256(text.encode()).hexdigest())
             continue
         level = len(terms).bit_length() - 1
         chance = mix(terms[:, None] ^ seeds)
-        value = mix(terms * np.uint64(0xC2B2AE3D27D4EB4F))[:, None]
-        parts = [str(level)]
-        for halved in (level, level + 1):
+        value = mix(terms * np.uint64(0xC2B2AE3D27D4EB4F))
+        parts = [str(level), f"{int(value.sum(dtype='u8')):016x}"]
+        for halved in (level, level + 1, level + 2):
             inside = (chance >> np.uint64(64 - halved)) == 0 if halved else np.ones(chance.shape, bool)
-            total = mix(np.where(inside, value, np.uint64(0)).sum(0, dtype="u8") ^ seeds) >> np.uint64(48)
+            total = mix(np.where(inside, value[:, None], np.uint64(0)).sum(0, dtype="u8") ^ seeds) >> np.uint64(48)
             total = np.where(inside.any(0), np.maximum(total, np.uint64(1)), np.uint64(0))
-            parts.append("".join(f"{x:04x}" for x in total.tolist()))
+            parts.append(total.astype(">u2").tobytes().hex())
         out.append(":".join(parts))
     return out
 
 
 def likeness(a: str, b: str) -> float:
-    """Of two fingerprints: equal signatures out of those that either text has, on a level both show; 0 if there is none."""
+    """Of two fingerprints: equal signatures out of those that either text has, on the lowest level both show; 0 if there is none. Below 1 if the hashes
+    of all terms differ."""
     if a == b:
         return 1.0
     if a[0] == "=" or b[0] == "=":
         return 0.0
-    (la, *sa), (lb, *sb) = a.split(":"), b.split(":")
+    (la, all_a, *sa), (lb, all_b, *sb) = a.split(":"), b.split(":")
     level = max(int(la), int(lb))
-    if level - min(int(la), int(lb)) > 1:
+    if level - min(int(la), int(lb)) >= len(sa):
         return 0.0
     x, y = sa[level - int(la)], sb[level - int(lb)]
     same = either = 0
@@ -91,7 +129,7 @@ def likeness(a: str, b: str) -> float:
         if p != "0000" or q != "0000":
             either += 1
             same += p == q
-    return same / either if either else 0.0
+    return min(same / either if either else 0.0, 1.0 if all_a == all_b else 1 - 0.5 / SUBSETS)
 
 
 def edited(text: str, following: str) -> str:
@@ -150,11 +188,10 @@ def with_following(docs: DataFrame, step, schema: str) -> DataFrame:
 def fingerprinted(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> DataFrame:
     """fingerprint, edited_fingerprint and their likeness for every row of docs (doc_id, text); null texts count as empty, other columns are ignored.
     Equal texts have equal fingerprints. An empty table gives an empty one."""
-    band = lexicon(document_frequencies(docs), docs.count(), rare, common)
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(band))  # 2 ** BITS bits
+    held = docs.sparkSession.sparkContext.broadcast(lexicon(docs, rare, common))
 
     def step(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch:
-        band = np.unpackbits(packed.value).astype(bool)
+        band = held.value
         changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
         own = fingerprints([*texts, following[-1]], band)
         other = fingerprints(changed, band)
@@ -170,4 +207,6 @@ def fingerprinted(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> Da
 
 
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fingerprinted() of `documents`: a row for each row. Null texts count as empty; rows that repeat a doc_id follow each other by their texts, null
+    ids come last; other columns are left out; an empty table gives an empty one."""
     return fingerprinted(documents(spark, sf_dir))

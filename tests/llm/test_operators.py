@@ -88,12 +88,38 @@ def test_fingerprints_against_brute_force(spark):
 
 
 def test_likeness_grows_with_shared_terms():
-    band = np.ones(1 << imatch.BITS, bool)
     a = words(1, 300)
-    shared = [imatch.likeness(*imatch.fingerprints([a, " ".join(a.split()[:k]) + " " + words(2, 300 - k)], band)) for k in (300, 270, 200, 0)]
+    shared = [imatch.likeness(*imatch.fingerprints([a, " ".join(a.split()[:k]) + " " + words(2, 300 - k)], None)) for k in (300, 270, 200, 0)]
     assert shared[0] == 1 and shared[0] > shared[1] > shared[2] > shared[3] - 1e-9
 
 
+def test_one_term_tells_texts_apart():
+    a = words(1, 3_000)
+    x, y = imatch.fingerprints([a, a + " another"], None)
+    assert x != y and 0.5 < imatch.likeness(x, y) < 1
+
+
+def test_the_band_is_of_terms_not_of_counters(spark, monkeypatch):
+    import re
+
+    import xxhash
+
+    monkeypatch.setattr(imatch, "BITS", 2)  # all counters are full of terms
+    r = random.Random(12)
+    some = [(i, " ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(r.randrange(0, 60)))) for i in range(200)] + [(300, None)]
+    n = Counter(t for _, x in some for t in set(re.findall(r"[^\W_]+", (x or "").lower())))
+    want = sorted(xxhash.xxh64_intdigest(t) for t, k in n.items() if -(-201 // 40) <= k <= 201 // 5)
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    assert len(want) > 5 and imatch.lexicon(docs, 40, 5).tolist() == want
+    # a fingerprint by hand: the terms of a text that are in the band, or all if none is
+    for _, x in some[:20]:
+        terms = {xxhash.xxh64_intdigest(t) for t in re.findall(r"[^\W_]+", (x or "").lower())}
+        kept = (terms & set(want)) or terms
+        made = imatch.fingerprints([x or ""], np.array(want, "u8"))[0]
+        assert made[0] == "=" if not kept else made.split(":")[0] == str(len(kept).bit_length() - 1) and made == imatch.fingerprints([x], np.array(sorted(kept), "u8"))[0]
+    assert len(imatch.lexicon(docs.limit(0))) == 0
+
+
 # secrets
 
 
