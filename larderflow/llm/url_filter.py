@@ -27,7 +27,7 @@ opensource.org/docs pythonguide.org/tutorial historymuseum.org/visit localgarden
 childrensbooks.com/stories parkhistory.org/about governmentoffice.gov/services citycouncil.gov/meeting bankaccount.com/login bookstore.com/order mathlessons.org/algebra
 languageschool.org/course photogallery.net/nature carrepair.com/guide homegarden.org/tools forumdiscussion.net/thread blogposts.com/writing worldatlas.org/maps
 sportnews.net/football theatretickets.com/show filmreview.org/cinema artmuseum.org/paintings birdwatching.org/species foodmarket.com/fruit healthnews.org/story trainschedule.com/timetable""".split()
-#: Words beside those of the labelled URLs that names are split into.
+#: Words beside those of the labelled URLs and of the pages' texts that names are split into.
 WORDS = """the and for with from about this that best free online home world news city daily open book books school guide game games shop store market music video videos photo health
 food travel car house garden sport science history art film cinema map maps forum blog mail web page pages site link links farm spam ads track tracker tracking click casino
 slot slots poker bet bets betting win winner bonus jackpot lucky cheap pills pill meds pharmacy adult dating cams live xxx prize claim loan loans cash payday replica sale spin spins
@@ -35,6 +35,8 @@ gambling discount order buy fast hot phone watch watches""".split()
 #: Prior odds of "block".
 PRIOR = 0.2
 LONGEST = 24
+#: A word of the pages' texts is one that names are split into if at least one in so many of their words is it: at most so many words are sent about.
+RARE = 200_000
 
 
 def parts_of(url: str | None) -> tuple[str, str]:
@@ -89,7 +91,7 @@ def split_words(name: str, cost: dict[str, float], unknown: float) -> list[str]:
 
 @dataclass
 class Model:
-    """Unigram costs and log odds per word: as many as the labelled URLs and the word list have, so of fixed size."""
+    """Unigram costs and log odds per word: those of the labelled URLs and the word list, and at most RARE words of pages."""
 
     cost: dict[str, float]
     unknown: float
@@ -113,16 +115,35 @@ class Model:
         return self.prior + sum(self.odds.get(w, 0.0) for w in self.words(host, path))
 
 
-def train(labelled: DataFrame, words: list[str] = WORDS, prior: float = PRIOR) -> Model:
-    """From labelled URLs (url, blocked): unigram shares from their separate words and the word list, then word counts by class of their split names."""
+def page_words(pages: DataFrame, rare: int = RARE) -> dict[str, float]:
+    """The share of each word among the words of all pages' texts (html without its tags), of those with a share of at least 1 / rare: words of two to
+    LONGEST letters a-z. Hosts are left out, since their names are what is to be split. Null html has no words."""
+    text = F.regexp_replace(F.lower("html"), r"(?s)<[^>]*>", " ")
+    words = pages.select(F.explode(F.filter(F.split(text, "[^a-z]+"), lambda w: F.length(w).between(2, LONGEST))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    return {r["word"]: r["n"] / total for r in words.filter(F.col("n") >= -(-total // rare)).collect()}  # at most `rare` rows
+
+
+def separate(url: F.Column) -> F.Column:
+    """Words that a URL itself sets apart: those of its path, and those of host labels with hyphens."""
+    bare = F.regexp_replace(F.lower(url), "^[^:]*://", "")
+    host, path = F.substring_index(bare, "/", 1), F.regexp_replace(bare, "^[^/]*", "")
+    hyphened = F.flatten(F.transform(F.filter(F.split(host, "[.]"), lambda x: F.contains(x, F.lit("-"))), lambda x: F.split(x, "[^a-z]+")))
+    return F.filter(F.concat(F.split(path, "[^a-z]+"), hyphened), lambda w: F.length(w) > 1)
+
+
+def train(labelled: DataFrame, words: list[str] = WORDS, prior: float = PRIOR, pages: DataFrame | None = None) -> Model:
+    """From labelled URLs (url, blocked) and pages (html): a word's share is the mean of that among the words that labelled URLs set apart and the word
+    list, and that among the words of the pages; then words are counted by class over the labelled URLs' split names."""
     spark = labelled.sparkSession
     rows = labelled.select("url", "blocked").filter("url is not null and blocked is not null")
-    names = rows.select("blocked", F.explode(F.split(F.lower("url"), r"[^a-z]+")).alias("name")).filter("name <> ''")
-    seen = names.join(F.broadcast(spark.createDataFrame([(w,) for w in words], "name string")), "name").groupBy("name").count()
-    counts = {r["name"]: r["count"] + 1 for r in seen.collect()}  # len(words) rows at most
-    counts = {w: counts.get(w, 1) for w in words}
-    total = sum(counts.values())
-    model = Model({w: -math.log(c / total) for w, c in counts.items()}, 5.0, {}, math.log(prior / (1 - prior)))
+    counts = dict.fromkeys(words, 1)
+    for r in rows.select(F.explode(separate(F.col("url"))).alias("name")).groupBy("name").count().collect():  # as many as the labelled URLs have
+        counts[r["name"]] = counts.get(r["name"], 0) + r["count"]
+    total, seen = sum(counts.values()), page_words(pages) if pages is not None else {}
+    known, found = (0.5, 0.5) if seen else (1.0, 0.0)
+    counts = {w: known * counts.get(w, 0) / total + found * seen.get(w, 0.0) for w in counts.keys() | seen.keys()}
+    model = Model({w: -math.log(c) for w, c in counts.items()}, 5.0, {}, math.log(prior / (1 - prior)))
 
     def split(batches):
         for batch in batches:
@@ -160,4 +181,7 @@ def judge(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), train(labelled_urls(spark)))
+    """judge() of `pages`, a row for each row, repeated ones too. A null url, or one without `://`, has an empty host and path and the prior's verdict;
+    an empty table gives an empty one; other columns are left out."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return judge(pages, train(labelled_urls(spark), pages=pages))

@@ -270,6 +270,49 @@ def test_rules_and_method(spark):
     assert url_filter.judge(pages.limit(0), model).count() == 0
 
 
+def test_segmentation_against_all_splits(spark):
+    import itertools
+    import math
+
+    r = random.Random(21)
+    cost = {w: -math.log(r.random()) for w in ("a", "b", "ab", "ba", "aba", "bb", "abab", "bab")}
+    for _ in range(40):
+        name = "".join(r.choice("abc") for _ in range(r.randrange(1, 10)))
+        price = lambda words: sum(cost.get(w, 5.0 * (len(w) + 1)) for w in words)
+        splits = []
+        for cuts in itertools.product([0, 1], repeat=len(name) - 1):
+            at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(name)]
+            splits.append([name[x:y] for x, y in zip(at, at[1:], strict=False)])
+        made = url_filter.split_words(name, cost, 5.0)
+        assert "".join(made) == name and abs(price(made) - min(map(price, splits))) < 1e-9
+
+
+def test_log_odds_by_hand(spark):
+    import math
+
+    labelled = spark.createDataFrame([("https://x.com/win/win", True), ("https://y.com/news", False), (None, True), ("https://z.com/", None)], "url string, blocked boolean")
+    model = url_filter.train(labelled, words=["win", "news"])
+    # distinct words: x, win, y, news; three blocked ones (x, win, win), two allowed ones (y, news)
+    want = math.log((2 + 0.2) / (3 + 0.8)) - math.log((0 + 0.2) / (2 + 0.8))
+    assert abs(model.odds["win"] - want) < 1e-9
+    assert abs(model.log_odds("q.com", "/win") - math.log(0.25) - want) < 1e-9
+
+
+def test_names_are_split_into_the_pages_words(spark):
+    pages = spark.createDataFrame([(i, "https://a.com", "<p class='zzzz'>Warez keygen</p> forum <b>thread</b>") for i in range(5)] + [(9, None, None)], "page_id long, url string, html string")
+    assert url_filter.page_words(pages) == {w: 0.25 for w in ("warez", "keygen", "forum", "thread")}
+    model = url_filter.train(url_filter.labelled_urls(spark), pages=pages)
+    assert url_filter.split_words("warezkeygenforum", model.cost, model.unknown) == ["warez", "keygen", "forum"]
+    assert url_filter.page_words(pages.limit(0)) == {}
+
+
+def test_very_long_and_odd_urls(spark):
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    urls = ["https://a.com/" + "x" * 100_000, "://", "https://", "https://-/", "https://\u00e9\u00e9.org/fr/"]
+    out = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), model).orderBy("page_id").collect()
+    assert [r["host"] for r in out] == ["a.com", "", "", "-", "\u00e9\u00e9.org"] and out[4]["rule"] == "org/fr/"
+
+
 def test_segmentation_is_the_cheapest(spark):
     model = url_filter.train(url_filter.labelled_urls(spark))
     assert url_filter.split_words("freecasinobets", model.cost, model.unknown) == ["free", "casino", "bets"]
