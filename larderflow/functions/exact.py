@@ -5,41 +5,32 @@ Fraction, one batch at a time. Unknown stays unknown: a null argument gives null
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Callable
+from decimal import Decimal
 from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = re.compile(r"(-?)(\d*)(?:\.(\d*))?(?:[eE]([+-]?\d+))?", re.A)
-RATIO = re.compile(r"(-?\d+)/(\d+)", re.A)
+#: What a number is written with; Fraction itself would also take "+1", "1_000" and digits of other scripts.
+WRITTEN = frozenset("0123456789.-/eE+")
 
 
 def parse(text: str) -> Fraction:
     """A decimal ("12", "-1.5", "1e-7") or a ratio ("2/3")."""
     text = text.strip()
-    if m := RATIO.fullmatch(text):
-        return Fraction(int(m[1]), int(m[2]))
-    m = NUMBER.fullmatch(text)
-    if not m or not (m[2] or m[3]):
+    if text.startswith("+") or not WRITTEN.issuperset(text):
         raise ValueError(f"not a decimal: {text}")
-    fraction = m[3] or ""
-    value = Fraction(int((m[2] or "0") + fraction), 10 ** len(fraction)) * Fraction(10) ** int(m[4] or 0)
-    return -value if m[1] else value
+    return Fraction(text)
 
 
 def to_decimal(value: Fraction, places: int) -> str:
     """Plain decimal text, rounded half away from zero, without trailing zeros; never "-0"."""
-    scaled, rest = divmod(abs(value.numerator) * 10**places, value.denominator)
-    scaled += 2 * rest >= value.denominator
-    if not scaled:
-        return "0"
-    digits = str(scaled).rjust(places + 1, "0")
-    if places:
-        digits = f"{digits[:-places]}.{digits[-places:]}".rstrip("0").rstrip(".")
-    return ("-" if value < 0 else "") + digits
+    nearest = math.floor(abs(value) * 10**places + Fraction(1, 2))
+    text = format(Decimal((int(value < 0 and nearest > 0), Decimal(nearest).as_tuple().digits, -places)), "f")
+    return text.rstrip("0").rstrip(".") if "." in text else text
 
 
 def packages(demand: Fraction, package: Fraction) -> int:

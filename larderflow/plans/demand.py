@@ -16,10 +16,16 @@ from larderflow.functions.exact import q_mul, q_sum
 from larderflow.functions.units import SCALE, base_unit, parts
 
 
+def with_factors(rows: DataFrame) -> DataFrame:
+    """rows (unit) with the base unit in unit's place and factor, its whole parts of 10^-11; other units count as themselves."""
+    return rows.withColumns({"factor": F.coalesce(parts(F.col("unit")), F.lit(SCALE)).cast("decimal(20,0)"), "unit": base_unit(F.col("unit"))})
+
+
 def demand_parts(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """lines: keys, event, quantity (whole number), unit. Sums per key and base unit, in whole parts of 10^-11 of it; other units count as themselves."""
-    factor = F.coalesce(parts(F.col("unit")), F.lit(SCALE)).cast("decimal(20,0)")
-    rows = lines.select(*keys, "event", base_unit(F.col("unit")).alias("unit"), (F.col("quantity").cast("decimal(17,0)") * factor).alias("parts"))
+    """lines: keys, event, quantity (whole number), unit, and factor if with_factors() has read the units already. Sums per key and base unit, in whole
+    parts of 10^-11 of it."""
+    lines = lines if "factor" in lines.columns else with_factors(lines)
+    rows = lines.select(*keys, "event", "unit", (F.col("quantity").cast("decimal(17,0)") * F.col("factor")).alias("parts"))
     return rows.groupBy(*keys, "unit").agg(F.sum(F.col("parts").cast("decimal(28,0)")).alias("parts"), F.countDistinct("event").alias("n_events"))
 
 

@@ -10,24 +10,30 @@ from larderflow.functions.exact import q_div, q_mul, q_sum
 
 
 def check_recipes(recipe_ingredients: DataFrame, ingredients: DataFrame, exclusions: DataFrame, eaters: DataFrame) -> DataFrame:
-    """recipe, group, status (ok, violated, unknown), reasons.
+    """recipe, group, status (ok, violated, unknown), reasons, of every recipe and group of a household.
 
     recipe_ingredients: recipe, ingredient; ingredients: ingredient, name, tags, allergens_known; exclusions: term, member (null: everyone); eaters: group,
     member. A match on key or tag violates, whatever the case; with an exclusion in force an ingredient without known allergens can't pass; without one
-    everything is ok."""
-    said = exclusions.select(F.lower("term").alias("term"), F.col("term").alias("shown"), "member")
-    everyone = eaters.select("group").distinct().join(said.filter("member is null"), F.lit(True)).select("group", "term", "shown")
-    applied = everyone.unionByName(eaters.join(said.filter("member is not null"), "member").select("group", "term", "shown")).distinct()
+    everything is ok. With a column household in the first, third and fourth table, households are apart; without it, all rows are of one."""
+    tables = [recipe_ingredients, exclusions, eaters]
+    given = all("household" in t.columns for t in tables)
+    recipe_ingredients, exclusions, eaters = [t if given else t.withColumn("household", F.lit("")) for t in tables]
+    said = exclusions.select("household", F.lower("term").alias("term"), F.col("term").alias("shown"), "member")
+    groups = eaters.select("household", "group").distinct()
+    everyone = groups.join(said.filter("member is null"), "household").select("household", "group", "term", "shown")
+    applied = everyone.unionByName(eaters.join(said.filter("member is not null"), ["household", "member"]).select("household", "group", "term", "shown")).distinct()
     known = recipe_ingredients.join(ingredients, "ingredient", "left")
-    terms = known.select("recipe", "ingredient", F.coalesce("name", "ingredient").alias("name"), F.explode(F.array_distinct(F.transform(F.concat(F.array("ingredient"), F.coalesce("tags", F.array().cast("array<string>"))), F.lower))).alias("term"))
-    hits = terms.join(applied, "term").groupBy("recipe", "group").agg(F.array_sort(F.collect_set(F.concat(F.col("name"), F.lit(" matches excluded "), F.col("shown")))).alias("hits"))
-    unknown = known.filter(~F.coalesce("allergens_known", F.lit(False))).groupBy("recipe").agg(F.array_sort(F.collect_set(F.coalesce("name", "ingredient"))).alias("gaps"))
-    bound = applied.select("group").distinct().withColumn("bound", F.lit(True))
-    pairs = recipe_ingredients.select("recipe").distinct().join(eaters.select("group").distinct(), F.lit(True))
-    rows = pairs.join(hits, ["recipe", "group"], "left").join(unknown, "recipe", "left").join(bound, "group", "left")
-    status = F.when(F.col("bound").isNull(), "ok").when(F.col("hits").isNotNull(), "violated").when(F.col("gaps").isNotNull(), "unknown").otherwise("ok")
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    terms = known.select("household", "recipe", F.coalesce("name", "ingredient").alias("name"), F.explode(F.array_distinct(F.transform(F.concat(F.array("ingredient"), tags), F.lower))).alias("term"))
+    hits = terms.join(applied, ["household", "term"]).groupBy("household", "recipe", "group").agg(F.array_sort(F.collect_set(F.concat(F.col("name"), F.lit(" matches excluded "), F.col("shown")))).alias("hits"))
+    gaps = F.array_sort(F.collect_set(F.when(~F.coalesce("allergens_known", F.lit(False)), F.coalesce("name", "ingredient"))))
+    recipes = known.groupBy("household", "recipe").agg(gaps.alias("gaps"))
+    bound = applied.select("household", "group").distinct().withColumn("bound", F.lit(True))
+    rows = recipes.join(groups, "household").join(hits, ["household", "recipe", "group"], "left").join(bound, ["household", "group"], "left")
+    status = F.when(F.col("bound").isNull(), "ok").when(F.col("hits").isNotNull(), "violated").when(F.size("gaps") > 0, "unknown").otherwise("ok")
     nothing = F.array().cast("array<string>")
-    return rows.select("recipe", "group", status.alias("status"), F.when(status == "violated", F.col("hits")).when(status == "unknown", F.col("gaps")).otherwise(nothing).alias("reasons"))
+    out = rows.select("household", "recipe", "group", status.alias("status"), F.when(status == "violated", F.col("hits")).when(status == "unknown", F.col("gaps")).otherwise(nothing).alias("reasons"))
+    return out if given else out.drop("household")
 
 
 NUTRIENTS = ("calories", "protein_g", "carbs_g", "fat_g")
