@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Text bytes that one Python step works on at a time; a longer single text is its own step.
 STEP_BYTES = 4 << 20
+#: Rows that Arrow brings to Python at a time, where rows hold texts: JVM and worker each hold a batch.
+TEXT_ROWS = 1_000
 #: log2 of the bits of the filter that keeps rows without a partner out of a join.
 FILTER_BITS = 24
 
@@ -43,9 +45,10 @@ _WORDS: dict[tuple, object] = {}
 def give_back() -> None:
     """Returns a worker's freed memory to the system: a worker outlives its tasks, and what one stage has freed would stand beside the next one's."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    c = ctypes.CDLL(None)
+    if hasattr(c, "malloc_trim"):
+        c.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays of 1 MB and more go back at once when freed
+        c.malloc_trim(0)
 
 
 def cached_words(key: tuple, make: Callable[[], object]) -> object:
@@ -102,8 +105,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     if not total:
         return np.zeros(0, "i8")
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total, dtype="i8")
+    kind = "i4" if max(total, int(starts.max()) + total) < 2**31 else "i8"
+    ends = np.cumsum(lengths, dtype="i8")
+    out = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str, schema: str) -> DataFrame:
@@ -115,6 +121,14 @@ def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None
             if out is not None:
                 yield out
 
+    return text_map(df, run, schema)
+
+
+def text_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow for rows with texts: from here on the session's Arrow batches have TEXT_ROWS rows at most."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
     return df.mapInArrow(run, schema)
 
 
@@ -160,7 +174,7 @@ def sieved(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(hit)], [*(c for c in batch.schema.names if c != "_bit"), "_touched"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("_touched", T.BooleanType())])
-    return rows.withColumn("_bit", bit).mapInArrow(sieve, schema)
+    return text_map(rows.withColumn("_bit", bit), sieve, schema)
 
 
 def repeated_ids(docs: DataFrame) -> bool:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larderflow.llm.common import documents, steps, text_or_empty
+from larderflow.llm.common import documents, steps, text_map, text_or_empty
 from larderflow.llm.words import mix, term_hashes
 
 #: log2 of the counters that bound document frequencies from above: a table of fixed size, whatever the corpus.
@@ -35,7 +35,7 @@ def counters(docs: DataFrame, bits: int) -> np.ndarray:
         for a in range(0, len(seen), 100_000):
             yield pa.record_batch([pa.array(seen[a : a + 100_000].astype("i4")), pa.array(total[seen[a : a + 100_000]])], ["counter", "n"])
 
-    rows = docs.select(text_or_empty()).mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # 2 ** bits rows at most
+    rows = text_map(docs.select(text_or_empty()), count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # 2 ** bits rows at most
     out = np.zeros(1 << bits, "i8")
     out[rows["counter"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -72,7 +72,7 @@ def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> np.ndarr
             terms, times = np.unique(distinct(h[keep], n)[0], return_counts=True)
             yield pa.record_batch([pa.array(terms.view("i8")), pa.array(times.astype("i8"))], ["term", "n"])
 
-    counted = docs.select(text_or_empty()).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = text_map(docs.select(text_or_empty()), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return np.sort(counted.filter(F.col("n").between(low, high)).select("term").toPandas()["term"].to_numpy("i8").view("u8"))
 
 
@@ -182,7 +182,7 @@ def with_following(docs: DataFrame, step, schema: str) -> DataFrame:
                 yield step(ids[:-1], texts[:-1], texts[1:])
                 ids, texts = ids[-1:], texts[-1:]
 
-    return dealt.mapInArrow(run, schema)
+    return text_map(dealt, run, schema)
 
 
 def fingerprinted(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> DataFrame:

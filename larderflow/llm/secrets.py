@@ -212,8 +212,8 @@ def redacted(docs: DataFrame, forest: str, path: str = "source") -> DataFrame:
     held = sealed(docs, ("text",))
     where = F.col(REST).getField(path).cast("string") if path in columns else F.lit(None).cast("string")
     out = scanned(held.withColumn("path", where), forest, "path")
-    masks = F.expr(f"zip_with(_candidates, _scores, (c, s) -> if(s >= 0.5, '{MASK}', c.value))")
-    joined = F.array_join(F.zip_with("_pieces", masks, lambda p, m: F.concat(F.coalesce(p, F.lit("")), F.coalesce(m, F.lit("")))), "")
+    out = out.withColumn("_masks", F.expr(f"zip_with(_candidates, _scores, (c, s) -> if(s >= 0.5, '{MASK}', c.value))"))
+    joined = F.array_join(F.zip_with("_pieces", "_masks", lambda p, m: F.concat(F.coalesce(p, F.lit("")), F.coalesce(m, F.lit("")))), "")
     return out.withColumn("text", F.when(F.size("_candidates") > 0, joined).otherwise(F.col("text"))).select(*opened(columns, ("text",)))
 
 

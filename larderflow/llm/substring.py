@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from larderflow.llm.common import cached_words, documents, materialised, opened, ragged, repeated_ids, sealed, sieved, steps, without_words
+from larderflow.llm.common import cached_words, documents, materialised, opened, ragged, repeated_ids, sealed, sieved, steps, text_map, without_words
 from larderflow.llm.words import mix
 
 WIDTH = 13
@@ -184,7 +184,7 @@ def window_rows(docs: DataFrame, parts: int, width: int) -> DataFrame:
                     ["part", "tag", "base", "n", "ids", "sizes", "rem"],
                 )
 
-    return docs.filter("doc_id is not null and text is not null").select("doc_id", "tag", "text").mapInArrow(emit, "part int, tag int, base long, n int, ids binary, sizes binary, rem binary")
+    return text_map(docs.filter("doc_id is not null and text is not null").select("doc_id", "tag", "text"), emit, "part int, tag int, base long, n int, ids binary, sizes binary, rem binary")
 
 
 def answers(rows: DataFrame, parts: int) -> DataFrame:
@@ -309,7 +309,7 @@ def removals(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame,
                 rows = out[a : a + 5_000]
                 yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["asks", "owner", "doc_id", "tag", "start", "words"])
 
-    pieces = materialised(asked.mapInArrow(cut, "asks int, owner long, doc_id long, tag int, start int, words binary"), "substring-runs")
+    pieces = materialised(text_map(asked, cut, "asks int, owner long, doc_id long, tag int, start int, words binary"), "substring-runs")
     total = pieces.agg(F.sum(F.when(F.col("asks") == 0, F.length("words")))).first()[0] or 0
     shards = max(1, int(total // (6 * SHARD_WORDS)) + 1)
     sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int"))
@@ -359,7 +359,7 @@ def _finish(df: DataFrame, step, schema: str | T.StructType) -> DataFrame:
         for batch in steps(batches, "text"):
             yield step(batch)
 
-    return df.mapInArrow(run, schema)
+    return text_map(df, run, schema)
 
 
 def kept_words(text: str | None, lost: list[dict] | None) -> tuple[list[bytes], int]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from larderflow.llm.common import documents, runs, shared_dir, steps, text_or_empty
+from larderflow.llm.common import documents, runs, shared_dir, steps, text_map, text_or_empty
 from larderflow.llm.words import byte_pair_ids, cached
 
 HEADER = "<8sII"
@@ -143,7 +143,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, wi
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", text_or_empty()).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(write, "doc_id long, occurrence int, shard int, offset long, n_tokens long").write.parquet(f"{out}/records")
+    text_map(ordered, write, "doc_id long, occurrence int, shard int, offset long, n_tokens long").write.parquet(f"{out}/records")
     return spark.read.schema("doc_id long, occurrence int, shard int, offset long, n_tokens long").parquet(f"{out}/records")
 
 

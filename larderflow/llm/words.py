@@ -66,7 +66,7 @@ class PieceCache:
                     continue
             one.append(new(rest + w, len(at)))
             two.append(-1)
-        return list(at), np.column_stack([np.array(one, "i8"), np.array(two, "i8")])
+        return list(at), np.column_stack([np.array(one, "i4"), np.array(two, "i4")])
 
     def _keep(self, hashes: np.ndarray, new: np.ndarray, times: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pool: np.ndarray) -> None:
         """Takes the new pieces in, or if there are too many begins anew with the most frequent ones of this call."""
@@ -99,7 +99,7 @@ class PieceCache:
             hit = (self.kept["h1"][slots] == hashes[0]) & (self.kept["h2"][slots] == hashes[1])
         known, new = np.flatnonzero(hit), np.flatnonzero(~hit)
         flat, counts = self._all([pieces[i] for i in new.tolist()])
-        starts, lengths = np.zeros(len(pieces) + 1, "i8"), np.zeros(len(pieces) + 1, "i8")  # the last one: no piece
+        starts, lengths = np.zeros(len(pieces) + 1, "i4"), np.zeros(len(pieces) + 1, "i4")  # the last one: no piece
         starts[known], lengths[known] = self.kept["start"][slots[known]], self.kept["length"][slots[known]]
         starts[new], lengths[new] = len(self.pool) + np.cumsum(counts) - counts, counts
         pool = np.concatenate([self.pool, flat])
@@ -120,7 +120,7 @@ class PieceCache:
             at[heads[todo], 0], lens[heads[todo], 0], lens[heads[todo], 1] = (len(pool) + np.cumsum(counts) - counts)[which], counts[which], 0
             pool = np.concatenate([pool, flat])
         ids = pool[ragged(at.ravel(), lens.ravel())]
-        counts = np.add.reduceat(lens.sum(1), heads)
+        counts = np.add.reduceat(lens.sum(1, dtype="i8"), heads)
         if own:
             ends = np.cumsum(counts)
             texts_ids = [own[i] if i in own else ids[ends[i] - counts[i] : ends[i]] for i in range(len(texts))]
