@@ -176,6 +176,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digests() of `documents`: a row for each row, repeated ones and those with a null doc_id too; null texts count as empty and have the begin and end
+    ids alone; other columns are left out; an empty table gives an empty one."""
     import public_tokenizers
 
     return digests(documents(spark, sf_dir), str(public_tokenizers.path("piece_bpe_32k.model")))

@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from larderflow.llm.common import documents, runs, shared_dir, steps, text_map, text_or_empty
 from larderflow.llm.words import byte_pair_ids, cached
@@ -233,15 +232,34 @@ def read_ids(places: DataFrame, out: str) -> DataFrame:
     return places.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(read, "doc_id long, occurrence int, shard int, offset long, n_tokens long, ids_crc32 long")
 
 
+def shard_sizes(out: str) -> list[tuple[int, int]]:
+    """(shard, number of ids) of all id files, by their sizes: a row for each file."""
+    from pyarrow import fs
+
+    files, path = filesystem(f"{out}/ids")
+    found = files.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    sizes = []
+    for f in sorted(found, key=lambda f: f.base_name):
+        if f.extension == "ids":
+            with files.open_input_file(f.path) as stream:
+                width = struct.unpack(HEADER, stream.read(HEADER_BYTES))[1]
+            sizes.append((int(f.base_name[5:-4]), (f.size - HEADER_BYTES) // width))
+    return sizes
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encodes, writes, indexes and reads back every document; all answers come from the files by way of the index."""
+    """Encodes, writes, indexes and reads back every document; all answers come from the files by way of the index. Null texts are empty, and every
+    document has its end id; rows that repeat a doc_id follow each other by their texts, null ids come first; other columns are left out."""
     import public_tokenizers
 
     out = shared_dir(spark, "token-shards")
     records = write_shards(documents(spark, sf_dir), out, str(public_tokenizers.path("byte_bpe_50k.json")), end_id=2)
     parts = index_parts(records)
     write_index(records, out, parts)
-    # a running sum over one row per shard
-    shards = records.groupBy("shard").agg(F.sum("n_tokens").alias("ids")).withColumn("before", F.coalesce(F.sum("ids").over(W.Window.orderBy("shard").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))
+    starts, at = [], 0
+    for shard, n in shard_sizes(out):
+        starts.append((shard, at))
+        at += n
+    shards = spark.createDataFrame(starts, "shard int, before long")  # a row for each file
     back = read_ids(located(records, out, parts), out)
     return back.join(F.broadcast(shards.select("shard", "before")), "shard").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

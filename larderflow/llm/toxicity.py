@@ -84,11 +84,11 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Learns `toxic` of labels (doc_id, toxic) from docs (doc_id, text), never from held-out rows.
 
-    A doc_id with several labels counts as toxic if one says so; null labels and texts teach nothing. Without any label of one of the classes the
+    A doc_id with several labels counts as toxic if one says so, and one with several texts teaches with the least of them; null labels and texts teach nothing. Without any label of one of the classes the
     model says "not toxic" for everything (or the one class seen)."""
     picked = labels.filter(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    # max_rows ids at most
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id")
+    # max_rows ids at most, a row for each
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     learners = max(1, round(picked.count() / LEARNER_ROWS))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
