@@ -192,3 +192,61 @@ def k01_projection(spark, d):
     )
     out = projection.project(meals, products, available, requests, past, frame([], "packages long"))
     return out.withColumn("issues", F.array_join("issues", "; "))
+
+
+FOODS = [
+    '{"fdcId":1,"description":"Chicken, raw","dataType":"Foundation","foodNutrients":[{"nutrient":{"number":"958","unitName":"KCAL"},"amount":120.50},{"nutrient":{"number":"203","unitName":"G"},"amount":22},{"nutrient":{"number":"204","unitName":"mg"},"amount":3}],"foodPortions":[{"id":7,"amount":1,"gramWeight":140,"measureUnit":{"name":"cup"},"modifier":"diced"},{"id":8,"gramWeight":0,"measureUnit":{"name":"cup"}}]}',
+    '{"fdcId":2,"description":"Juice","dataType":"Branded","servingSize":240,"servingSizeUnit":"ml","foodNutrients":[{"nutrientNumber":"208","unitName":"KCAL","value":45}]}',
+    '{"fdcId":3,"description":"Bar, roasted","dataType":"Branded","servingSize":"40","servingSizeUnit":"GRM","foodNutrients":[{"number":"208","unitName":"kcal","amount":null},{"number":"957","unitName":"kcal","amount":400},{"number":"205","unitName":"g","amount":"5e1"}]}',
+    '{"fdcId":4,"description":" ","dataType":"Branded"}', '{"fdcId":5,"description":"x","dataType":"Experimental"}', "[]", "no json", '{"description":"x"}',
+]
+
+
+def _foods(spark):
+    from larderflow.sources.foods import foods
+
+    return foods(spark.createDataFrame(list(enumerate(FOODS)), "n int, body string"))
+
+
+@known(
+    "n int, reason string, form string, portions int",
+    [(0, None, "raw", 1), (1, None, None, 0), (2, None, "cooked", 1), (3, "description missing", None, 0), (4, "unsupported or missing data type", None, 0), (5, "the food is not a JSON object", None, 0), (6, "the food is not a JSON object", None, 0), (7, "fdcId missing or not an integer", None, 0)],
+)
+def a25_foods(spark, d):
+    """Bodies of a nutrition service, each normalised or refused with a reason."""
+    return _foods(spark).withColumn("portions", F.when(F.col("reason").isNull(), F.size("portions")).otherwise(0))
+
+
+@known(
+    "food_id long, nutrient string, amount string, unit string, number string, status string",
+    [
+        (1, "energy", "120.5", "kcal", "958", "ok"), (1, "protein", "22", "g", "203", "ok"), (1, "fat", None, "mg", "204", "bad_unit"), (1, "carbs", None, None, None, "missing"),
+        (2, "energy", None, "kcal", "208", "missing"), (2, "protein", None, None, None, "missing"), (2, "fat", None, None, None, "missing"), (2, "carbs", None, None, None, "missing"),
+        (3, "energy", "400", "kcal", "957", "ok"), (3, "protein", None, None, None, "missing"), (3, "fat", None, None, None, "missing"), (3, "carbs", "50", "g", "205", "ok"),
+    ],
+)
+def j05_nutrients(spark, d):
+    """A food's nutrients for 100 g: the first number with an amount, in its unit, or why there is none."""
+    from larderflow.sources.foods import nutrients
+
+    return nutrients(_foods(spark))
+
+
+@known(
+    "food_id long, nutrient string, problem string, basis_qty string, basis_unit string, amount string",
+    [(1, "energy", None, "1", "cup diced", "168.7"), (1, "protein", None, "1", "cup diced", "30.8"), (2, "energy", "basis_unknown", "100", "g", None), (2, "protein", "basis_unknown", "100", "g", None), (3, "energy", None, "1", "serving", "160"), (3, "protein", None, "1", "serving", None)],
+)
+def j06_effective_facts(spark, d):
+    """A food's nutrients for the portion that was chosen; unknown stays unknown."""
+    from larderflow.sources.foods import effective_facts, nutrients
+
+    chosen = spark.createDataFrame([(1, "p7"), (3, "serving")], "food_id long, portion string")
+    return effective_facts(nutrients(_foods(spark)).filter("nutrient in ('energy', 'protein')"), chosen)
+
+
+@known("food_id long, nutrient string, problem string", [(1, "energy", "portion_unknown")])
+def j06_unknown_portion(spark, d):
+    """A portion that the food doesn't have is an error, not 100 g."""
+    from larderflow.sources.foods import effective_facts, nutrients
+
+    return effective_facts(nutrients(_foods(spark)).filter("food_id = 1 and nutrient = 'energy'"), spark.createDataFrame([(1, "p8")], "food_id long, portion string"))
