@@ -250,3 +250,21 @@ def j06_unknown_portion(spark, d):
     from larderflow.sources.foods import effective_facts, nutrients
 
     return effective_facts(nutrients(_foods(spark)).filter("food_id = 1 and nutrient = 'energy'"), spark.createDataFrame([(1, "p8")], "food_id long, portion string"))
+
+
+@known(
+    "line string, quantity string, unit string, name string, note string, status string",
+    [
+        ("2 cups flour, sifted", "2", "cup", "flour", "sifted", "parsed"), ("1 ½ lb. chicken breast", "1 1/2", "lb", "chicken breast", None, "parsed"), ("3 cloves garlic, minced", "3", "each", "garlic (clove)", "minced", "parsed"),
+        ("1 (15 oz) can black beans", "15", "oz", "black beans", None, "parsed"), ("2-3 carrots", None, "each", "carrots", None, "requires_review"), ("1 quart stock", "4", "cup", "stock", None, "parsed"),
+        ("a pinch of saffron", None, None, "saffron", None, "requires_review"), ("salt to taste", None, None, "salt", "to taste", "omitted"), ("parsley for garnish", None, None, "parsley", "for garnish", "requires_review"),
+        ("1 cup milk or cream", "1", "cup", "", None, "requires_review"), ("2 large eggs", "2", "each", "eggs", "large", "parsed"), ("1 lb 4 oz beef", None, None, "beef", None, "requires_review"), ("1/0 cup sugar", None, None, "sugar", None, "requires_review"),
+        ("8 fl oz cream", "8", "fl_oz", "cream", None, "parsed"), ("two onions (red), diced", "2", "each", "onions", "red; diced", "parsed"), ("1.5 T oil", "1.5", "tbsp", "oil", None, "parsed"), ("1 tsp kosher salt", "1", "tsp", "kosher salt", None, "omitted"), ("", None, None, "", None, "requires_review"),
+    ],
+)
+def j04_ingredient_lines(spark, d):
+    """Ingredient lines taken apart: amount, unit, name, note, and whether a person has to look."""
+    from larderflow.functions.ingredient_lines import read_lines
+
+    lines = ["2 cups flour, sifted", "1 ½ lb. chicken breast", "3 cloves garlic, minced", "1 (15 oz) can black beans", "2-3 carrots", "1 quart stock", "a pinch of saffron", "salt to taste", "parsley for garnish", "1 cup milk or cream", "2 large eggs", "1 lb 4 oz beef", "1/0 cup sugar", "8 fl oz cream", "two onions (red), diced", "1.5 T oil", "1 tsp kosher salt", ""]
+    return read_lines(spark.createDataFrame([(x,) for x in lines], "line string"), "line")
