@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from larderflow.llm.alignment import op11_alignment
 from larderflow.llm.imatch import op2_imatch
 from larderflow.llm.lsh_forest import op10_lsh_forest
 from larderflow.llm.packing import op7_best_fit
@@ -16,7 +17,7 @@ from larderflow.llm.voronoi import op8_voronoi_top_k
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_imatch": op2_imatch, "op3_secret_scan": op3_secret_scan, "op4_token_shards": op4_token_shards, "op5_url_filter": op5_url_filter, "op6_substring_dedup": op6_substring_dedup, "op7_best_fit": op7_best_fit, "op8_voronoi_top_k": op8_voronoi_top_k, "op9_sentencepiece": op9_sentencepiece, "op10_lsh_forest": op10_lsh_forest}
+    return {"op1_toxicity": op1_toxicity, "op2_imatch": op2_imatch, "op3_secret_scan": op3_secret_scan, "op4_token_shards": op4_token_shards, "op5_url_filter": op5_url_filter, "op6_substring_dedup": op6_substring_dedup, "op7_best_fit": op7_best_fit, "op8_voronoi_top_k": op8_voronoi_top_k, "op9_sentencepiece": op9_sentencepiece, "op10_lsh_forest": op10_lsh_forest, "op11_alignment": op11_alignment}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -69,7 +69,7 @@ class PieceEncoder:
         for end, p in self.finder.iter(text):
             if p not in self.dead:
                 at[end - len(p) + 1].append(p)  # a start's pieces come by growing length
-        failed = 0
+        failed = bytearray(n + 1)  # places from which the rest has no encoding; a bit in a byte each, so that a look costs the same at any length
         out: list[str] = []
         tries: list[int] = []
         pos, k = 0, len(at[0]) - 1 if n else -1
@@ -77,7 +77,7 @@ class PieceEncoder:
             options, last = at[pos], out[-1] if out else None
             while k >= 0:
                 p = options[k]
-                if not failed >> (pos + len(p)) & 1 and (last is None or self.together(last, p)):
+                if not failed[pos + len(p)] and (last is None or self.together(last, p)):
                     break
                 k -= 1
             if k >= 0:
@@ -88,7 +88,7 @@ class PieceEncoder:
             else:
                 if not out:
                     return self.merged(text)  # a vocabulary whose merges are not a tree; none is known
-                failed |= 1 << pos
+                failed[pos] = 1
                 pos -= len(out.pop())
                 k = tries.pop() - 1
         return out
@@ -135,10 +135,13 @@ def library(path: str):
     return cached(("sentencepiece", path), load)
 
 
+def sentence_pieces(path: str) -> PieceCache:
+    return PieceCache(PieceEncoder(model_pieces(path)).encode_many, " ", " ", re.compile(SPACE))
+
+
 def piece_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts (no nulls) as SentencePiece's own encode gives them, without begin and end ids; an empty text has none."""
-    cache = cached_words(("pieces", path), lambda: PieceCache(PieceEncoder(model_pieces(path)).encode_many, " ", " ", re.compile(SPACE)))
-    return cache.encode(texts)
+    return cached_words(("pieces", path), lambda: sentence_pieces(path)).encode(texts)
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:

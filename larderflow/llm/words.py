@@ -157,44 +157,45 @@ def cached(key: tuple, make: Callable[[], object]) -> object:
 LOWER_RULES = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 
-def library_cache(path: str, rest: str, added: bool = False) -> PieceCache:
+def library_pieces(path: str, first: str, rest: str, added: bool = False) -> PieceCache:
     """Pieces encoded by the tokenizers library with the file at `path`, without special tokens around them. The file's added tokens, such as
     <|endoftext|>, are plain text, or with `added` the ids that the library by itself gives them; no cut is made beside them."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = not added
+    names = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added else []
+    # a token with white space in it may lie over any cut: then none is made
+    unsafe = re.compile("" if any(re.search(r"\s", x) for x in names) else "|".join(map(re.escape, names))) if names else None
+
+    # a normaliser that lower-cases and does nothing else to plain words: these are lower-cased here, and alike ones encoded once
+    rules = json.loads(tokenizer.to_str())
+    lowers = (rules["normalizer"] or {}).get("normalizers") == LOWER_RULES
+    plain = Tokenizer.from_str(json.dumps(rules | {"normalizer": None})) if lowers else None
+
+    def ids_of(t, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [x.ids for x in t.encode_batch_fast(pieces, add_special_tokens=False)]
+        counts = np.fromiter(map(len, lists), "i8", len(lists))
+        return np.fromiter(itertools.chain.from_iterable(lists), "u4", int(counts.sum())), counts
+
+    def encode_many(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not lowers:
+            return ids_of(tokenizer, pieces)
+        low, rest_of = {}, {}
+        place = [low.setdefault(p.lower(), len(low)) if PLAIN.fullmatch(p) and "<|" not in p else ~rest_of.setdefault(p, len(rest_of)) for p in pieces]
+        (a, n), (b, m) = ids_of(plain, list(low)), ids_of(tokenizer, list(rest_of))
+        at = np.array(place, "i8")
+        at = np.where(at < 0, len(low) + ~at, at)
+        counts = np.concatenate([n, m])
+        return np.concatenate([a, b])[ragged((np.cumsum(counts) - counts)[at], counts[at])], counts[at]
+
+    return PieceCache(encode_many, first, rest, unsafe, marks=True)
 
-    def make() -> PieceCache:
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = not added
-        names = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added else []
-        # a token with white space in it may lie over any cut: then none is made
-        unsafe = re.compile("" if any(re.search(r"\s", x) for x in names) else "|".join(map(re.escape, names))) if names else None
-
-        # a normaliser that lower-cases and does nothing else to plain words: these are lower-cased here, and alike ones encoded once
-        rules = json.loads(tokenizer.to_str())
-        lowers = (rules["normalizer"] or {}).get("normalizers") == LOWER_RULES
-        plain = Tokenizer.from_str(json.dumps(rules | {"normalizer": None})) if lowers else None
-
-        def ids_of(t, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            lists = [x.ids for x in t.encode_batch_fast(pieces, add_special_tokens=False)]
-            counts = np.fromiter(map(len, lists), "i8", len(lists))
-            return np.fromiter(itertools.chain.from_iterable(lists), "u4", int(counts.sum())), counts
-
-        def encode_many(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            if not lowers:
-                return ids_of(tokenizer, pieces)
-            low, rest_of = {}, {}
-            place = [low.setdefault(p.lower(), len(low)) if PLAIN.fullmatch(p) and "<|" not in p else ~rest_of.setdefault(p, len(rest_of)) for p in pieces]
-            (a, n), (b, m) = ids_of(plain, list(low)), ids_of(tokenizer, list(rest_of))
-            at = np.array(place, "i8")
-            at = np.where(at < 0, len(low) + ~at, at)
-            counts = np.concatenate([n, m])
-            return np.concatenate([a, b])[ragged((np.cumsum(counts) - counts)[at], counts[at])], counts[at]
-
-        return PieceCache(encode_many, "", rest, unsafe, marks=True)
-
-    return cached_words(("library", path, rest, added), make)
+
+def library_cache(path: str, rest: str, added: bool = False) -> PieceCache:
+    """library_pieces() for texts as they stand, kept by the worker."""
+    return cached_words(("library", path, rest, added), lambda: library_pieces(path, "", rest, added))
 
 
 def byte_pair_ids(texts: pa.Array, path: str, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
