@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larderflow.llm.common import STEP_BYTES, materialised, without_words
+from larderflow.llm.common import STEP_BYTES, materialised, ragged, without_words
 
 #: Vectors of a cell, on average, and the most pivots: the driver and every task hold the pivots and one summary row for each.
 CELL_ROWS, MOST_PIVOTS = 160, 1_024
@@ -28,13 +28,28 @@ def integers(vectors: DataFrame) -> DataFrame:
     """vec_id and v (integer components) of the vectors that take part: neither null nor with a null or non-finite component; floor(64 * x)."""
     x = F.col("embedding").cast("array<double>")
     whole = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    return vectors.filter(whole).select("vec_id", F.transform(x, lambda e: F.floor(e * 64)).alias("v"))
+    # as doubles first: what is too large for exact scores is refused, not wrapped
+    return vectors.filter(whole).select("vec_id", F.transform(x, lambda e: F.floor(F.greatest(F.least(e * 64, F.lit(2.0**62)), F.lit(-(2.0**62))))).alias("v"))
 
 
-def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of equal length as a matrix of doubles; integer products are exact in it up to 2^53."""
+def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Rows as a matrix of doubles, shorter ones filled up with zeros to `width`; integer products are exact in it up to 2^53."""
     values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return values.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(values), -1)
+    flat = values.flatten().to_numpy(zero_copy_only=False).astype("f8")
+    if len(flat) == len(values) * width:
+        return flat.reshape(len(values), width)
+    sizes = pa.compute.list_value_length(values).to_numpy(zero_copy_only=False).astype("i8")
+    out = np.zeros((len(values), width))
+    out[np.repeat(np.arange(len(values)), sizes), ragged(np.zeros(len(sizes), "i8"), sizes)] = flat
+    return out
+
+
+def measured(vectors: DataFrame) -> tuple[int, int]:
+    """(rows, greatest length) of vectors. Raises if components are so large that a score might not be exact in a double."""
+    rows, width, most = vectors.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda e: F.abs(e.cast("double")))))).first()
+    if rows and (most or 0) ** 2 * (width or 0) >= 2**53:
+        raise ValueError("components are too large for exact scores")
+    return rows, width or 0
 
 
 def best(asked: np.ndarray, q_ids: np.ndarray, data: np.ndarray, s_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,20 +63,21 @@ def best(asked: np.ndarray, q_ids: np.ndarray, data: np.ndarray, s_ids: np.ndarr
 def candidates(vectors: DataFrame, queries: DataFrame, k: int, pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame] | None:
     """(asked, sent): queries and the vectors that they need, by group g and block b (vec_id, v); None if there is nothing to ask or to find."""
     spark = vectors.sparkSession
+    rows, width = measured(vectors)
     if pivots is None:
-        pivots = max(1, min(MOST_PIVOTS, -(-vectors.count() // CELL_ROWS)))
+        pivots = max(1, min(MOST_PIVOTS, -(-rows // CELL_ROWS)))
     chosen = vectors.orderBy(F.xxhash64("v", "vec_id")).limit(pivots).select("v").collect()  # pivots: rows with the least hashes
     if not chosen:
         return None
-    p = np.unique(np.array([r["v"] for r in chosen], "f8"), axis=0)
+    p = np.unique(np.array([r["v"] + [0] * (width - len(r["v"])) for r in chosen], "f8").reshape(len(chosen), width), axis=0)
 
     def dealt(batches):
         without_words()
-        rows = max(1, STEP_BYTES // (16 * max(p.shape)))
+        rows = max(1, STEP_BYTES // (16 * max(1, *p.shape)))
         for batch in batches:
             for a in range(0, batch.num_rows, rows):
                 part = batch.slice(a, rows)
-                x = matrix(part.column("v"))
+                x = matrix(part.column("v"), width)
                 cell = ((p * p).sum(1) - 2 * x @ p.T).argmin(1)
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(cell.astype("i4")), pa.array(np.sqrt(((x - p[cell]) ** 2).sum(1)))], ["vec_id", "v", "cell", "r"])
 
@@ -99,10 +115,10 @@ def candidates(vectors: DataFrame, queries: DataFrame, k: int, pivots: int | Non
         least, g = np.full(len(p), np.inf), left.column("g")[0].as_py() if left.num_rows else -1
         for a in range(0, left.num_rows, 256):
             some = left.slice(a, 256)
-            q = matrix(some.column("v"))
+            q = matrix(some.column("v"), width)
             score = np.full(len(q), -np.inf)
             if right.num_rows >= k:
-                score = best(q, some.column("vec_id").to_numpy(), matrix(right.column("v")), right.column("vec_id").to_numpy(), k)[1][:, -1]
+                score = best(q, some.column("vec_id").to_numpy(), matrix(right.column("v"), width), right.column("vec_id").to_numpy(), k)[1][:, -1]
             length = np.sqrt((q * q).sum(1))
             with np.errstate(divide="ignore", invalid="ignore"):
                 need = (score[:, None] - q @ p.T) / length[:, None] - slack
@@ -123,8 +139,9 @@ def candidates(vectors: DataFrame, queries: DataFrame, k: int, pivots: int | Non
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best vectors by inner product, all if fewer, never a row with its own id; ties go to the
-    smaller vec_id. vectors and queries: vec_id, v (array of integers, all of one length). Repeated rows count each for itself (a query that is
-    repeated is answered once). Empty tables give an empty result; other columns are ignored."""
+    smaller vec_id. vectors and queries: vec_id, v (array of integers). Of vectors of different lengths the common part counts, as if the shorter one went on
+    with zeros; an empty one scores 0 with all. Components whose scores might pass 2^53 raise a ValueError. Repeated rows count each for itself (a query that
+    is repeated is answered once). Empty tables give an empty result; other columns are ignored. Queries are taken to be among the vectors or of their size."""
     found = candidates(vectors.select("vec_id", "v"), queries.select("vec_id", "v").dropDuplicates(["vec_id"]), k, pivots, block_rows)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -136,8 +153,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int | None = N
         if left.num_rows and right.num_rows:
             q_ids, s_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
             order = np.argsort(s_ids, kind="stable")
-            s_ids, data = s_ids[order], matrix(right.column("v"))[order]
-            q = matrix(left.column("v"))
+            width = max(pa.compute.max(pa.compute.list_value_length(t.column("v"))).as_py() for t in (left, right))
+            s_ids, data = s_ids[order], matrix(right.column("v"), width)[order]
+            q = matrix(left.column("v"), width)
             for a in range(0, len(q_ids), 256):
                 at, score = best(q[a : a + 256], q_ids[a : a + 256], data, s_ids, k)  # equal scores stay in the order of ids
                 ok = np.isfinite(score)
@@ -152,7 +170,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int | None = N
 
 def op8_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """top_k() of `embeddings`, 20 for each row whose id is divisible by 20, against all rows. Rows with a null id, or with a null, non-finite or no
-    vector take no part; repeated rows are found each for itself; an empty table gives an empty one; other columns are left out."""
+    vector take no part; of unequal lengths the common part counts; repeated rows are found each for itself; an empty table gives an empty one; other columns
+    are left out. Raises where components are so large (from some 2^17 on for 64 of them, after the factor 64) that a score might not be exact."""
     vectors = integers(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20)
 
@@ -164,7 +183,7 @@ WITH v AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
-  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda t: t[1] * t[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, d.v), lambda t: t[1] * t[2])), 0) AS BIGINT) AS score
   FROM v q JOIN v d ON q.vec_id <> d.vec_id
   WHERE q.vec_id % 20 = 0
 ), ranked AS (
