@@ -45,11 +45,11 @@ def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 
 
 def measured(vectors: DataFrame) -> tuple[int, int]:
-    """(rows, greatest length) of vectors. Raises if components are so large that a score might not be exact in a double."""
+    """(rows, greatest length, 1 at least) of vectors. Raises if components are so large that a score might not be exact in a double."""
     rows, width, most = vectors.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda e: F.abs(e.cast("double")))))).first()
     if rows and (most or 0) ** 2 * (width or 0) >= 2**53:
         raise ValueError("components are too large for exact scores")
-    return rows, width or 0
+    return rows, max(1, width or 0)
 
 
 def best(asked: np.ndarray, q_ids: np.ndarray, data: np.ndarray, s_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +153,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int | None = N
         if left.num_rows and right.num_rows:
             q_ids, s_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
             order = np.argsort(s_ids, kind="stable")
-            width = max(pa.compute.max(pa.compute.list_value_length(t.column("v"))).as_py() for t in (left, right))
+            width = max(1, *(pa.compute.max(pa.compute.list_value_length(t.column("v"))).as_py() for t in (left, right)))
             s_ids, data = s_ids[order], matrix(right.column("v"), width)[order]
             q = matrix(left.column("v"), width)
             for a in range(0, len(q_ids), 256):
