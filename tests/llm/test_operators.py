@@ -520,6 +520,26 @@ def test_top_k_with_repeated_ids(spark):
         assert sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in out) == [(q, k + 1, i, -d) for k, (d, i) in enumerate(best)]
 
 
+def test_top_k_of_unequal_empty_and_huge_vectors(spark):
+    some = [(0, [1.0, 2.0, 3.0]), (1, [1.0]), (2, []), (3, [2.0, -1.0]), (20, []), (40, [0.5, 0.5, 0.5, 4.0]), (40, [0.5, 0.5, 0.5, 4.0])]
+    vectors = voronoi.integers(spark.createDataFrame(some, "vec_id long, embedding array<float>"))
+    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in some]
+    for pivots in (1, 4):
+        got = sorted(map(tuple, voronoi.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20, pivots=pivots).select("query_id", "rank", "vec_id", "score").collect()))
+        want = []
+        for q, v in dict(whole).items():
+            if q % 20 == 0:
+                best = sorted((-sum(a * b for a, b in zip(v, x, strict=False)), i) for i, x in whole if i != q)[:20]
+                want += [(q, k + 1, i, -d) for k, (d, i) in enumerate(best)]
+        assert got == sorted(want)
+    only_empty = vectors.filter("size(v) = 0")
+    assert {r["score"] for r in voronoi.top_k(only_empty, only_empty, 20).collect()} == {0}
+    for large in (1e17, 3e38, 2.0**25):
+        huge = voronoi.integers(spark.createDataFrame([(0, [large, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+        with pytest.raises(ValueError, match="too large"):
+            voronoi.top_k(huge, huge, 20).count()
+
+
 # SentencePiece
 
 
