@@ -51,14 +51,19 @@ def plate_nutrition(amounts: DataFrame, facts: DataFrame) -> DataFrame:
     return sums.join(gaps, ["plate", "nutrient"]).select("plate", "nutrient", F.when(F.size("missing") == 0, F.col("known")).alias("value"), "known", "missing")
 
 
+def score(interested: Column, liked: Column, recent: Column, new: Column, avoided: Column, variety: Column) -> Column:
+    """A recipe's score in tenths; liked: the sum of 20 for each "make again" and 5 for each "occasionally"."""
+    novelty = F.when(new & (variety == "familiar"), -15).when(new & (variety == "adventurous"), 15).otherwise(0)
+    return F.when(interested, 30).otherwise(0) + liked - F.when(recent, 40).otherwise(0) + novelty - F.when(avoided, 100).otherwise(0)
+
+
 def recipe_scores(recipes: DataFrame, preferences: DataFrame, variety: Column) -> DataFrame:
     """recipes (household, recipe, title, interested, recent, cooked, avoided) with score in tenths and rank per household: interest +30, "make again" +20,
     "occasionally" +5, recently planned -40, new and familiar wanted -15, new and adventure wanted +15, avoided -100; ties by title, then id."""
     liked = preferences.groupBy("household", "recipe").agg(F.sum(F.when(F.col("value") == "make_again", 20).when(F.col("value") == "occasionally", 5).otherwise(0)).alias("liked"), F.bool_or(F.col("value") == "not_for_me").alias("refused"))
     rows = recipes.join(liked, ["household", "recipe"], "left").filter(~F.coalesce("refused", F.lit(False)))
-    new = ~F.col("cooked")
-    score = F.when(F.col("interested"), 30).otherwise(0) + F.coalesce("liked", F.lit(0)) - F.when(F.col("recent"), 40).otherwise(0) + F.when(new & (variety == "familiar"), -15).when(new & (variety == "adventurous"), 15).otherwise(0) - F.when(F.col("avoided"), 100).otherwise(0)
-    return rows.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("household").orderBy(F.desc("score"), "title", "recipe"))).select("household", "recipe", "score", "rank")
+    value = score(F.col("interested"), F.coalesce("liked", F.lit(0)), F.col("recent"), ~F.col("cooked"), F.col("avoided"), variety)
+    return rows.withColumn("score", value).withColumn("rank", F.row_number().over(Window.partitionBy("household").orderBy(F.desc("score"), "title", "recipe"))).select("household", "recipe", "score", "rank")
 
 
 def list_state(lines: DataFrame) -> DataFrame:
