@@ -8,6 +8,8 @@ count shard: raw little-endian 64-bit keys, then as many counts. Later tasks mem
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 import uuid
 
 import numpy as np
@@ -17,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larderflow.llm.common import cached_words, documents, ragged, shared_dir, steps, text_map
-from larderflow.llm.piece_bpe import BYTE, SPACE, model_pieces, sentence_pieces
+from larderflow.llm.piece_bpe import BYTE, SPACE, library, model_pieces
 from larderflow.llm.token_shards import filesystem, put
-from larderflow.llm.words import library_pieces
+from larderflow.llm.words import PieceCache, library_pieces
 
 #: Partial sums that a task holds before it hands them on and begins anew.
 HELD_KEYS = 1_000_000
@@ -48,6 +50,19 @@ class TokenBytes:
         return self.pool[ragged(self.start[ids], self.length[ids])]
 
 
+def library_sentence_pieces(path: str) -> PieceCache:
+    """Words encoded by the sentencepiece library, which puts a space before each; model_pieces() refuses models for which a text's ids aren't those of its words."""
+    model_pieces(path)
+    encoder = library(path)
+
+    def encode_many(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = encoder.encode([w[1:] for w in words], num_threads=1)
+        counts = np.fromiter(map(len, lists), "i8", len(lists))
+        return np.fromiter(itertools.chain.from_iterable(lists), "u4", int(counts.sum())), counts
+
+    return PieceCache(encode_many, " ", " ", re.compile(SPACE))
+
+
 class Pair:
     """Two tokenizers: A a byte-level file of the tokenizers library, which gets a space before each text; B a SentencePiece model, which adds one."""
 
@@ -55,7 +70,7 @@ class Pair:
         from tokenizers import Tokenizer
 
         self.a = library_pieces(a_path, " ", " ")
-        self.b = sentence_pieces(b_path)
+        self.b = library_sentence_pieces(b_path)
         tokenizer, letter = Tokenizer.from_file(a_path), byte_letters()
         entries = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
         self.a_bytes = TokenBytes([bytes(letter[c] for c in e) if all(c in letter for c in e) else e.encode() for e in entries], ",", "|")
