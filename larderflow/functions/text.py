@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import html as entities
 import re
 import unicodedata
-from urllib.parse import parse_qsl, urlencode, urlsplit
+from urllib.parse import quote, unquote_plus, urlencode, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larderflow.functions.markup import plain
+
 
 def matching(df: DataFrame, search: str, *columns: str) -> DataFrame:
     """Rows whose columns, joined by spaces, hold every term of the search; terms are cut at white space, case is ignored."""
@@ -56,9 +57,11 @@ def slug(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-# Parameters that only track a visit, and names that never lead to a public site.
-TRACKING = re.compile(r"utm_.*|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|igshid|_ga|_gl|yclid|ref|ref_src|ck_subscriber_id|epik|si")
+# Parameters that only track a visit (and all that begin with utm_), and names that never lead to a public site.
+TRACKING = ("fbclid", "gclid", "dclid", "msclkid", "mc_cid", "mc_eid", "igshid", "_ga", "_gl", "yclid", "ref", "ref_src", "ck_subscriber_id", "epik", "si")
 PRIVATE = ("local", "localhost", "internal", "home.arpa", "arpa", "test", "invalid", "onion", "lan", "localdomain", "intranet", "corp", "home", "example")
+#: Characters of a link at most.
+LONGEST = 2048
 LABEL = re.compile(r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?")
 TOP = re.compile(r"[a-z]{2,63}|xn--[a-z0-9-]{1,59}")
 
@@ -72,47 +75,54 @@ def public(host: str) -> bool:
 LINK = T.StructType([T.StructField("ok", T.BooleanType()), *[T.StructField(c, T.StringType()) for c in ("code", "url", "key", "domain")]])
 
 
+def tracks(pair: str) -> bool:
+    name = unquote_plus(pair.partition("=")[0]).lower()
+    return name.startswith("utm_") or name in TRACKING
+
+
+def cleaned_link(raw: str | None) -> tuple:
+    """(ok, code, url, key, domain) of one link."""
+    refused = lambda code: (False, code, None, None, None)
+    given = (raw or "").strip()
+    if not given or re.search(r"[\x00-\x1f\x7f]", given):
+        return refused("too_long" if len(given) > LONGEST else "invalid_url")
+    if len(given) > LONGEST:
+        return refused("too_long")
+    try:
+        at = urlsplit(given)
+        port = at.port
+    except ValueError:
+        return refused("invalid_url")
+    scheme = at.scheme.lower()
+    if not scheme or (scheme in ("http", "https") and not at.netloc):
+        return refused("invalid_url")
+    if scheme not in ("http", "https"):
+        return refused("unsupported_scheme")
+    if at.username or at.password:
+        return refused("credentials_in_url")
+    host = (at.hostname or "").removesuffix(".")
+    if not public(host):
+        return refused("invalid_host")
+    place = host if port in (None, 80 if scheme == "http" else 443) else f"{host}:{port}"
+    path = quote(at.path, safe="/%:@!$&'()*+,;=-._~[]|^") or "/"
+    pairs = [p for p in at.query.split("&") if p and not tracks(p)]
+    query = "?" + quote("&".join(pairs), safe="/%:@!$&()*+,;=-._~?[]|^`{}") if pairs else ""
+    url = f"{scheme}://{place}{path}{query}"
+    if len(url) > LONGEST:
+        return refused("too_long")
+    named = sorted(((unquote_plus(n), unquote_plus(v)) for n, _, v in (p.partition("=") for p in pairs)), key=lambda x: x[0])
+    key = place.removeprefix("www.") + (path.rstrip("/") or "/") + ("?" + urlencode(named, safe="*") if named else "")
+    return True, "ok", url, key, host.removeprefix("www.")
+
+
 @F.pandas_udf(LINK)
 def link(urls: pd.Series) -> pd.DataFrame:
-    """A saved link: refused with a code, or cleaned of tracking parameters, with a key under which its variants (scheme, www., fragment, order of
-    parameters, a slash at the end) are one."""
-
-    def one(u):
-        if u is None or not u.strip():
-            return (False, "empty", None, None, None)
-        try:
-            p = urlsplit(u.strip())
-            port = p.port
-        except ValueError:
-            return (False, "malformed", None, None, None)
-        if p.scheme not in ("http", "https"):
-            return (False, "scheme", None, None, None)
-        if p.username or p.password:
-            return (False, "credentials", None, None, None)
-        host = (p.hostname or "").rstrip(".")
-        if not public(host):
-            return (False, "host", None, None, None)
-        default = {"http": 80, "https": 443}[p.scheme]
-        at = host if port in (None, default) else f"{host}:{port}"
-        kept = [(k, v) for k, v in parse_qsl(p.query, keep_blank_values=True) if not TRACKING.fullmatch(k.lower())]
-        query = urlencode(kept)
-        url = f"{p.scheme}://{at}{p.path or '/'}" + (f"?{query}" if query else "") + (f"#{p.fragment}" if p.fragment else "")
-        bare = re.sub(r"^www\.", "", at)
-        key = bare + (p.path.rstrip("/") or "/") + (f"?{urlencode(sorted(kept))}" if kept else "")
-        return (True, "ok", url, key, re.sub(r"^www\.", "", host))
-
-    return pd.DataFrame([one(u) for u in urls], columns=["ok", "code", "url", "key", "domain"])
-
-
-def plain(markup: str | None, cap: int = 2_000) -> str | None:
-    """Text of markup: tags out, entities decoded, tags out again, controls and white space to single spaces, at most `cap` characters."""
-    if markup is None:
-        return None
-    strip = lambda s: re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", s))
-    text = strip(entities.unescape(strip(markup)))
-    return " ".join("".join(c if c.isprintable() else " " for c in text).split())[:cap].strip()
+    """A saved link: refused with a code (invalid_url, too_long, unsupported_scheme, credentials_in_url, invalid_host), or without its fragment and its tracking
+    parameters, the others as they were; key: what its variants (scheme, www., order of parameters, slashes at the end) have in common."""
+    return pd.DataFrame([cleaned_link(u) for u in urls], columns=["ok", "code", "url", "key", "domain"])
 
 
-@F.pandas_udf(T.StringType())
-def clean(markup: pd.Series) -> pd.Series:
-    return markup.map(plain)
+def clean(column: Column | str) -> Column:
+    """Plain text of markup, 2,000 characters at most; an empty text for one that holds nothing else."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.when(c.isNotNull(), F.coalesce(plain(c, 2_000), F.lit("")))
