@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larderflow.functions.amounts import let
+from larderflow.functions.amounts import GLYPHS, let
+from larderflow.functions.streams import parts, spoken, tokens
 
 # Units on labels -> (unit, how many of it). A bare "oz" may be weight or volume and is not among them.
 LABEL_UNITS = {
@@ -26,7 +27,8 @@ TABLE_PEPPER = "black ground cracked freshly salt".split()
 BOUGHT = "each g kg oz lb".split()
 
 LONGEST_MINUTES = 30 * 24 * 60
-DURATION = r"^P(?:(\d{1,4})D)?(?:T(?:(\d{1,5})H)?(?:(\d{1,6})M)?(?:(\d{1,7}(?:\.\d{1,3})?)S)?)?$"
+#: What the grammar of ISO 8601 allows from days to seconds.
+DURATION = r"^P(\d+D)?(T(\d+H)?(\d+M)?(\d+(\.\d{1,3})?S)?)?$"
 
 
 def lookup(values: dict[str, str], key: Column) -> Column:
@@ -41,15 +43,23 @@ def plain_decimal(value: Column) -> Column:
 
 def package_size(text: Column) -> Column:
     """struct(quantity, unit) of a label's size, "2 lb" or "1/2 gallon"; null for several numbers, ranges, "about", a bare "oz" and unknown units."""
-    t = F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
-    size = r"^(\d+(?:\.\d+)?|\d+\s*/\s*\d+)\s*([a-z][a-z. ]*?)\.?$"
-    number, unit = F.regexp_replace(F.regexp_extract(t, size, 1), " ", ""), F.trim(F.regexp_extract(t, size, 2))
-    top, bottom = F.substring_index(number, "/", 1).try_cast("decimal(20,6)"), F.substring_index(number, "/", -1).try_cast("decimal(10,0)")
-    split = F.try_divide(top, bottom).cast("decimal(26,12)")
-    q = F.when(F.contains(number, F.lit("/")), F.when((bottom > 0) & (F.round(split, 6) == split), split)).otherwise(number.try_cast("decimal(24,10)"))
-    one = lookup({k: v[0] for k, v in LABEL_UNITS.items()}, unit)
-    quantity = plain_decimal((q.cast("decimal(20,8)") * lookup({k: v[1] for k, v in LABEL_UNITS.items()}, unit).cast("decimal(10,6)")))
-    return F.when(t.isin("each", "1 each", "1 ea"), F.struct(F.lit("1").alias("quantity"), F.lit("each").alias("unit"))).when(t.rlike(size) & (q > 0) & one.isNotNull(), F.struct(quantity.alias("quantity"), one.alias("unit")))
+    t = F.lower(F.array_join(F.split(F.trim(text), r"\s+"), " "))
+    unit = F.trim(F.ltrim(t, F.lit("0123456789./ ")))
+    figures = F.replace(F.trim(F.substring(t, F.lit(1), F.length(t) - F.length(F.ltrim(t, F.lit("0123456789./ "))))), F.lit(" /"), F.lit("/"))
+    return let(F.struct(F.split(F.replace(figures, F.lit("/ "), F.lit("/")), "/").alias("n"), F.rtrim(F.when(t == "each", "each").otherwise(unit), F.lit(". ")).alias("unit"), (t == "each").alias("alone")), _labelled)
+
+
+def _labelled(x: Column) -> Column:
+    whole = F.forall(x["n"], lambda n: n.rlike(r"^\d+$")) & (F.size(x["n"]) == 2)
+    top, bottom = F.try_element_at(x["n"], F.lit(1)).try_cast("decimal(24,10)"), F.try_element_at(x["n"], F.lit(2)).try_cast("decimal(10,0)")
+    split = F.try_divide(top.cast("decimal(20,6)"), bottom).cast("decimal(26,12)")
+    single = (F.size(x["n"]) == 1) & F.try_element_at(x["n"], F.lit(1)).rlike(r"^\d+(\.\d+)?$")
+    # a fraction that doesn't end within six places is no size
+    q = F.when(x["alone"], F.lit(1).cast("decimal(24,10)")).when(single, top).when(whole & (F.round(split, 6) == split), split.cast("decimal(24,10)"))
+    units = LABEL_UNITS | {"each": ("each", "1"), "ea": ("each", "1")}
+    one, times = (lookup({k: v[i] for k, v in units.items()}, x["unit"]) for i in (0, 1))
+    counted = ~x["unit"].isin("each", "ea") | (q == 1)
+    return F.when((q > 0) & one.isNotNull() & counted, F.struct(plain_decimal(q.cast("decimal(20,8)") * times.cast("decimal(10,6)")).alias("quantity"), one.alias("unit")))
 
 
 def sale_basis(sold_by: Column) -> Column:
@@ -60,29 +70,45 @@ def sale_basis(sold_by: Column) -> Column:
 def duration_minutes(text: Column) -> Column:
     """Whole minutes of an ISO 8601 duration of days to seconds; null if malformed, empty or longer than 30 days."""
     t = F.upper(F.trim(text))
-    field = lambda i: F.coalesce(F.nullif(F.regexp_extract(t, DURATION, i), F.lit("")).cast("decimal(12,3)"), F.lit(0))
-    seconds = field(1) * 86400 + field(2) * 3600 + field(3) * 60 + field(4)
+    field = lambda i: F.coalesce(F.rtrim(F.regexp_extract(t, DURATION, i), F.lit("DHMS")).try_cast("decimal(12,3)"), F.lit(0))
+    seconds = field(1) * 86400 + field(3) * 3600 + field(4) * 60 + field(5)
     minutes = F.floor(seconds / 60 + F.lit("0.5").cast("decimal(2,1)")).cast("int")
     return F.when((F.length(text) <= 40) & t.rlike(DURATION) & t.rlike(r"\d") & ~t.endswith("T") & (minutes <= LONGEST_MINUTES), minutes)
 
 
-def heading(raw: Column) -> Column:
-    """A line without its bullets and stars."""
-    return F.trim(F.regexp_replace(F.regexp_replace(raw, r"^[\s•·*#\-–]+", ""), r"[*_]+$", ""))
+BULLETS = "•·*#-–\t "
+FIGURES = "0123456789" + "".join(GLYPHS)
+
+
+def heading_words(raw: Column) -> Column:
+    """The words of a line without its bullets and stars."""
+    return F.filter(F.split(F.trim(F.rtrim(F.ltrim(raw, F.lit(BULLETS)), F.lit("*_"))), r"\s+"), lambda w: w != "")
 
 
 def is_heading(raw: Column, has_amount: Column) -> Column:
     """Whether a line without any amount heads a group: it ends with a colon or begins with "For the"."""
-    t = heading(raw)
-    named = F.when(t.endswith(":"), F.length(t) > 1).otherwise(t.rlike(r"(?i)^for the\s+\S"))
-    return (F.length(t) > 0) & (F.length(t) <= 80) & ~has_amount & ~t.rlike(r"[\d¼½¾⅐-⅞]") & t.rlike(r"\p{L}") & named
+
+    def told(words: Column) -> Column:
+        text = F.array_join(words, " ")
+        ends = F.endswith(text, F.lit(":"))
+        named = F.when(ends, F.length(text) > 1).otherwise((F.lower(F.array_join(F.slice(words, 1, 2), " ")) == "for the") & (F.size(words) > 2))
+        return (F.length(text).between(1, 80)) & ~has_amount & (F.translate(text, FIGURES, "") == text) & (F.upper(text) != F.lower(text)) & named
+
+    return let(heading_words(raw), told)
 
 
 def heading_name(raw: Column) -> Column:
-    t = F.trim(F.regexp_replace(heading(raw), r":+$", ""))
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"(?i)^for\s+(?:the\s+)?(?=\S)", ""), r"\s+", " "))
-    t = F.when(t == F.upper(t), F.lower(t)).otherwise(t)
-    return F.substring(F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t))), 1, 60)
+    """What a heading names: without its colon and a leading "for" or "for the", capitals only at its start where all were, 60 characters at most."""
+
+    def named(words: Column) -> Column:
+        low = F.transform(F.slice(words, 1, 2), F.lower)
+        skipped = F.when((F.array_join(low, " ") == "for the") & (F.size(words) > 2), 2).when((F.try_element_at(low, F.lit(1)) == "for") & (F.size(words) > 1), 1).otherwise(0)
+        text = F.array_join(F.slice(words, skipped + 1, F.size(words)), " ")
+        calm = F.when(F.upper(text) == text, F.lower(text)).otherwise(text)
+        return F.substring(F.concat(F.upper(F.substring(calm, 1, 1)), F.substring(calm, F.lit(2), F.lit(80))), 1, 60)
+
+    trimmed = F.transform(F.array(F.rtrim(F.trim(F.array_join(heading_words(raw), " ")), F.lit(": "))), lambda t: F.filter(F.split(t, " "), lambda w: w != ""))[0]
+    return let(trimmed, named)
 
 
 def title_from_url(url: Column) -> Column:
@@ -119,9 +145,13 @@ def decimal_key(text: Column) -> Column:
 
 
 def dollars_to_cents(text: Column) -> Column:
-    """Whole cents of a positive amount with at most two places; else null."""
-    value = text.try_cast("decimal(20,6)")
-    return F.when((value > 0) & (value * 100 == F.floor(value * 100)), (value * 100).cast("long"))
+    """Whole cents of a positive amount with at most two places (zeros beyond them don't count); null otherwise. The text decides: nothing is rounded."""
+    t = F.trim(text)
+    number = t.rlike(r"^\d{1,16}(\.\d+)?([eE][-+]?\d{1,2})?$")
+    exact = F.when(number, t.try_cast("decimal(38,18)"))
+    fits = F.length(F.regexp_replace(F.substring_index(F.when(t.rlike("[.]"), t), ".", -1), r"0*([eE].*)?$", "")) <= 16
+    cents = exact * 100
+    return F.when((exact > 0) & F.coalesce(fits, F.lit(True)) & (cents == F.floor(cents)), cents.cast("long"))
 
 
 def list_unit(unit: Column) -> Column:
@@ -149,30 +179,40 @@ def image_type(data: Column) -> Column:
     )
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[(),;:.!]", " "), r"\s+"), lambda w: w != "")
+# seasonings: every word of a line has a class
 
 
-def identity_words(name: Column, note: Column) -> Column:
-    """Words in a name's parentheses, after its comma, or in the note beside it, that change which salt or pepper is meant; "for ..." is a purpose."""
-    known = [F.lit(x) for x in DESCRIBING + NEUTRAL]
-    inside = F.regexp_extract_all(name, F.lit(r"\(([^)]*)\)?"), F.lit(1))
-    after = F.slice(F.split(F.regexp_replace(name, r"(?s)\(.*$", ""), ","), 2, 1000)
-    beside = F.split(F.coalesce(note, F.lit("")), "[;,()]")
-    parts = F.transform(F.concat(inside, after, beside), words)
-    named = F.transform(parts, lambda w: F.when(F.array_position(w, "for") > 0, F.slice(w, F.lit(1), F.greatest(F.array_position(w, "for").cast("int") - 1, F.lit(0)))).otherwise(w))
-    return F.array_distinct(F.filter(F.flatten(named), lambda w: ~w.isin(*known) & ~w.rlike(r"^[\d½⅓⅔¼¾⅛⅜⅝⅞⅕⅖⅗⅘⅙⅚/.-]+$")))
+def word_class(word: Column) -> Column:
+    """base (salt, pepper), plain (says nothing of which salt or pepper it is), figure, or other."""
+    return F.when(word.isin("salt", "pepper"), "base").when(word.isin(*DESCRIBING, *NEUTRAL), "plain").when(F.translate(word, FIGURES + "/.-", "") == "", "figure").otherwise("other")
+
+
+def said_words(text: Column) -> Column:
+    return F.filter(F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), "(),;:.!", "       "), r"\s+"), lambda w: w != "")
+
+
+def before_for(words: Column) -> Column:
+    """What "for ..." says is a purpose, not a kind."""
+    at = F.array_position(words, "for").cast("int")
+    return F.when(at > 0, F.slice(words, F.lit(1), F.greatest(at - 1, F.lit(0)))).otherwise(words)
 
 
 def is_seasoning(name: Column, unit: Column, note: Column) -> Column:
-    """Whether this is the ordinary salt or pepper that every household has."""
-    base = F.substring_index(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?s)\(.*$", ""), ",", 1)
-    held = let(base, lambda b: F.struct(words(b).alias("own"), F.concat(words(b), words(F.coalesce(note, F.lit(""))), words(F.substring(name, F.length(b) + 1, F.length(name)))).alias("every")))
-    return let(held, lambda w: _ordinary(w["own"], w["every"], name, unit, note))
+    """Whether this is the ordinary salt or pepper that every household has: its name holds no other word, and neither do its asides, what follows its comma, or
+    the note beside it, figures aside. A pepper that nothing calls black, ground or the like is a vegetable where it is bought by count or weight."""
+    beside = F.split(F.coalesce(note, F.lit("")), "[;,()]")
+
+    def told(p: Column) -> Column:
+        own, tail = said_words(spoken(p["name"])), F.split(spoken(p["tail"]), "[;,()]")
+        others = F.transform(F.concat(p["asides"], F.array(spoken(p["aside"])), tail, beside), lambda x: before_for(said_words(x)))
+        every = F.concat(own, said_words(note), said_words(F.array_join(p["asides"], " ")), said_words(spoken(p["aside"])), said_words(spoken(p["tail"])))
+        return let(F.struct(own.alias("own"), F.flatten(others).alias("others"), every.alias("every")), ordinary)
 
+    def ordinary(w: Column) -> Column:
+        salt, pepper = F.array_contains(w["own"], "salt"), F.array_contains(w["own"], "pepper")
+        only = F.forall(w["own"], lambda x: word_class(x).isin("base", "plain")) & F.forall(w["others"], lambda x: word_class(x) != "other")
+        vegetable = pepper & ~F.arrays_overlap(w["every"], F.array(*[F.lit(x) for x in TABLE_PEPPER])) & F.coalesce(unit.isin(*BOUGHT), F.lit(False))
+        black_salt = F.array_contains(w["every"], "black") & ~pepper
+        return F.size(w["own"]).between(1, 10) & (salt | pepper) & only & ~vegetable & ~black_salt
 
-def _ordinary(own: Column, every: Column, name: Column, unit: Column, note: Column) -> Column:
-    has = lambda a, w: F.array_contains(a, w)
-    plain = F.forall(own, lambda w: w.isin(*DESCRIBING, *NEUTRAL))
-    bare = has(own, "pepper") & ~F.arrays_overlap(every, F.array(*[F.lit(x) for x in TABLE_PEPPER]))
-    return F.size(own).between(1, 10) & (has(own, "salt") | has(own, "pepper")) & plain & (F.size(identity_words(F.coalesce(name, F.lit("")), note)) == 0) & ~(has(every, "black") & ~has(own, "pepper")) & ~(bare & F.coalesce(unit.isin(*BOUGHT), F.lit(False)))
+    return let(parts(tokens(F.coalesce(name, F.lit("")))), told)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larderflow.functions.readers import dollars_to_cents, sale_basis
+
 
 def neutral(value: Column) -> Column:
     """A cell that a spreadsheet won't run: text that begins like a formula gets a leading apostrophe."""
@@ -45,21 +47,20 @@ def restore_tables(spark: SparkSession, schemas: dict[str, str], path: str) -> d
     return {name: spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/{name}") for name, schema in schemas.items()}
 
 
-PRODUCTS = "struct<data: array<struct<productId: string, upc: string, brand: string, description: string, items: array<struct<itemId: string, size: string, soldBy: string, price: struct<regular: double, promo: double>>>>>>"
-
-
-def dollars_to_minor(amount: Column) -> Column:
-    """Whole cents of a positive amount with at most two decimals; null otherwise."""
-    exact = amount.cast("decimal(18,6)")
-    minor = exact * 100
-    return F.when((exact > 0) & (minor == F.floor(minor)), minor.cast("bigint"))
+ITEM = "struct<itemId: string, size: string, soldBy: string, price: struct<regular: string, promo: string>>"
+PRODUCT = f"struct<productId: string, upc: string, brand: string, description: string, items: array<{ITEM}>>"
 
 
 def products(bodies: DataFrame) -> DataFrame:
-    """One row per item of retail product bodies (location, body): a price only where a location is given, the promotion only if it is lower."""
-    rows = bodies.withColumn("p", F.explode(F.from_json("body", PRODUCTS)["data"])).withColumn("i", F.explode_outer("p.items"))
-    regular, promo = dollars_to_minor(F.col("i.price.regular")), dollars_to_minor(F.col("i.price.promo"))
+    """One row per item of retail product bodies (location, body): a price only where a location is given, the promotion only if it is lower. `data` is a list of
+    products or one; a product without an id is left out, one without items has a row of its own. Prices are read as they are written."""
+    listed = F.from_json("body", f"struct<data: array<{PRODUCT}>>")["data"]
+    single = F.from_json("body", f"struct<data: {PRODUCT}>")["data"]
+    rows = bodies.withColumn("p", F.explode(F.coalesce(F.when(F.size(listed) >= 0, listed), F.array(single)))).filter("trim(p.productId) <> ''").withColumn("i", F.explode_outer("p.items"))
+    regular, promo = dollars_to_cents(F.col("i.price.regular")), dollars_to_cents(F.col("i.price.promo"))
     has = F.col("location").isNotNull()
-    better = has & (promo < regular)
-    basis = F.when(F.upper("i.soldBy") == "UNIT", "unit").when(F.upper("i.soldBy") == "WEIGHT", "weight").otherwise("unknown")
-    return rows.select(F.col("p.productId").alias("product_ref"), F.col("p.upc").alias("upc"), F.col("p.brand").alias("brand"), F.col("p.description").alias("name"), F.col("i.size").alias("size"), basis.alias("sale_basis"), F.when(better, promo).when(has, regular).alias("price_minor"), F.coalesce(better, F.lit(False)).alias("on_promotion"))
+    better = F.coalesce(has & (promo < regular), F.lit(False))
+    return rows.select(
+        F.col("p.productId").alias("product_ref"), F.col("p.upc").alias("upc"), F.col("p.brand").alias("brand"), F.col("p.description").alias("name"), F.col("i.size").alias("size"), sale_basis(F.col("i.soldBy")).alias("sale_basis"),
+        F.when(better, promo).when(has, regular).alias("price_minor"), better.alias("on_promotion"),
+    )
