@@ -1,4 +1,4 @@
-"""Scalar functions as queries: each applied to a table of cases, held against the results that the cases must have."""
+"""Scalar functions with cases by hand: each applied to a table of cases, held against the results that the cases must have."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larderflow.functions import amounts, readers, temporal, text, units
-from larderflow.operators.relational import ORACLES, QUERIES
+
+QUERIES, ORACLES = {}, {}
 
 SQL_TYPES = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN"}
 
@@ -91,7 +92,7 @@ golden(
     [("Chicken, raw", "raw"), ("Beef, roasted", "cooked"), ("Onions, raw, then fried", None), ("Strawberries", None), ("Potatoes, BOILED", "cooked"), ("rawhide", None)],
 )
 golden("h22_decimal_of", "v string", {"value": ("string", lambda: readers.decimal_of(F.col("v")))}, [("1.50", "1.5"), ("1e3", "1000"), (" -0.25 ", "-0.25"), ("2.5e-2", "0.025"), ("1,5", None), ("", None), (None, None)])
-golden("h23_cents", "price string", {"cents": ("long", lambda: readers.dollars_to_cents(F.col("price")))}, [("2.50", 250), ("3", 300), ("0", None), ("-1", None), ("1.999", None), ("x", None), (None, None)])
+golden("h23_cents", "price string", {"cents": ("long", lambda: readers.dollars_to_cents(F.col("price")))}, [("2.50", 250), ("3", 300), ("0", None), ("-1", None), ("1.999", None), ("x", None), (None, None), ("1.0000001", None), ("2.500", 250), ("1e2", 10000), ("1.005", None)])
 golden(
     "h24_package_size", "size string", {"quantity": ("string", lambda: readers.package_size(F.col("size"))["quantity"]), "unit": ("string", lambda: readers.package_size(F.col("size"))["unit"])},
     [
@@ -104,12 +105,12 @@ golden(
     "h26_duration", "v string", {"minutes": ("int", lambda: readers.duration_minutes(F.col("v")))},
     [("PT1H30M", 90), ("P1DT2H", 1560), ("pt45m", 45), ("PT90S", 2), ("PT89.4S", 1), ("PT", None), ("P", None), ("P31D", None), ("P30D", 43200), ("1 hour", None), (None, None)],
 )
-golden("h27_clean_text", "markup string", {"shown": ("string", lambda: text.clean(F.col("markup")))}, [("<p>Salt &amp; <b>pepper</b></p>", "Salt & pepper"), ("a&lt;script&gt;x&lt;/script&gt;b", "a b"), (" a \n\t b ", "a b"), ("", ""), (None, None)])
+golden("h27_clean_text", "markup string", {"shown": ("string", lambda: text.clean(F.col("markup")))}, [("<p>Salt &amp; <b>pepper</b></p>", "Salt & pepper"), ("a&lt;script&gt;x&lt;/script&gt;b", "a b"), (" a \n\t b ", "a b"), ("", ""), (None, None), ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"), ("a &copy b &copy; &#x1F600;", "a &copy b © 😀"), ("a<b", "a"), ("x<script>y</scriptz</script >z", "x z"), ("&#0;&#xD800;", "��")])
 golden(
     "h28_link_key", "url string", {"ok": ("boolean", lambda: text.link(F.col("url"))["ok"]), "code": ("string", lambda: text.link(F.col("url"))["code"]), "key": ("string", lambda: text.link(F.col("url"))["key"])},
     [
-        ("https://www.a.com/r?_ga=1&b=2&a=1", True, "ok", "a.com/r?a=1&b=2"), ("http://a.com/r", True, "ok", "a.com/r"), ("https://a.com/r/?utm_source=x&si=3#top", True, "ok", "a.com/r"), ("ftp://a.com", False, "scheme", None),
-        ("https://u:p@a.com", False, "credentials", None), ("https://10.0.0.1/x", False, "host", None), ("https://printer.local/x", False, "host", None), ("https://a_b.com/x", False, "host", None), ("", False, "empty", None),
+        ("https://www.a.com/r?_ga=1&b=2&a=1", True, "ok", "a.com/r?a=1&b=2"), ("http://a.com/r", True, "ok", "a.com/r"), ("https://a.com/r/?utm_source=x&si=3#top", True, "ok", "a.com/r"), ("ftp://a.com", False, "unsupported_scheme", None),
+        ("https://u:p@a.com", False, "credentials_in_url", None), ("https://10.0.0.1/x", False, "invalid_host", None), ("https://printer.local/x", False, "invalid_host", None), ("https://a_b.com/x", False, "invalid_host", None), ("", False, "invalid_url", None), ("https://a.com/r#top", True, "ok", "a.com/r"), ("https://a.com/a\tb", False, "invalid_url", None), ("https://a.com/" + "x" * 3000, False, "too_long", None), ("https://A.com./r//?b=1&b=0&c", True, "ok", "a.com/r?b=1&b=0&c="), ("a.com", False, "invalid_url", None),
     ],
 )
 golden(
