@@ -104,6 +104,10 @@ def labelled_texts(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFrame:
     line = F.element_at(F.array(*[F.lit(x) for x in ("password: ", 'token = "', "secret: ", "auth=", 'passwd = "', "api_key: ", 'password = "')]), F.col("n") + 1)
     setting = F.element_at(F.array(*[F.lit(x) for x in ("AWS_SECRET_ACCESS_KEY=", "DB_PASSWORD=", "api_key_prod_2024=", "GITHUB_TOKEN=", "client_secret_2023_v10=", "API_KEY: ", "auth-token-live-01: ")]), F.col("n") + 1)
     letters = F.translate("b64", "0123456789+/=", "qzxkvbnwjyfgh")
+    # written: the kinds below name these parts many times, and would each be compiled with all of them in place
+    parts = {"word": word, "other": other, "lead": lead, "key": key, "plain": plain, "digits": digits, "line": line, "setting": setting, "letters": letters}
+    r = materialised(r.select("id", "h", "k", "b64", "n", "u", *(c.alias(name) for name, c in parts.items())), "labelled-parts")
+    word, other, lead, key, plain, digits, line, setting, letters = (F.col(name) for name in parts)
     kinds = [  # value, left, secret
         (F.substring("h", 1, 40), F.concat(lead, key), 1),
         (F.upper(F.substring("h", 1, 40)), F.concat(lead, F.upper(key)), 1),
@@ -147,7 +151,7 @@ def labelled_texts(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFrame:
 
 def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> str:
     """A random forest from findings (value, left, right, path, secret), as a SQL expression over a struct f of FEATURES: the share of trees that vote
-    "secret". The expression's size is bounded by trees and depth. With one class only, it is that class."""
+    "secret". The arrays in it are bounded by trees and depth. With one class only, it is that class."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
@@ -158,32 +162,51 @@ def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) ->
         return str(classes[0] if classes else 0.0) + "D"
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows).select("x", "label")
     model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="sqrt").fit(data)
-    return forest_sql(model.toDebugString, list(FEATURES))
+    return forest_sql(model.toDebugString, list(FEATURES), depth)
 
 
-def forest_sql(printed: str, names: list[str]) -> str:
-    """The trees of a printed forest as nested conditions."""
+def forest_nodes(printed: str) -> tuple[list[int], list[tuple[int, float, int, int, float]]]:
+    """(roots, nodes) of a printed forest; a node is (feature, threshold, yes, no, vote), a leaf has the feature -1. yes and no: the next node."""
     lines = [x.strip() for x in printed.splitlines()]
-    at, trees = 0, []
+    roots: list[int] = []
+    nodes: list[tuple[int, float, int, int, float]] = []
+    at = 0
 
-    def node() -> str:
+    def node() -> int:
         nonlocal at
+        here = len(nodes)
+        nodes.append((-1, 0.0, here, here, 0.0))
         if m := re.match(r"Predict: (\S+)", lines[at]):
             at += 1
-            return f"{float(m[1])}D"
+            nodes[here] = (-1, 0.0, here, here, float(m[1]))
+            return here
         m = re.match(r"If \(feature (\d+) <= (\S+)\)", lines[at])
         at += 1
         yes = node()
         at += 1  # its Else
-        return f"if(f.{names[int(m[1])]} <= {float(m[2])!r}D, {yes}, {node()})"
+        nodes[here] = (int(m[1]), float(m[2]), yes, node(), 0.0)
+        return here
 
     while at < len(lines):
-        if lines[at].startswith("Tree "):
-            at += 1
-            trees.append(node())
-        else:
-            at += 1
-    return f"({' + '.join(trees)}) / {len(trees)}D"
+        at += 1
+        if lines[at - 1].startswith("Tree "):
+            roots.append(node())
+    return roots, nodes
+
+
+def forest_sql(printed: str, names: list[str], depth: int = DEPTH) -> str:
+    """A printed forest as a SQL expression over a struct f: its nodes are constant arrays, and each tree is walked from its root, `depth` steps down. The
+    expression's size doesn't grow with the trees, so code is generated for it whatever the forest."""
+    roots, nodes = forest_nodes(printed)
+
+    def constant(values, kind: str) -> str:
+        return f"cast(split('{','.join(map(repr, values))}', ',') as array<{kind}>)"
+
+    feature, threshold, yes, no, vote = (constant([n[i] for n in nodes], kind) for i, kind in enumerate(("int", "double", "int", "int", "double")))
+    step = f"if({feature}[n] < 0, n, if(x[greatest({feature}[n], 0)] <= {threshold}[n], {yes}[n], {no}[n]))"
+    walk = f"aggregate(sequence(1, {depth}), r, (n, i) -> {step})"
+    votes = f"aggregate({constant(roots, 'int')}, 0D, (s, r) -> s + {vote}[{walk}]) / {len(roots)}D"
+    return f"transform(array(array({', '.join(f'f.{x}' for x in names)})), x -> {votes})[0]"
 
 
 def scanned(docs: DataFrame, forest: str, path: str = "source") -> DataFrame:

@@ -679,3 +679,36 @@ def test_components(spark):
     out = lsh_forest.components(spark.createDataFrame(edges, "u long, v long"))
     got = {r["node"]: r["root"] for r in out.collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
+
+
+# the forest as an expression
+
+
+def test_forest_votes_as_its_trees_do(spark, forest):
+    """The expression against a plain walk of the printed trees, and the whole scan compiled without falling back."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    names = list(secrets.FEATURES)
+    r = random.Random(4)
+    made = [[r.choice([0.0, 0.5, 1.0, r.random()]) for _ in names] for _ in range(300)]
+    df = spark.createDataFrame([(*x, float(x[0] + x[3] > 1.1 or x[5] > 0.8)) for x in made], ", ".join(f"{n} double" for n in names) + ", label double")
+    data = VectorAssembler(inputCols=names, outputCol="x").transform(df)
+    printed = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=7, maxDepth=5, seed=3).fit(data).toDebugString
+    roots, nodes = secrets.forest_nodes(printed)
+    assert len(roots) == 7
+
+    def vote(x, n):
+        while nodes[n][0] >= 0:
+            n = nodes[n][2] if x[nodes[n][0]] <= nodes[n][1] else nodes[n][3]
+        return nodes[n][4]
+
+    f = "named_struct(" + ", ".join(f"'{n}', {n}" for n in names) + ")"
+    got = df.selectExpr(*names, f"{f} as f").selectExpr(*names, f"{secrets.forest_sql(printed, names, 5)} as s").collect()
+    assert {tuple(g)[:-1]: round(g["s"], 12) for g in got} == {tuple(x): round(sum(vote(x, n) for n in roots) / 7, 12) for x in made}
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert secrets.findings(table(spark), forest).count() > 0
+        assert secrets.labelled_texts(spark, 50).count() == 50
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
