@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larderflow.functions.exact import q_mul, q_sum
+from larderflow.functions.exact import q_mul
 from larderflow.functions.units import SCALE, base_unit, parts
 
 
@@ -35,9 +35,16 @@ def _joined(n: pd.Series, d: pd.Series) -> str:
 
 
 def portions(plates: DataFrame) -> DataFrame:
-    """Portions per event and component of plates (event, component_portions map<string,string>): exact sums."""
+    """Portions per event and component of plates (event, component_portions map<string,string>; decimals or fractions): exact sums.
+
+    Whole numerators are summed for each denominator, before and after the shuffle; only a sum for each denominator of a group reaches Python."""
     rows = plates.select("event", F.explode("component_portions").alias("component", "portion"))
-    return rows.groupBy("event", "component").agg(q_sum(F.col("portion")).alias("portions"))
+    ratio, point = F.contains("portion", F.lit("/")), F.contains("portion", F.lit("."))
+    places = F.when(point, F.length(F.substring_index("portion", ".", -1))).otherwise(0)
+    n = F.when(ratio, F.substring_index("portion", "/", 1)).otherwise(F.replace("portion", F.lit("."), F.lit("")))
+    d = F.when(ratio, F.substring_index("portion", "/", -1)).otherwise(F.rpad(F.lit("1"), places + 1, F.lit("0")))
+    partial = rows.select("event", "component", n.cast("decimal(38,0)").alias("n"), d.alias("d")).groupBy("event", "component", "d").agg(F.sum("n").alias("n"))
+    return partial.groupBy("event", "component").agg(_joined(F.col("n").cast("string"), F.col("d")).alias("portions"))
 
 
 def event_demand(lines: DataFrame, served: DataFrame, keys: list[str] | None = None) -> DataFrame:

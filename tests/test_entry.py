@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from larderflow.operators import commands, compositions, household, logs, planning, relational, scalars, webpages, weeks  # noqa: F401  (they register their queries)
+from larderflow.operators import commands, compositions, household, library, logs, planning, relational, scalars, webpages, weeks  # noqa: F401  (they register their queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 SMALL = "/root/testdata/sf0.001"
