@@ -42,7 +42,7 @@ def _quarters(spark, d):
 @query(MEAL_SQL)
 def d04_meal_sums(spark, d):
     """Demand over all events, exact, one row for each ingredient; units that cannot be added are a conflict."""
-    out = demand.meal_lines(demand.event_demand(_thirds(spark, d), _quarters(spark, d)).withColumn("cycle", F.lit("all")), ["cycle"])
+    out = demand.meal_lines(demand.event_demand(_thirds(spark, d), _quarters(spark, d), reduced=False).withColumn("cycle", F.lit("all")), ["cycle"])
     return out.select("ingredient", "meal", "unit", F.array_join("conflict", ",").alias("conflict"), "exact", "any_exact").withColumn("conflict", F.nullif("conflict", F.lit("")))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,37 +39,55 @@ def portions(plates: DataFrame) -> DataFrame:
 
     Whole numerators are summed for each denominator, before and after the shuffle; only a sum for each denominator of a group reaches Python."""
     rows = plates.select("event", F.explode("component_portions").alias("component", "portion"))
-    ratio, point = F.contains("portion", F.lit("/")), F.contains("portion", F.lit("."))
-    places = F.when(point, F.length(F.substring_index("portion", ".", -1))).otherwise(0)
-    n = F.when(ratio, F.substring_index("portion", "/", 1)).otherwise(F.replace("portion", F.lit("."), F.lit("")))
-    d = F.when(ratio, F.substring_index("portion", "/", -1)).otherwise(F.rpad(F.lit("1"), places + 1, F.lit("0")))
-    partial = rows.select("event", "component", n.cast("decimal(38,0)").alias("n"), d.alias("d")).groupBy("event", "component", "d").agg(F.sum("n").alias("n"))
+    rows = rows.withColumn("r", ratio(F.col("portion")))
+    partial = rows.select("event", "component", F.col("r.n").cast("decimal(38,0)").alias("n"), F.col("r.d").alias("d")).groupBy("event", "component", "d").agg(F.sum("n").alias("n"))
     return partial.groupBy("event", "component").agg(_joined(F.col("n").cast("string"), F.col("d")).alias("portions"))
 
 
-def event_demand(lines: DataFrame, served: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def event_demand(lines: DataFrame, served: DataFrame, keys: list[str] | None = None, reduced: bool = True) -> DataFrame:
     """Demand per (event, ingredient, base unit).
 
     lines: event, component, ingredient, quantity (per portion, text), unit, exact (boolean); served: event, component, portions (text). Portions of zero
-    or less ask for nothing. quantity is exact; exact says whether all rows were exact, any_exact whether one was. keys (such as a scenario) go along."""
+    or less ask for nothing. quantity is exact; exact says whether all rows were exact, any_exact whether one was. keys (such as a scenario) go along. Sums that are
+    summed on need not be reduced."""
     keys = keys or []
-    rows = lines.join(served, [*keys, "event", "component"])
-    ratio = F.concat_ws("/", F.coalesce(parts(F.col("unit")), F.lit(SCALE)).cast("string"), F.lit(str(SCALE)))
-    rows = rows.select(*keys, "event", "ingredient", base_unit(F.col("unit")).alias("unit"), "exact", q_mul(q_mul(F.col("quantity"), F.col("portions")), ratio).alias("q"))
-    rows = rows.filter(~F.startswith("q", F.lit("-")) & (F.col("q") != "0"))
-    return combine(rows, [*keys, "event", "ingredient"])
-
-
-def combine(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact sums of q per keys and unit, with exact and any_exact."""
+    rows = lines.join(served, [*keys, "event", "component"]).withColumns({"a": ratio(F.col("quantity")), "b": ratio(F.col("portions")), "factor": F.coalesce(parts(F.col("unit")), F.lit(SCALE)), "unit": base_unit(F.col("unit"))})
+    # whole numbers in the JVM, as long as their product has 38 digits at most; others as fractions of any size
+    fits = (F.length("a.n") <= 14) & (F.length("b.n") <= 9) & (F.length("a.d") + F.length("b.d") <= 20)
+    number = lambda c, size: F.col(c).try_cast(f"decimal({size},0)")
+    n = (number("a.n", 14) * number("b.n", 9)).cast("decimal(23,0)") * F.col("factor").cast("decimal(15,0)")
+    d = (number("a.d", 20) * number("b.d", 10)).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(12,0)")
+    kept = [*keys, "event", "ingredient", "unit", "exact"]
+    small = rows.filter(fits).select(*kept, F.concat_ws("/", n.cast("string"), d.cast("string")).alias("q")).filter(~F.startswith("q", F.lit("-")) & ~F.startswith("q", F.lit("0")))
+    large = rows.filter(~fits).select(*kept, q_mul(q_mul(F.col("quantity"), F.col("portions")), F.concat_ws("/", F.col("factor").cast("string"), F.lit(str(SCALE)))).alias("q")).filter(~F.startswith("q", F.lit("-")) & (F.col("q") != "0"))
+    return combine(small.unionByName(large), [*keys, "event", "ingredient"], reduced)
+
+
+def ratio(text: Column) -> Column:
+    """struct(n, d) of the texts of a decimal's or fraction's numerator and denominator."""
+    point = F.contains(text, F.lit("."))
+    places = F.when(point, F.length(F.substring_index(text, ".", -1))).otherwise(0)
+    fraction = F.contains(text, F.lit("/"))
+    n = F.when(fraction, F.substring_index(text, "/", 1)).otherwise(F.replace(text, F.lit("."), F.lit("")))
+    d = F.when(fraction, F.substring_index(text, "/", -1)).otherwise(F.rpad(F.lit("1"), places + 1, F.lit("0")))
+    return F.struct(n.alias("n"), d.alias("d"))
+
+
+def combine(rows: DataFrame, keys: list[str], reduced: bool = True) -> DataFrame:
+    """Exact sums of q per keys and unit, with exact and any_exact. Where a group has one denominator and the sum need not be reduced, it stays in the JVM."""
     n = F.split("q", "/")
     split = rows.withColumns({"n": n[0].cast("decimal(38,0)"), "d": F.coalesce(F.try_element_at(n, F.lit(2)), F.lit("1"))})
     if "any_exact" not in rows.columns:
         split = split.withColumn("any_exact", F.col("exact"))
     partial = split.groupBy(*keys, "unit", "d").agg(F.sum("n").alias("n"), F.bool_and("exact").alias("exact"), F.bool_or("any_exact").alias("any_exact"))
-    joined = partial.groupBy(*keys, "unit").agg(_joined(F.col("n").cast("string"), F.col("d")).alias("q"))
-    flags = partial.groupBy(*keys, "unit").agg(F.bool_and("exact").alias("exact"), F.bool_or("any_exact").alias("any_exact"))
-    return joined.join(flags, [*keys, "unit"])
+    flags = partial.groupBy(*keys, "unit").agg(F.bool_and("exact").alias("exact"), F.bool_or("any_exact").alias("any_exact"), F.count(F.lit(1)).alias("_n"), F.min("n").alias("n"), F.min("d").alias("d"))
+    if reduced:
+        return partial.groupBy(*keys, "unit").agg(_joined(F.col("n").cast("string"), F.col("d")).alias("q")).join(flags.drop("_n", "n", "d"), [*keys, "unit"])
+    order = [*keys, "unit", "q", "exact", "any_exact"]
+    single = flags.filter("_n = 1").withColumn("q", F.concat_ws("/", F.col("n").cast("string"), "d")).select(*order)
+    several = flags.filter("_n > 1").drop("_n", "n", "d")
+    mixed = partial.drop("exact", "any_exact").join(several.select(*keys, "unit"), [*keys, "unit"], "left_semi").groupBy(*keys, "unit").agg(_joined(F.col("n").cast("string"), F.col("d")).alias("q"))
+    return single.unionByName(mixed.join(several, [*keys, "unit"]).select(*order))
 
 
 def meal_lines(demand: DataFrame, keys: list[str]) -> DataFrame:
