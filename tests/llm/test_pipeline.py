@@ -43,3 +43,44 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, tables(spark, tmp_path, empty(spark))).count() == 0
+
+
+def test_toxic_documents_go_and_clean_ones_stay(spark, tmp_path):
+    """Labels that reject: the stage's answer is that of its model, row by row, and nearly all of what the labels say."""
+    from tests.llm.test_operators import toxic_corpus
+
+    corpus = toxic_corpus(600)
+    rest = rows()[0][5:]
+    docs = table(spark, [(i, t, "en", "src1", len(t), *rest) for i, t, _ in corpus])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, _, y in corpus], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    name, stage = corpus_pipeline.STAGES[0]
+    kept = {r["doc_id"] for r in stage(spark, docs, str(tmp_path)).collect()}
+    toxic = {i for i, _, y in corpus if y}
+    assert name == "toxicity" and len(kept & toxic) <= 3 and len({i for i, *_ in corpus} - toxic - kept) <= 3
+
+
+def test_packed_pieces_are_their_texts_tokens(spark, tmp_path):
+    """Ids, lengths and places of the last stage's pieces against the library's own ids."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = table(spark, [r for r in rows() if r[0] not in (None, 20, 21)])
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    want = set()
+    for i, t, *_ in rows():
+        if i not in (None, 20, 21):
+            ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+            want |= {(i, k, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(ids), 2048))}
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got} == want
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for some in places.values():
+        ends = np.cumsum([0, *(n for _, n in sorted(some))])
+        assert [o for o, _ in sorted(some)] == ends[:-1].tolist() and ends[-1] <= 2048
