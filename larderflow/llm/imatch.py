@@ -19,18 +19,20 @@ BITS = 20
 RARE, COMMON = 5_000, 5
 #: Lexicon subsets.
 SUBSETS = 32
+#: Terms that are hashed for all subsets at a time.
+BLOCK_TERMS = 1 << 15
 #: Ranges of doc_id that documents are dealt to, at most.
 MOST_RANGES = 4_096
 
 
 def counters(docs: DataFrame, bits: int) -> np.ndarray:
-    """For each of 2 ** bits counters how many times documents (text) have a term of it: at least the number of documents that have any one of its terms."""
+    """For each of 2 ** bits counters how often its terms stand in docs (text), repeats included: at least the number of documents that have any one of them."""
 
     def count(batches):
         total = np.zeros(1 << bits, "i8")
         for batch in steps(batches, "text"):
-            h, n = term_hashes(batch.column("text"))
-            total += np.bincount(counter_of(distinct(h, n)[0], bits), minlength=1 << bits)
+            h, _ = term_hashes(batch.column("text"))
+            total += np.bincount(counter_of(h, bits), minlength=1 << bits)
         seen = np.flatnonzero(total)
         for a in range(0, len(seen), 100_000):
             yield pa.record_batch([pa.array(seen[a : a + 100_000].astype("i4")), pa.array(total[seen[a : a + 100_000]])], ["counter", "n"])
@@ -46,12 +48,15 @@ def counter_of(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def distinct(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(terms, text) of term_hashes(), each term once for each text."""
+    """(terms, text) of term_hashes(), each term once for each text, sorted within it. Texts lie side by side, so each is sorted by itself."""
+    out, ends = h.copy(), np.cumsum(n)
+    for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
+        if b - a > 1:
+            out[a:b].sort()
     text = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((h, text))
-    h, text = h[order], text[order]
-    first = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])][: len(h)]
-    return h[first], text[first]
+    first = np.ones(len(out), bool)
+    first[1:] = (out[1:] != out[:-1]) | (text[1:] != text[:-1])
+    return out[first], text[first]
 
 
 def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> np.ndarray:
@@ -76,38 +81,48 @@ def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> np.ndarr
     return np.sort(counted.filter(F.col("n").between(low, high)).select("term").toPandas()["term"].to_numpy("i8").view("u8"))
 
 
-def within(terms: np.ndarray, band: np.ndarray | None) -> np.ndarray:
-    """The terms that are in the band; all of them if none is, or without a band."""
-    if band is None or not len(band):
-        return terms
-    kept = terms[band[np.minimum(np.searchsorted(band, terms), len(band) - 1)] == terms]
-    return kept if len(kept) else terms
-
-
 def fingerprints(texts: list[str], band: np.ndarray | None) -> list[str]:
     """`level:all:signatures:signatures:signatures` of each text: a hash of all its terms in the band, and SUBSETS four-digit signatures (0000: none of
     its terms is in the subset) on a level and the next two. A level halves the lexicon subsets; a text's own is that on which about one of its terms
     is in a subset, so likeness is told by a sample of some 40 terms, equality by all of them.
 
     Texts without a term in the band use all their terms; texts without any term have `=` and a digest of themselves."""
-    h, counts = term_hashes(texts)
+    terms, text = distinct(*term_hashes(texts))
+    if band is not None and len(band):
+        inside = band[np.minimum(np.searchsorted(band, terms), len(band) - 1)] == terms
+        some = np.bincount(text[inside], minlength=len(texts)) > 0
+        keep = inside | ~some[text]
+        terms, text = terms[keep], text[keep]
+    n = np.bincount(text, minlength=len(texts))
     seeds = mix(np.arange(1, SUBSETS + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))
+    value = mix(terms * np.uint64(0xC2B2AE3D27D4EB4F))
+    level = np.maximum(np.frexp(n.astype("f8"))[1] - 1, 0)  # bit length less one
+    sums = np.zeros((3, len(texts) * SUBSETS), "u8")
+    met = np.zeros((3, len(texts) * SUBSETS), bool)
+    every = np.zeros(len(texts), "u8")
+    # a term is in a subset on a level if its hash there begins with so many zeros: what is in one on the text's own level is looked at for the next two
+    most = [np.uint64(2**64 - 1) >> (level + k).astype("u8") for k in range(3)]
+    # blocks of terms, whole texts or parts of a long one: what is held doesn't grow with a text
+    for a in range(0, len(terms), BLOCK_TERMS):
+        t, v, at = terms[a : a + BLOCK_TERMS], value[a : a + BLOCK_TERMS], text[a : a + BLOCK_TERMS]
+        begins = np.flatnonzero(np.diff(at, prepend=-1))
+        every[at[begins]] += np.add.reduceat(v, begins)
+        chance = mix(t[:, None] ^ seeds)
+        row, subset = np.nonzero(chance <= most[0][at][:, None])
+        chance, owner, v = chance[row, subset], at[row], v[row]
+        for k in range(3):
+            inside = chance <= most[k][owner]
+            cell = owner[inside] * SUBSETS + subset[inside]
+            np.add.at(sums[k], cell, v[inside])
+            met[k, cell] = True
+    sums, met = sums.reshape(3, -1, SUBSETS), met.reshape(3, -1, SUBSETS)
+    signs = np.where(met, np.maximum(mix(sums ^ seeds) >> np.uint64(48), np.uint64(1)), np.uint64(0)).astype(">u2")
     out = []
-    for text, terms in zip(texts, np.split(h, np.cumsum(counts)[:-1]), strict=True):
-        terms = within(np.unique(terms), band)  # sorted and distinct
-        if not len(terms):
-            out.append("=" + hashlib.sha256(text.encode()).hexdigest())
-            continue
-        level = len(terms).bit_length() - 1
-        chance = mix(terms[:, None] ^ seeds)
-        value = mix(terms * np.uint64(0xC2B2AE3D27D4EB4F))
-        parts = [str(level), f"{int(value.sum(dtype='u8')):016x}"]
-        for halved in (level, level + 1, level + 2):
-            inside = (chance >> np.uint64(64 - halved)) == 0 if halved else np.ones(chance.shape, bool)
-            total = mix(np.where(inside, value[:, None], np.uint64(0)).sum(0, dtype="u8") ^ seeds) >> np.uint64(48)
-            total = np.where(inside.any(0), np.maximum(total, np.uint64(1)), np.uint64(0))
-            parts.append(total.astype(">u2").tobytes().hex())
-        out.append(":".join(parts))
+    for i, own in enumerate(texts):
+        if n[i]:
+            out.append(":".join([str(level[i]), f"{int(every[i]):016x}", *(signs[k, i].tobytes().hex() for k in range(3))]))
+        else:
+            out.append("=" + hashlib.sha256(own.encode()).hexdigest())
     return out
 
 
