@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larderflow.sources.shared import written
+
 
 def latest_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key, the first in `order` (say desc_nulls_last for "newest"); give a tie-break, or equal rows are chosen freely."""
@@ -38,3 +40,13 @@ def multiset_difference(left: DataFrame, right: DataFrame, columns: list[str]) -
     joined = both.join(other, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns], "full")
     n = F.coalesce("l", F.lit(0)) - F.coalesce("r", F.lit(0))
     return joined.select(*[F.coalesce(F.col(f"l.{c}"), F.col(f"r.{c}")).alias(c) for c in columns], F.greatest(n, F.lit(0)).alias("removed"), F.greatest(-n, F.lit(0)).alias("added")).filter("removed > 0 or added > 0")
+
+
+def placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with place, a row's rank from 1 in a total `order` over all rows. Ranges of rows are sorted apart and written with their places; only the ranges' counts
+    meet in one task."""
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    ranges = written(spread, "placed")
+    counts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return ranges.join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_before")

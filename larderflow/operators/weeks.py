@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larderflow.operators.latest import placed
 from larderflow.operators.relational import query, table
 from larderflow.plans import coverage, demand, projection, rules
 from larderflow.sources import files
@@ -175,13 +176,12 @@ def j06_unknown_portion(spark, d):
     return effective_facts(facts, facts.select("food_id", F.lit("p8").alias("portion")).distinct()).select("food_id", "nutrient", "problem")
 
 
-@query("""SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY w, CASE WHEN lower(w) = w THEN 0 ELSE 1 END, c_custkey) AS INTEGER) AS place FROM (
-  SELECT c_custkey, c_nationkey, lower(substr(c_mktsegment, 1, 4)) AS w FROM customer)""")
+@query("""SELECT c_custkey, row_number() OVER (ORDER BY lower(w), CASE WHEN lower(w) = w THEN 0 ELSE 1 END, c_custkey) AS place FROM (
+  SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS w FROM customer)""")
 def f07_locale_order(spark, d):
-    """Customers of each nation in a reader's order of their segments' first letters, whatever the case that they are written in; a window for each nation."""
-    written = F.when(F.col("c_custkey") % 2 == 0, F.lower(F.substring("c_mktsegment", 1, 4))).otherwise(F.substring("c_mktsegment", 1, 4))
-    at = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.collate(F.lower(written), "UNICODE"), "c_custkey"))
-    return table(spark, d, "customer").select("c_custkey", at.alias("place"))
+    """All customers in a reader's order of their segments, not that of code points: lower before upper case."""
+    written_as = F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    return placed(table(spark, d, "customer").select("c_custkey", written_as.alias("w")), [F.collate("w", "UNICODE"), F.col("c_custkey")]).select("c_custkey", "place")
 
 
 PROJECTION_SQL = """WITH m AS (SELECT l_orderkey AS cycle, l_partkey AS ingredient, sum(CAST(l_quantity AS BIGINT) * 100) AS meal, bool_or(l_linenumber = 7) AS conflict FROM lineitem GROUP BY 1, 2),
