@@ -13,6 +13,9 @@ from fractions import Fraction
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from larderflow.functions.amounts import gcd, let
 
 #: What a number is written with; Fraction itself would also take "+1", "1_000" and digits of other scripts.
 WRITTEN = frozenset("0123456789.-/eE+")
@@ -117,6 +120,59 @@ def q_sum(qty: Column) -> Column:
     return total(qty)
 
 
+#: Between the factors and the divisor of a product that is kept as text: a, b, c for a * b / c.
+BESIDE = "\x1f"
+
+
+def ratio(text: Column) -> Column:
+    """struct(n, d) of the texts of a decimal's or fraction's numerator and denominator."""
+    point = F.contains(text, F.lit("."))
+    places = F.when(point, F.length(F.substring_index(text, ".", -1))).otherwise(0)
+    fraction = F.contains(text, F.lit("/"))
+    n = F.when(fraction, F.substring_index(text, "/", 1)).otherwise(F.replace(text, F.lit("."), F.lit("")))
+    d = F.when(fraction, F.substring_index(text, "/", -1)).otherwise(F.rpad(F.lit("1"), places + 1, F.lit("0")))
+    return F.struct(n.alias("n"), d.alias("d"))
+
+
+def number(text: Column, n_digits: int, d_digits: int) -> Column:
+    """struct(n, d) of a plain decimal or fraction as whole numbers of at most so many digits, d over zero; null for texts that are longer or written otherwise."""
+    r = ratio(text)
+    n, d = r["n"].try_cast(f"decimal({n_digits},0)"), r["d"].try_cast(f"decimal({d_digits},0)")
+    return F.when(text.rlike("^-?[0-9]+([./][0-9]+)?$") & n.isNotNull() & (d > 0), F.struct(n.alias("n"), d.alias("d")))
+
+
+def reduced(n: Column, d: Column) -> Column:
+    """Text of n / d, longs, d over zero."""
+    div = lambda a, b: F.call_function("div", a, b).cast("string")
+    return F.when(n % d == 0, div(n, d)).otherwise(let(gcd(F.abs(n), d), lambda g: F.concat_ws("/", div(n, g), div(d, g))))
+
+
+def _product(text: str) -> Fraction:
+    if BESIDE not in text:
+        return Fraction(text)
+    a, b, c = text.split(BESIDE)
+    return parse(a) * parse(b) / parse(c)
+
+
+@F.pandas_udf(T.StringType())
+def _sum(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else str(sum(map(_product, t), Fraction(0))) for t in texts], dtype=object)
+
+
+def total(texts: Column, n: Column, d: Column, reduce: bool = True) -> Column:
+    """Text of the sum of texts (array of fractions and products, see BESIDE); n and d, decimals, are the numbers of one of its fractions, null if it has none.
+
+    A single fraction stays in the JVM, if it need not be reduced or both numbers are short; of such rows Python sees nulls only."""
+    single = (F.size(texts) == 1) & n.isNotNull()
+    if reduce:
+        short, small = n.try_cast("decimal(18,0)").cast("long"), d.try_cast("decimal(18,0)").cast("long")
+        single = single & short.isNotNull() & small.isNotNull()
+        done = let(F.struct(short.alias("n"), small.alias("d")), lambda x: reduced(x["n"], x["d"]))
+    else:
+        done = F.concat_ws("/", n.cast("string"), d.cast("string"))
+    return F.when(F.size(texts) == 0, "0").when(single, done).otherwise(_sum(F.when(~single & (F.size(texts) > 0), texts)))
+
+
 def whole_packages(demand_parts: Column, package_parts: Column) -> Column:
     """Package count in the JVM, both sides as whole parts (long or decimal(38,0)) of one scale; never a division of decimals, which would round."""
     d, p = demand_parts.cast("decimal(38,0)"), package_parts.cast("decimal(38,0)")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larderflow.functions.exact import q_div, q_mul, q_sum
+from larderflow.functions.exact import BESIDE, number, total
 
 
 def check_recipes(recipe_ingredients: DataFrame, ingredients: DataFrame, exclusions: DataFrame, eaters: DataFrame) -> DataFrame:
@@ -44,11 +44,20 @@ def plate_nutrition(amounts: DataFrame, facts: DataFrame) -> DataFrame:
 
     amounts: plate, ingredient, q (exact, in the facts' basis unit; null if not convertible); facts: ingredient, basis_qty and the nutrients, as text."""
     rows = amounts.join(facts, "ingredient", "left")
-    each = rows.select("plate", "ingredient", "q", "basis_qty", F.explode(F.array(*[F.struct(F.lit(n).alias("nutrient"), F.col(n).alias("per")) for n in NUTRIENTS])).alias("x")).select("plate", "ingredient", "q", "basis_qty", "x.*")
-    each = each.withColumn("v", q_div(q_mul(F.col("q"), F.col("per")), F.col("basis_qty")))
-    sums = each.groupBy("plate", "nutrient").agg(q_sum(F.col("v")).alias("known"))
-    gaps = each.groupBy("plate", "nutrient").agg(F.array_sort(F.collect_set(F.when(F.col("v").isNull(), F.col("ingredient")))).alias("missing"))
-    return sums.join(gaps, ["plate", "nutrient"]).select("plate", "nutrient", F.when(F.size("missing") == 0, F.col("known")).alias("value"), "known", "missing")
+    # q * per / basis as whole numbers of 28 digits at most; texts that are longer are kept until the end
+    rows = rows.withColumns({"_q": number(F.col("q"), 10, 8), "_b": number(F.col("basis_qty"), 10, 8), **{f"_{x}": number(F.col(x), 10, 8) for x in NUTRIENTS}})
+    rows = rows.withColumn("_b", F.when(F.col("_b.n") > 0, F.col("_b")))
+    known = lambda x: F.col("q").isNotNull() & F.col("basis_qty").isNotNull() & F.col(x).isNotNull()
+    n = lambda x: (F.col("_q.n") * F.col(f"_{x}.n") * F.col("_b.d")).cast("decimal(28,0)")
+    d = lambda x: (F.col("_q.d") * F.col(f"_{x}.d") * F.col("_b.n")).cast("decimal(38,0)")
+    each = rows.select("plate", "ingredient", *[c for x in NUTRIENTS for c in (n(x).alias(f"n_{x}"), d(x).alias(f"d_{x}"), F.when(known(x) & n(x).isNull(), F.concat_ws(BESIDE, "q", x, "basis_qty")).alias(f"t_{x}"), F.when(~known(x), F.col("ingredient")).alias(f"m_{x}"))])
+    # all nutrients in one pass: sums for each plate and set of denominators, then a plate's few sets together
+    sums = each.groupBy("plate", *[f"d_{x}" for x in NUTRIENTS]).agg(*[c for x in NUTRIENTS for c in (F.sum(f"n_{x}").alias(f"n_{x}"), F.collect_list(f"t_{x}").alias(f"t_{x}"), F.collect_set(f"m_{x}").alias(f"m_{x}"))])
+    fraction = lambda x: F.when(F.col(f"n_{x}").isNotNull(), F.array(F.concat_ws("/", F.col(f"n_{x}").cast("string"), F.col(f"d_{x}").cast("string")))).otherwise(F.array().cast("array<string>"))
+    texts = lambda x: F.flatten(F.collect_list(F.concat(fraction(x), f"t_{x}")))
+    plates = sums.groupBy("plate").agg(*[F.struct(F.lit(x).alias("nutrient"), texts(x).alias("texts"), F.min(f"n_{x}").alias("n"), F.min(f"d_{x}").alias("d"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"m_{x}")))).alias("missing")).alias(x) for x in NUTRIENTS])
+    out = plates.select("plate", F.inline(F.array(*NUTRIENTS))).withColumn("known", total(F.col("texts"), F.col("n"), F.col("d")))
+    return out.select("plate", "nutrient", F.when(F.size("missing") == 0, F.col("known")).alias("value"), "known", "missing")
 
 
 def score(interested: Column, liked: Column, recent: Column, new: Column, avoided: Column, variety: Column) -> Column:

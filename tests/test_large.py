@@ -1,5 +1,7 @@
 """Work that has to stay whole and cheap as tables grow."""
 
+from fractions import Fraction
+
 from pyspark.sql import functions as F
 
 from larderflow.operators import latest, relational, weeks
@@ -27,3 +29,24 @@ def test_readers_order_is_over_all_rows_and_whole_words(spark, tmp_path):
 def test_places_over_all_ranges(spark):
     df = spark.range(5_000).select(((F.col("id") * 7919) % 5_000).alias("k"))
     assert latest.placed(df.repartition(7), [F.col("k")]).filter("place <> k + 1").count() == 0
+
+
+def test_sums_of_short_and_long_numbers(spark):
+    from larderflow.plans import demand, rules
+
+    amounts = spark.createDataFrame([("p", "a", "1/3"), ("p", "b", "1e-7"), ("p", "c", "12345678901234567890"), ("p", "d", None), ("s", "a", "3"), ("s", "b", "1.5")], "plate string, ingredient string, q string")
+    facts = spark.createDataFrame([(i, "100", "30", None if i == "b" else "2", "0.5", "-4") for i in "abcd"], "ingredient string, basis_qty string, calories string, protein_g string, carbs_g string, fat_g string")
+    got = {(r.plate, r.nutrient): (r.value, r.known, r.missing) for r in rules.plate_nutrition(amounts, facts).collect()}
+    q = Fraction(1, 3) + Fraction("1e-7") + 12345678901234567890
+    assert got["p", "calories"] == (None, str(q * 30 / 100), ["d"]) and got["p", "protein_g"] == (None, str((q - Fraction("1e-7")) * 2 / 100), ["b", "d"])
+    assert got["s", "calories"] == ("27/20", "27/20", []) and got["s", "fat_g"] == ("-9/50", "-9/50", []) and got["s", "protein_g"] == (None, "3/50", ["b"])
+    lines = spark.createDataFrame([("e", "m", "x", "1e-7", "each", True), ("e", "m", "x", "1/3", "each", False), ("e", "m", "y", "0e5", "each", True), ("e", "m", "z", "12345678901234567890123456789012345678901", "each", True)], "event string, component string, ingredient string, quantity string, unit string, exact boolean")
+    served = spark.createDataFrame([("e", "m", "3/2")], "event string, component string, portions string")
+    for reduced in (True, False):
+        out = demand.meal_lines(demand.event_demand(lines, served, reduced=reduced).withColumn("c", F.lit(1)), ["c"])
+        assert sorted((r.ingredient, Fraction(r.meal), r.exact, r.any_exact) for r in out.collect()) == [("x", Fraction("1.5e-7") + Fraction(1, 2), False, True), ("z", Fraction(12345678901234567890123456789012345678901 * 3, 2), True, True)]
+
+
+def test_sums_of_groups_do_not_go_group_by_group_through_python(spark):
+    plan = weeks.k02_plate_nutrition(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowAggregatePython" not in plan and "AggregateInPandas" not in plan and "ArrowEvalPython" in plan
