@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larderflow.functions.exact import q_mul
+from larderflow.functions.exact import BESIDE, number, ratio, total
 from larderflow.functions.units import SCALE, base_unit, parts
 
 
@@ -51,43 +51,32 @@ def event_demand(lines: DataFrame, served: DataFrame, keys: list[str] | None = N
     or less ask for nothing. quantity is exact; exact says whether all rows were exact, any_exact whether one was. keys (such as a scenario) go along. Sums that are
     summed on need not be reduced."""
     keys = keys or []
-    rows = lines.join(served, [*keys, "event", "component"]).withColumns({"a": ratio(F.col("quantity")), "b": ratio(F.col("portions")), "factor": F.coalesce(parts(F.col("unit")), F.lit(SCALE)), "unit": base_unit(F.col("unit"))})
-    # whole numbers in the JVM, as long as their product has 38 digits at most; others as fractions of any size
-    fits = (F.length("a.n") <= 14) & (F.length("b.n") <= 9) & (F.length("a.d") + F.length("b.d") <= 20)
-    number = lambda c, size: F.col(c).try_cast(f"decimal({size},0)")
-    n = (number("a.n", 14) * number("b.n", 9)).cast("decimal(23,0)") * F.col("factor").cast("decimal(15,0)")
-    d = (number("a.d", 20) * number("b.d", 10)).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(12,0)")
-    kept = [*keys, "event", "ingredient", "unit", "exact"]
-    small = rows.filter(fits).select(*kept, F.concat_ws("/", n.cast("string"), d.cast("string")).alias("q")).filter(~F.startswith("q", F.lit("-")) & ~F.startswith("q", F.lit("0")))
-    large = rows.filter(~fits).select(*kept, q_mul(q_mul(F.col("quantity"), F.col("portions")), F.concat_ws("/", F.col("factor").cast("string"), F.lit(str(SCALE)))).alias("q")).filter(~F.startswith("q", F.lit("-")) & (F.col("q") != "0"))
-    return combine(small.unionByName(large), [*keys, "event", "ingredient"], reduced)
-
-
-def ratio(text: Column) -> Column:
-    """struct(n, d) of the texts of a decimal's or fraction's numerator and denominator."""
-    point = F.contains(text, F.lit("."))
-    places = F.when(point, F.length(F.substring_index(text, ".", -1))).otherwise(0)
-    fraction = F.contains(text, F.lit("/"))
-    n = F.when(fraction, F.substring_index(text, "/", 1)).otherwise(F.replace(text, F.lit("."), F.lit("")))
-    d = F.when(fraction, F.substring_index(text, "/", -1)).otherwise(F.rpad(F.lit("1"), places + 1, F.lit("0")))
-    return F.struct(n.alias("n"), d.alias("d"))
+    rows = lines.join(served, [*keys, "event", "component"]).withColumns({"a": number(F.col("quantity"), 10, 8), "b": number(F.col("portions"), 8, 8), "factor": F.coalesce(parts(F.col("unit")), F.lit(SCALE)), "unit": base_unit(F.col("unit"))})
+    # whole numbers in the JVM, as long as they have 33 digits at most; others as fractions of any size
+    n = (F.col("a.n") * F.col("b.n")).cast("decimal(18,0)") * F.col("factor").cast("decimal(15,0)")
+    d = (F.col("a.d") * F.col("b.d")).cast("decimal(16,0)") * F.lit(SCALE).cast("decimal(12,0)")
+    sign = lambda text: F.startswith(F.trim(text), F.lit("-"))
+    some = lambda text: text.rlike(r"^\s*-?[0.]*[1-9]")
+    asks = F.coalesce(n > 0, (sign("quantity") == sign("portions")) & some(F.col("quantity")) & some(F.col("portions")))
+    product = F.when(n.isNull(), F.concat_ws(BESIDE, "quantity", "portions", F.concat_ws("/", F.lit(str(SCALE)), F.col("factor").cast("string"))))
+    split = rows.filter(asks).select(*keys, "event", "ingredient", "unit", "exact", F.col("exact").alias("any_exact"), n.cast("decimal(33,0)").alias("n"), d.cast("decimal(38,0)").alias("d"), product.alias("product"))
+    return _summed(split, [*keys, "event", "ingredient"], reduced)
 
 
 def combine(rows: DataFrame, keys: list[str], reduced: bool = True) -> DataFrame:
     """Exact sums of q per keys and unit, with exact and any_exact. Where a group has one denominator and the sum need not be reduced, it stays in the JVM."""
-    n = F.split("q", "/")
-    split = rows.withColumns({"n": n[0].cast("decimal(38,0)"), "d": F.coalesce(F.try_element_at(n, F.lit(2)), F.lit("1"))})
-    if "any_exact" not in rows.columns:
-        split = split.withColumn("any_exact", F.col("exact"))
-    partial = split.groupBy(*keys, "unit", "d").agg(F.sum("n").alias("n"), F.bool_and("exact").alias("exact"), F.bool_or("any_exact").alias("any_exact"))
-    flags = partial.groupBy(*keys, "unit").agg(F.bool_and("exact").alias("exact"), F.bool_or("any_exact").alias("any_exact"), F.count(F.lit(1)).alias("_n"), F.min("n").alias("n"), F.min("d").alias("d"))
-    if reduced:
-        return partial.groupBy(*keys, "unit").agg(_joined(F.col("n").cast("string"), F.col("d")).alias("q")).join(flags.drop("_n", "n", "d"), [*keys, "unit"])
-    order = [*keys, "unit", "q", "exact", "any_exact"]
-    single = flags.filter("_n = 1").withColumn("q", F.concat_ws("/", F.col("n").cast("string"), "d")).select(*order)
-    several = flags.filter("_n > 1").drop("_n", "n", "d")
-    mixed = partial.drop("exact", "any_exact").join(several.select(*keys, "unit"), [*keys, "unit"], "left_semi").groupBy(*keys, "unit").agg(_joined(F.col("n").cast("string"), F.col("d")).alias("q"))
-    return single.unionByName(mixed.join(several, [*keys, "unit"]).select(*order))
+    r = number(F.col("q"), 33, 33)
+    split = rows.withColumns({"n": r["n"], "d": r["d"].cast("decimal(38,0)"), "product": F.when(r.isNull(), F.concat_ws(BESIDE, "q", F.lit("1"), F.lit("1")))})
+    return _summed(split if "any_exact" in rows.columns else split.withColumn("any_exact", F.col("exact")), keys, reduced)
+
+
+def _summed(rows: DataFrame, keys: list[str], reduced: bool) -> DataFrame:
+    """Sums of rows (keys, unit, n and d or product, exact, any_exact): whole numerators for each denominator, before and after the shuffle, then a group's few
+    denominators and the products that are too long for them."""
+    partial = rows.groupBy(*keys, "unit", "d").agg(F.sum("n").alias("n"), F.collect_list("product").alias("products"), F.bool_and("exact").alias("exact"), F.bool_or("any_exact").alias("any_exact"))
+    fraction = F.when(F.col("d").isNotNull(), F.array(F.concat_ws("/", F.col("n").cast("string"), F.col("d").cast("string")))).otherwise(F.array().cast("array<string>"))
+    sums = partial.groupBy(*keys, "unit").agg(F.flatten(F.collect_list(F.concat(fraction, "products"))).alias("texts"), F.min("n").alias("n"), F.min("d").alias("d"), F.bool_and("exact").alias("exact"), F.bool_or("any_exact").alias("any_exact"))
+    return sums.select(*keys, "unit", total(F.col("texts"), F.col("n"), F.col("d"), reduced).alias("q"), "exact", "any_exact")
 
 
 def meal_lines(demand: DataFrame, keys: list[str]) -> DataFrame:
