@@ -23,8 +23,9 @@ BASES = {
 }
 
 
-def scalar(name: str, base: str, given: dict[str, str], outputs: dict[str, tuple[Callable[[], Column], str]], doc: str) -> None:
-    """Registers a query: `given` are columns made of the base's by SQL for both engines, outputs the functions' results and SQL for what they must be."""
+def scalar(name: str, base: str, given: dict[str, str], outputs: dict[str, tuple[Callable[[], Column], str]], doc: str, shared: dict[str, Callable[[], Column]] | None = None) -> None:
+    """Registers a query: `given` are columns made of the base's by SQL for both engines, outputs the functions' results and SQL for what they must be. What several
+    outputs need is `shared`: read once a row."""
     source, keys, rows = BASES[base]
     made = ", ".join(f"{sql} AS {c}" for c, sql in given.items())
 
@@ -32,6 +33,8 @@ def scalar(name: str, base: str, given: dict[str, str], outputs: dict[str, tuple
         df = _rows(spark, d, source, rows)
         for c, sql in given.items():
             df = df.withColumn(c, F.expr(sql))
+        for c, f in (shared or {}).items():
+            df = df.withColumn(c, f())
         return df.select(*keys, *[f().alias(c) for c, (f, _) in outputs.items()])
 
     run.__name__, run.__doc__ = name, doc
@@ -77,7 +80,7 @@ def decimal_sql(scaled: str, places: int) -> str:
     return f"(({scaled}) // {10**places} || CASE WHEN ({scaled}) % {10**places} = 0 THEN '' ELSE '.' || rtrim(lpad((({scaled}) % {10**places})::VARCHAR, {places}, '0'), '0') END)"
 
 
-amount = lambda: amounts.leading_amount(F.col("t"))
+amount = lambda: F.col("_amount")
 scalar(
     "h08_leading_amount", "line", {"t": case("q || ' 3/8 cups'", "q || '/64 cup'", "q || '½ tsp'", "q || ',000 g'", "q || '.50 l'", "'0/' || q", "q || '/0 x'", "'salt ' || q")},
     {
@@ -85,7 +88,7 @@ scalar(
         "n": (lambda: amount()["n"], big(case("q * 8 + 3", "q // gcd(q, 64)", "q * 2 + 1", "q * 1000", "(q * 10 + 5) // gcd(q * 10 + 5, 10)"))), "d": (lambda: amount()["d"], big(case("8", "64 // gcd(q, 64)", "2", "1", "10 // gcd(q * 10 + 5, 10)"))),
         "used": (lambda: amount()["len"], integer(case("length(t) - 5", "length(t) - 4", "length(t) - 4", "length(t) - 2", "length(t) - 2"))), "was_decimal": (lambda: amount()["decimal"], case("false", "false", "false", "false", "true", "false", "false")),
     },
-    "Amounts at the beginning of lines: mixed, fractions, glyphs, thousands, decimals, what is none.",
+    "Amounts at the beginning of lines: mixed, fractions, glyphs, thousands, decimals, what is none.", {"_amount": lambda: amounts.leading_amount(F.col("t"))},
 )
 parsed = lambda: amounts.parsed_amount(F.col("t"))
 scalar(
@@ -103,15 +106,16 @@ scalar(
     {"shown": (lambda: amounts.kitchen_amount(F.col("t")), case("q || ' ⅓'", "q || ' ½'", "q || ' 1/12'", "q || ''", "q || '.37'", "q || ' ½'", "'x' || q", "'1/16'"))},
     "Amounts as a kitchen shows them.",
 )
-served = lambda: amounts.per_serving(F.col("t"), F.col("k"))
+served = lambda: F.col("_served")
+serving = {"_served": lambda: amounts.per_serving(F.col("t"), F.col("k"))}
 scalar(
     "h11_per_serving", "line", {"t": "q || ''"}, {"value": (lambda: served()["value"], decimal_sql("q * 1000000000000 // k", 12)), "exact": (lambda: served()["exact"], "q * 1000000000000 % k = 0")},
-    "One serving of each amount: exact, or twelve places rounded toward zero.",
+    "One serving of each amount: exact, or twelve places rounded toward zero.", serving,
 )
 scalar(
     "h12_per_portion", "line", {"t": "CASE WHEN f % 2 = 0 THEN q || ' 1/2' END", "stored": "q || '.7'"},
     {"value": (lambda: F.coalesce(served()["value"], F.col("stored")), f"CASE WHEN f % 2 = 0 THEN {decimal_sql('(q * 2 + 1) * 500000000000 // k', 12)} ELSE stored END")},
-    "A portion's amount from the exact one, else the stored one.",
+    "A portion's amount from the exact one, else the stored one.", serving,
 )
 scalar(
     "h15_short_day", "order", {"day": "CAST(o_orderdate AS DATE)"},
@@ -199,7 +203,8 @@ LINES = case("q || ' cups ' || p_name || ', sifted'", "q || '-' || (q + 1) || '
 
 def j04_ingredient_lines(spark, d):
     """Lines made of every part, taken apart: amount, unit, name, note, and whether a person has to look."""
-    df = _rows(spark, d, "part", BASES["part"][2]).withColumn("line", F.expr(LINES))
+    rows = _rows(spark, d, "part", BASES["part"][2]).repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")  # small rows with much work, in few splits
+    df = rows.withColumn("line", F.expr(LINES))
     return read_lines(df.select("p_partkey", "line"), "line").select("p_partkey", "quantity", "unit", "name", "note", "status", "reason")
 
 

@@ -4,7 +4,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from larderflow.operators import latest, relational, weeks
+from larderflow.operators import latest, relational, scalars, weeks  # noqa: F401  (scalars registers its queries)
 
 
 def plan_of(df) -> str:
@@ -50,3 +50,14 @@ def test_sums_of_short_and_long_numbers(spark):
 def test_sums_of_groups_do_not_go_group_by_group_through_python(spark):
     plan = weeks.k02_plate_nutrition(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowAggregatePython" not in plan and "AggregateInPandas" not in plan and "ArrowEvalPython" in plan
+
+
+def test_amounts_are_read_once_and_divisors_found_in_few_steps(spark):
+    from larderflow.functions import amounts
+
+    plan = relational.QUERIES["h08_leading_amount"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and "sequence(1, 90" not in plan
+    df = spark.createDataFrame([(12, 18), (7, 7), (1, 999), (832040, 514229), (514229, 832040), (10**17, 2**40)], "a long, b long")
+    assert [r.g for r in df.select(amounts.gcd(F.col("a"), F.col("b")).alias("g")).collect()] == [6, 7, 1, 1, 1, 2**17]
+    texts = spark.createDataFrame([("9999 1/3", 7), ("10000", 3), ("0.000001", 8), ("2/7", 1)], "t string, k int")
+    assert [tuple(r.s) for r in texts.select(amounts.per_serving(F.col("t"), F.col("k")).alias("s")).collect()] == [("1428.47619047619", False), ("3333.333333333333", False), ("0.000000125", True), ("0.285714285714", False)]
