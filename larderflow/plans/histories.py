@@ -63,13 +63,18 @@ def simplest_fraction(stored: Column, most: int = 48) -> Column:
     digits = F.when(p > 0, F.substring(F.substring_index(stored, ".", -1), F.lit(1), p)).otherwise("")
     held = F.struct(scale.alias("scale"), F.concat(whole, digits).try_cast("decimal(18,0)").alias("s"))
 
-    def found(x: Column) -> Column:
-        near = lambda d: F.floor((x["s"] * d * 2 + x["scale"]) / (x["scale"] * 2)).cast("decimal(18,0)")
-        fits = F.filter(F.transform(F.sequence(F.lit(2), F.lit(most)), lambda d: F.struct(d.alias("d"), near(d).alias("n"))), lambda f: (f["n"] > 0) & (F.abs(f["n"] * x["scale"] - x["s"] * f["d"]) * 2 < f["d"]))
+    def found(x: Column, s: Column, scale: Column, near) -> Column:
+        fits = F.filter(F.transform(F.sequence(F.lit(2), F.lit(most)), lambda d: F.struct(d.alias("d"), near(d).alias("n"))), lambda f: (f["n"] > 0) & (F.abs(f["n"] * scale - s * f["d"]) * 2 < f["d"]))
         first = F.try_element_at(fits, F.lit(1))
         return F.when(first.isNotNull(), F.concat_ws("/", first["n"].cast("string"), first["d"].cast("string")))
 
-    return F.when((p > 3) & (p <= 12), F.transform(F.array(held), found)[0])
+    def tried(x: Column) -> Column:
+        # longs hold 2 s d + scale for most
+        s, scale = x["s"].cast("long"), x["scale"].cast("long")
+        short = found(x, s, scale, lambda d: F.call_function("div", s * d * 2 + scale, scale * 2))
+        return F.when(F.abs(s) < 4 * 10**18 // most, short).otherwise(found(x, x["s"], x["scale"], lambda d: F.floor((x["s"] * d * 2 + x["scale"]) / (x["scale"] * 2)).cast("decimal(18,0)")))
+
+    return F.when((p > 3) & (p <= 12), F.transform(F.array(held), tried)[0])
 
 
 def stored_forms(n: Column, d: Column) -> Column:

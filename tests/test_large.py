@@ -61,3 +61,13 @@ def test_amounts_are_read_once_and_divisors_found_in_few_steps(spark):
     assert [r.g for r in df.select(amounts.gcd(F.col("a"), F.col("b")).alias("g")).collect()] == [6, 7, 1, 1, 1, 2**17]
     texts = spark.createDataFrame([("9999 1/3", 7), ("10000", 3), ("0.000001", 8), ("2/7", 1)], "t string, k int")
     assert [tuple(r.s) for r in texts.select(amounts.per_serving(F.col("t"), F.col("k")).alias("s")).collect()] == [("1428.47619047619", False), ("3333.333333333333", False), ("0.000000125", True), ("0.285714285714", False)]
+
+
+def test_simplest_fractions_of_short_and_long_decimals(spark):
+    from larderflow.plans import histories
+
+    texts = ["0.3333", "12.142857142857", "99999999999999.3333", "70000000000000.3333", "-0.3333", "0.333", "1.0417", "49.979166666667"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.f for r in df.select(histories.simplest_fraction(F.col("t")).alias("f")).collect()] == ["1/3", "85/7", "299999999999998/3", "210000000000001/3", None, None, "25/24", "2399/48"]
+    plan = str(df.select(histories.simplest_fraction(F.col("t")).alias("f"))._jdf.queryExecution().optimizedPlan())
+    assert " div " in plan  # whole numbers are tried as longs
