@@ -56,23 +56,30 @@ class Reducer(StatefulProcessor):
     """A household's commands in the order of seq: what each operation id asked first, and the revision of each entity."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getMapState("first", "operation string", "actor string, request string, entity string")
-        self.revisions = handle.getMapState("revisions", "entity string", "revision int")
+        self.first = handle.getListState("first", "operation string, actor string, request string, entity string")
+        self.revisions = handle.getListState("revisions", "entity string, revision int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # state is read and written once for a household and batch, not for each command; what operations asked first is only added to
         pdf = pd.concat(list(rows)).sort_values("seq")
-        out = []
+        first = {r[0]: tuple(r[1:]) for r in self.first.get()}
+        revisions = {r[0]: r[1] for r in self.revisions.get()}
+        added, before_batch, out = [], dict(revisions), []
         for r in pdf.itertuples(index=False):
             asked, before = (str(r.actor), r.request, r.entity), None
-            if self.first.containsKey((r.operation,)):
-                before = "replayed" if tuple(self.first.getValue((r.operation,))) == asked else "operation_id_reused"
+            if r.operation in first:
+                before = "replayed" if first[r.operation] == asked else "operation_id_reused"
             else:
-                self.first.updateValue((r.operation,), asked)
-            revision = self.revisions.getValue((r.entity,))[0] if self.revisions.containsKey((r.entity,)) else 0
-            told, code, now = outcome(before, r.expected, revision)
-            if now != revision:
-                self.revisions.updateValue((r.entity,), (now,))
+                first[r.operation] = asked
+                added.append((r.operation, *asked))
+            told, code, now = outcome(before, r.expected, revisions.get(r.entity, 0))
+            if now:
+                revisions[r.entity] = now
             out.append((key[0], r.seq, r.entity, told, code, now))
+        if added:
+            self.first.appendList(added)
+        if revisions != before_batch:
+            self.revisions.put(list(revisions.items()))
         yield pd.DataFrame(out, columns=["household", "seq", "entity", "outcome", "code", "revision"])
 
     def close(self) -> None:

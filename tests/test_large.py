@@ -71,3 +71,17 @@ def test_simplest_fractions_of_short_and_long_decimals(spark):
     assert [r.f for r in df.select(histories.simplest_fraction(F.col("t")).alias("f")).collect()] == ["1/3", "85/7", "299999999999998/3", "210000000000001/3", None, None, "25/24", "2399/48"]
     plan = str(df.select(histories.simplest_fraction(F.col("t")).alias("f"))._jdf.queryExecution().optimizedPlan())
     assert " div " in plan  # whole numbers are tried as longs
+
+
+def test_streamed_commands_read_their_state_once_a_household(spark, tmp_path, monkeypatch):
+    from larderflow.streaming import commands
+    from larderflow.streaming.logs import drained, feed
+
+    rows = [(h, 10 * i + h, str(i % 6), str(i % 2), "xy"[i % 4 == 3], "ab"[i % 3 == 0], i % 3) for h in (1, 2) for i in range(24)]
+    df = spark.createDataFrame(rows, "household long, seq long, operation string, actor string, request string, entity string, expected int")
+    for low, high in ((0, 80), (80, 300)):
+        df.filter((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    got = drained(commands.decided_stream(feed(spark, f"{tmp_path}/log", df.schema, files_per_trigger=1)), "decided", stateful=True)
+    key = lambda t: sorted(map(str, t))
+    assert key(tuple(r) for r in got.select("household", "seq", "entity", "outcome", "code", "revision").collect()) == key(tuple(r) for r in commands.decided(df).collect())
+    assert "getValue" not in commands.Reducer.handleInputRows.__code__.co_names
