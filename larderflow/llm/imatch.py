@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from larderflow.llm.common import documents, steps, text_map, text_or_empty
 from larderflow.llm.words import mix, term_hashes
 
-#: log2 of the counters that bound document frequencies from above: a table of fixed size, whatever the corpus.
+#: log2 of the different terms that a task counts before it hands their numbers on.
 BITS = 20
 #: The band: a term is in at least 1 / RARE and at most 1 / COMMON of the documents.
 RARE, COMMON = 5_000, 5
@@ -25,28 +25,6 @@ BLOCK_TERMS = 1 << 15
 MOST_RANGES = 4_096
 
 
-def counters(docs: DataFrame, bits: int) -> np.ndarray:
-    """For each of 2 ** bits counters how often its terms stand in docs (text), repeats included: at least the number of documents that have any one of them."""
-
-    def count(batches):
-        total = np.zeros(1 << bits, "i8")
-        for batch in steps(batches, "text"):
-            h, _ = term_hashes(batch.column("text"))
-            total += np.bincount(counter_of(h, bits), minlength=1 << bits)
-        seen = np.flatnonzero(total)
-        for a in range(0, len(seen), 100_000):
-            yield pa.record_batch([pa.array(seen[a : a + 100_000].astype("i4")), pa.array(total[seen[a : a + 100_000]])], ["counter", "n"])
-
-    rows = text_map(docs.select(text_or_empty()), count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # 2 ** bits rows at most
-    out = np.zeros(1 << bits, "i8")
-    out[rows["counter"].to_numpy()] = rows["n"].to_numpy()
-    return out
-
-
-def counter_of(h: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(h) >> np.uint64(64 - bits)).astype("i8")
-
-
 def distinct(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(terms, text) of term_hashes(), each term once for each text, sorted within it. Texts lie side by side, so each is sorted by itself."""
     out, ends = h.copy(), np.cumsum(n)
@@ -59,26 +37,58 @@ def distinct(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[first], text[first]
 
 
+class Held:
+    """Numbers of terms that a task has met."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, terms: np.ndarray, times: np.ndarray) -> None:
+        self.parts.append((terms, times))
+        self.n += len(terms)
+
+    def given(self, most: int) -> Iterator[pa.RecordBatch]:
+        """Adds up what is held; hands it on if these are more than `most` terms."""
+        if not self.parts:
+            return
+        terms, place = np.unique(np.concatenate([t for t, _ in self.parts]), return_inverse=True)
+        times = np.bincount(place, weights=np.concatenate([n for _, n in self.parts]), minlength=len(terms)).astype("i8")
+        self.parts, self.n = [(terms, times)], len(terms)
+        if len(terms) > most:
+            self.parts, self.n = [], 0
+            for a in range(0, len(terms), 100_000):
+                yield pa.record_batch([pa.array(terms[a : a + 100_000].view("i8")), pa.array(times[a : a + 100_000])], ["term", "n"])
+
+
+def packed_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of each batch, eight bytes each, as one value."""
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.record_batch([pa.array([batch.column("term").to_numpy().astype("<i8").tobytes()], pa.binary())], ["terms"])
+
+
 def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> np.ndarray:
     """The sorted hashes of the terms within the band, by their own document frequencies over all docs (text).
 
-    Counters first tell which terms may be frequent enough; only those are counted one by one. However large the corpus, a document has on average at
+    One pass: tasks count the terms of their documents, the shuffle adds these numbers up. However large the corpus, a document has on average at
     least 1 / `rare` of a place for each term of the band: it has `rare` times the mean number of distinct terms of a document at most."""
-    n_docs, bits = docs.count(), BITS
+    n_docs, most = docs.count(), 1 << BITS
     low, high = max(2, -(-n_docs // rare)), max(2, n_docs // common)
-    enough = docs.sparkSession.sparkContext.broadcast(np.packbits(counters(docs, bits) >= low))
 
     def count(batches):
-        may = np.unpackbits(enough.value).astype(bool)
+        held = Held()
         for batch in steps(batches, "text"):
-            h, n = term_hashes(batch.column("text"))
-            keep = may[counter_of(h, bits)]
-            n = np.bincount(np.repeat(np.arange(len(n)), n)[keep], minlength=len(n))
-            terms, times = np.unique(distinct(h[keep], n)[0], return_counts=True)
-            yield pa.record_batch([pa.array(terms.view("i8")), pa.array(times.astype("i8"))], ["term", "n"])
+            terms, _ = distinct(*term_hashes(batch.column("text")))
+            held.add(*np.unique(terms, return_counts=True))
+            if held.n > most:
+                yield from held.given(most // 2)
+        yield from held.given(0)
 
     counted = text_map(docs.select(text_or_empty()), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return np.sort(counted.filter(F.col("n").between(low, high)).select("term").toPandas()["term"].to_numpy("i8").view("u8"))
+    # a row for each batch of terms, not one for each term
+    packed = counted.filter(F.col("n").between(low, high)).select("term").mapInArrow(packed_terms, "terms binary").collect()
+    return np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(row["terms"], "<u8") for row in packed)]))
 
 
 def fingerprints(texts: list[str], band: np.ndarray | None) -> list[str]:

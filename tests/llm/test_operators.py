@@ -99,6 +99,23 @@ def test_one_term_tells_texts_apart():
     assert x != y and 0.5 < imatch.likeness(x, y) < 1
 
 
+def test_the_driver_gets_batches_of_terms(spark, monkeypatch):
+    """Not a row for each counter or term: these took a gigabyte of the driver as Python rows."""
+    import xxhash
+
+    many = [" ".join(f"w{(i * 37 + j * 101) % 4000}" for j in range(60)) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")
+    got, whole = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: got.append(whole(df)) or got[-1])
+    monkeypatch.setattr(type(docs), "toPandas", lambda df: got.append(df.collect()) or __import__("pandas").DataFrame(got[-1], columns=df.columns))
+    monkeypatch.setattr(imatch, "BITS", 9)
+    band = imatch.lexicon(docs, 200, 2)
+    frequency = Counter(t for x in many for t in set(x.split()))
+    want = [xxhash.xxh64_intdigest(t) for t, n in frequency.items() if 2 <= n <= 200]
+    assert len(want) > 1000 and band.tolist() == sorted(want)
+    assert sum(map(len, got)) <= 32
+
+
 def test_the_band_is_of_terms_not_of_counters(spark, monkeypatch):
     import re
 
