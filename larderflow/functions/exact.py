@@ -173,6 +173,104 @@ def total(texts: Column, n: Column, d: Column, reduce: bool = True) -> Column:
     return F.when(F.size(texts) == 0, "0").when(single, done).otherwise(_sum(F.when(~single & (F.size(texts) > 0), texts)))
 
 
+def short(text: Column) -> Column:
+    """struct(n, d) of a plain decimal or fraction as longs of 17 digits at most, d over zero; null for texts that are longer or written otherwise."""
+    whole = F.struct(text.try_cast("long").alias("n"), F.lit(1).cast("long").alias("d"))
+    return F.when(text.rlike("^-?[0-9]{1,17}$"), whole).when(text.isNotNull(), number(text, 17, 17).cast("struct<n:bigint,d:bigint>"))
+
+
+# exact steps on such pairs; n or d of what would not fit into a long is null, see known()
+
+
+def pair(n: Column | int, d: Column | int = 1) -> Column:
+    of = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("long")
+    return F.struct(of(n).alias("n"), of(d).alias("d"))
+
+
+def known(a: Column) -> Column:
+    return a["n"].isNotNull() & a["d"].isNotNull()
+
+
+def times(a: Column, b: Column) -> Column:
+    return pair(F.try_multiply(a["n"], b["n"]), F.try_multiply(a["d"], b["d"]))
+
+
+def less(a: Column, b: Column) -> Column:
+    """a less b."""
+    return pair(F.try_subtract(F.try_multiply(a["n"], b["d"]), F.try_multiply(b["n"], a["d"])), F.try_multiply(a["d"], b["d"]))
+
+
+def at_least(a: Column, b: Column) -> Column:
+    """Whether a >= b; null if it can't be told in longs."""
+    return F.try_multiply(a["n"], b["d"]) >= F.try_multiply(b["n"], a["d"])
+
+
+def lesser(a: Column, b: Column) -> Column:
+    return F.when(at_least(b, a), a).when(~at_least(b, a), b)
+
+
+def not_below_zero(a: Column) -> Column:
+    return F.when(a["n"] < 0, pair(0)).otherwise(a)
+
+
+def rounded(a: Column, places: int) -> Column:
+    """Whole number of 10^-places, half away from zero."""
+    size = F.call_function("div", F.try_add(F.try_multiply(F.abs(a["n"]), F.lit(2 * 10**places).cast("long")), a["d"]), F.try_multiply(a["d"], F.lit(2).cast("long")))
+    return F.when(a["n"] < 0, -size).otherwise(size)
+
+
+def packs(demand: Column, package: Column) -> Column:
+    """packages() of pairs; null also where it is an error."""
+    n, d = F.try_multiply(demand["n"], package["d"]), F.try_multiply(demand["d"], package["n"])
+    return F.when(demand["n"] <= 0, F.lit(0).cast("long")).when(d > 0, F.call_function("div", n - 1, d) + 1)
+
+
+def shown(a: Column) -> Column:
+    """A pair's reduced text; null if it is not known."""
+    return F.when(known(a), reduced(a["n"], a["d"]))
+
+
+def conversion(unit: Column, to: Column) -> Column:
+    """Pair that an amount in `unit` is multiplied by to be one in `to`; null between dimensions and for other units that differ."""
+    from larderflow.functions.units import UNITS, factor_parts, normalize_unit
+
+    ratios = {f"{a}>{b}": Fraction(factor_parts(a), factor_parts(b)) for a in UNITS for b in UNITS if a != b and UNITS[a][0] == UNITS[b][0]}
+    table = F.expr("map(" + ", ".join(f"'{k}', named_struct('n', {v.numerator}L, 'd', {v.denominator}L)" for k, v in ratios.items()) + ")")
+    a, b = normalize_unit(unit), normalize_unit(to)
+    return F.when(unit.eqNullSafe(to), pair(1)).when(unit.isNotNull() & to.isNotNull(), F.when(a == b, pair(1)).otherwise(F.try_element_at(table, F.concat_ws(">", a, b))))
+
+
+def by_fractions(step: Callable, schema: str, needed: Column, *args: Column) -> Column:
+    """step(*args) in Python, a tuple of schema's fields, where needed (what longs can't hold); of other rows Python sees nulls only."""
+    fields = [f.split()[1] for f in schema.split(", ")]
+    kinds = {"string": object, "boolean": "boolean", "long": "Int64"}
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    @F.pandas_udf(schema)
+    def apply(now: pd.Series, *columns: pd.Series) -> pd.DataFrame:
+        out = [[None] * len(now) for _ in names]
+        for i in now.to_numpy(dtype=bool, na_value=False).nonzero()[0].tolist():
+            for held, value in zip(out, step(*(None if pd.isna(c.iat[i]) else c.iat[i] for c in columns)), strict=True):
+                held[i] = value
+        return pd.DataFrame({n: pd.Series(v, dtype=kinds[k]) for n, k, v in zip(names, fields, out, strict=True)})
+
+    return apply(needed, *[F.when(needed, a) for a in args])
+
+
+def sum_parts(value: Column, product: Column) -> Column:
+    """Aggregate for sum_text(): whole numbers of pairs are summed; other pairs and products (see BESIDE; where the pair is not known) are kept as texts."""
+    whole = known(value) & (value["d"] == 1)
+    return F.struct(F.sum(F.when(whole, value["n"].cast("decimal(19,0)"))).alias("whole"), F.collect_list(F.when(known(value) & ~whole, F.concat_ws("/", value["n"].cast("string"), value["d"].cast("string"))).otherwise(product)).alias("others"))
+
+
+def sum_text(*sums: Column) -> Column:
+    """Text of the sum of sum_parts(), null ones as nothing; whole numbers stay in the JVM."""
+    zero = F.lit(0).cast("decimal(29,0)")
+    whole = sum((F.coalesce(s["whole"].cast("decimal(29,0)"), zero) for s in sums[1:]), F.coalesce(sums[0]["whole"].cast("decimal(29,0)"), zero)).cast("string")
+    others = F.concat(*[F.coalesce(s["others"], F.array().cast("array<string>")) for s in sums])
+    return F.when(F.size(others) == 0, whole).otherwise(_sum(F.when(F.size(others) > 0, F.concat(others, F.array(whole)))))
+
+
 def whole_packages(demand_parts: Column, package_parts: Column) -> Column:
     """Package count in the JVM, both sides as whole parts (long or decimal(38,0)) of one scale; never a division of decimals, which would round."""
     d, p = demand_parts.cast("decimal(38,0)"), package_parts.cast("decimal(38,0)")

@@ -163,6 +163,26 @@ def test_history_counts_on_its_own_basis(spark):
     assert got["tofu"]["issues"] == ["transfer uncertain"]
 
 
+def test_long_numbers_give_what_short_ones_give(spark):
+    """What longs cannot hold is done by fractions, row by row, with the same results."""
+    meals = [("rice", "2000{}", "g"), ("oil", "1/3", "l"), ("salt", "5.5{}", "g")]
+    got = []
+    for zeros in ("", "." + "0" * 30):
+        rows = [(i, q.format(zeros if "." not in q else zeros[1:]), u, None, True, True) for i, q, u in meals]
+        products = [("rice", "p", "1.5" + zeros[1:], "lb", 400), ("oil", "o", "100", "ml", 7), ("salt", "s", None, None, 1)]
+        available = [("rice", "some", "1" + zeros, "oz", None, None, None), ("oil", "enough", None, None, "300" + zeros, None, "ml"), ("salt", "enough", None, None, None, "6" + zeros, "g")]
+        out, _ = projected(spark, rows, products, available, lines=[("rice", "l1", 1, "1" + zeros, "lb"), ("oil", "l2", 1, None, None)])
+        got.append({k: (r["net"], r["home_issue"] if "home_issue" in r else r["issues"], r["for_meal"], r["to_send"], r["usage_minor"], r["status"]) for k, r in out.items()})
+    assert got[0] == got[1]
+    assert (got[0]["rice"][2:4], got[0]["oil"][:1], got[0]["salt"][0]) == ((3, 3), ("1/30",), "0")
+
+
+def test_projection_calls_no_python_for_a_group(spark):
+    """A call for each cycle and ingredient took most of its time; rows that longs can hold pass Python as nulls, in three places at most."""
+    plan = __import__("__spark_entry__").queries()["k01_projection"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "ArrowAggregate" not in plan and 1 <= plan.count("ArrowEvalPython") <= 3
+
+
 def test_approval_must_fit(spark):
     meals, products = [(i, "700", "g", None, True, True) for i in "ab"], [(i, "p2", "500", "g", 400) for i in "ab"]
     for active, stale in ((False, "needs_review"), (True, "not_sent_yet")):
