@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,28 +46,34 @@ w{n} AS (
 
 
 def _dishes(spark, d, variety):
-    """households, recipes with scores, kept nights."""
+    """households, recipes with scores without those of kept nights, kept nights with their orders."""
     orders, part = table(spark, d, "orders"), table(spark, d, "part")
     households = table(spark, d, "customer").select(F.col("c_custkey").alias("household"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey") % 6).alias("sessions"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey") % 3).alias("max_new"))
-    lines = table(spark, d, "lineitem").join(orders.select("o_orderkey", F.col("o_custkey").alias("household")), F.col("l_orderkey") == F.col("o_orderkey"))
-    q = F.col("l_quantity").cast("bigint")
-    told = lines.groupBy("household", F.col("l_partkey").alias("recipe")).agg(
-        F.bool_or(F.col("l_discount") >= 0.09).alias("interested"), F.sum(F.when(q == 50, 20).when(q >= 45, 5).otherwise(0)).alias("liked"), (F.max("l_shipdate") >= F.lit("1998-06-01").cast("timestamp_ntz")).alias("recent"),
-        F.bool_or(F.col("l_returnflag") == "A").alias("cooked"), F.bool_or(q == 1).alias("refused"),
-    )
-    known = told.filter("not refused").join(part.filter("p_size % 7 <> 0").select(F.col("p_partkey").alias("recipe"), F.col("p_name").alias("title"), (F.col("p_size") % 2 == 0).alias("friendly")), "recipe")
-    scored = known.withColumns({"is_new": ~F.col("cooked"), "score": rules.score(F.col("interested"), F.col("liked"), F.col("recent"), ~F.col("cooked"), F.col("recipe") % 31 == 0, variety)})
-    urgent = orders.filter("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("household"), F.weekday("o_orderdate").alias("night")).agg(F.max_by(F.struct("o_orderkey", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey")).alias("o")).select("household", "night", "o.*")
-    least = table(spark, d, "lineitem").join(urgent.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").groupBy("l_orderkey").agg(F.min("l_partkey").alias("recipe"))
     kind = F.when(F.col("o_orderstatus") == "F", "cook").when(F.col("o_orderstatus") == "O", "out").otherwise("leftover")
-    kept = urgent.join(least, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("household", "night", kind.alias("kind"), F.when(F.col("o_orderstatus") != "O", F.col("recipe")).alias("recipe"))
+    urgent = orders.filter("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("household"), F.weekday("o_orderdate").alias("night")).agg(F.max_by(F.struct("o_orderkey", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey")).alias("o")).select("household", "night", "o.*")
+    kept = urgent.select("household", "night", kind.alias("kind"), "o_orderkey", (F.col("o_orderstatus") != "O").alias("at_home"))
+    # a kept night's recipe is its order's least: known where lines meet their orders, so recipes are not looked for in kept nights afterwards
+    owned = orders.select("o_orderkey", F.col("o_custkey").alias("household")).join(kept.filter("at_home").select("o_orderkey", "at_home"), "o_orderkey", "left")
+    q = F.col("l_quantity").cast("bigint")
+    # a line's answers as bits, yes and no apart (neither: unknown), so that there is little to carry and to hold for each recipe
+    bits = {"interested": F.col("l_discount") >= 0.09, "recent": F.col("l_shipdate") >= F.lit("1998-06-01").cast("timestamp_ntz"), "cooked": F.col("l_returnflag") == "A", "known": F.col("l_returnflag") != "A", "refused": q == 1, "eaten": q != 1, "held": None}
+    bit = {name: 1 << i for i, name in enumerate(bits)}
+    has = lambda name: F.col("bits").bitwiseAND(bit[name]) != 0
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("recipe"), reduce(Column.__add__, [F.when(c, bit[x]).otherwise(0) for x, c in bits.items() if c is not None]).alias("bits"), F.when(q == 50, 20).when(q >= 45, 5).otherwise(0).alias("points"))
+    lines = lines.join(owned, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("held", F.when(F.col("at_home") & (F.col("recipe") == F.min("recipe").over(Window.partitionBy("l_orderkey"))), bit["held"]).otherwise(0))
+    told = lines.groupBy("household", "recipe").agg(F.bit_or(F.col("bits").bitwiseOR(F.col("held"))).alias("bits"), F.sum("points").alias("points")).filter(has("eaten") & ~has("refused") & ~has("held"))
+    known = told.join(part.filter("p_size % 7 <> 0").select(F.col("p_partkey").alias("recipe"), F.col("p_name").alias("title"), (F.col("p_size") % 2 == 0).alias("friendly")), "recipe")
+    known = known.withColumn("is_new", F.when(has("cooked"), False).when(has("known"), True))
+    scored = known.withColumn("score", rules.score(has("interested"), F.col("points"), has("recent"), F.col("is_new"), F.col("recipe") % 31 == 0, variety))
     return households, scored.select("household", "recipe", "title", "score", "is_new", "friendly"), kept
 
 
 @query("WITH RECURSIVE " + DISHES_SQL.format(novelty="15") + ",\n" + WEEK_SQL.format(n="", recipes="recipes") + "\nSELECT household, CAST(night AS INTEGER) AS night, kind, recipe, CAST(source AS INTEGER) AS source, kept FROM w WHERE night >= 0")
 def k05_week_proposals(spark, d):
     """Seven nights for every household: cookings chosen by score under limits of sessions and new recipes, leftovers after those that suit, kept nights as they are."""
-    return proposal.proposals(*_dishes(spark, d, F.lit("adventurous")))
+    households, recipes, kept = _dishes(spark, d, F.lit("adventurous"))
+    least = table(spark, d, "lineitem").join(kept.filter("at_home").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("recipe"))
+    return proposal.fresh_proposals(households, recipes, kept.join(least, "o_orderkey", "left"))
 
 
 @query("""WITH RECURSIVE """ + DISHES_SQL.format(novelty="15") + """,
@@ -78,10 +84,8 @@ t2 AS (SELECT household, night, kept, CASE kind WHEN 'cook' THEN coalesce(p_name
 SELECT household, CAST(night AS INTEGER) AS night, was, now FROM t1 JOIN t2 USING (household, night) WHERE NOT t2.kept AND was <> now""")
 def k06_proposal_changes(spark, d):
     """What changes in every household's proposal if it asks for adventure instead of what it knows."""
-    households, recipes, kept = _dishes(spark, d, F.lit("adventurous"))
-    familiar = recipes.withColumn("score", F.col("score") - F.when(F.col("is_new"), 30).otherwise(0))
-    titles = table(spark, d, "part").select(F.col("p_partkey").alias("recipe"), F.col("p_name").alias("title"))
-    return proposal.changes(proposal.proposals(households, familiar, kept), proposal.proposals(households, recipes, kept), titles)
+    # a new recipe has 15 with adventure and -15 with what is known
+    return proposal.changes(*_dishes(spark, d, F.lit("adventurous")), before=-30, after=0)
 
 
 # plans: a household's latest order of a weekday is that night's assignment

@@ -4,7 +4,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from larderflow.operators import latest, relational, scalars, weeks  # noqa: F401  (scalars registers its queries)
+from larderflow.operators import latest, planning, relational, scalars, weeks  # noqa: F401  (scalars and planning register their queries)
 
 
 def plan_of(df) -> str:
@@ -85,3 +85,57 @@ def test_streamed_commands_read_their_state_once_a_household(spark, tmp_path, mo
     key = lambda t: sorted(map(str, t))
     assert key(tuple(r) for r in got.select("household", "seq", "entity", "outcome", "code", "revision").collect()) == key(tuple(r) for r in commands.decided(df).collect())
     assert "getValue" not in commands.Reducer.handleInputRows.__code__.co_names
+
+
+def queue_by_hand(rows, cooks, rests, max_new, novelty):
+    """rows: (recipe, title, score, is_new, friendly)."""
+    ranked = sorted(rows, key=lambda r: (-r[2] - novelty * r[3], r[1], r[0]))
+    easy = [r for r in ranked if r[4]][:rests]
+    out, news = [], 0
+    for r in easy + [r for r in ranked if r not in easy]:
+        news += r[3]
+        if not r[3] or max_new is None or news <= max_new:
+            out.append(r[0])
+    return out[:cooks]
+
+
+def test_queues_with_two_values_of_novelty_in_one_pass(spark):
+    import random
+
+    from larderflow.plans import proposal
+
+    rng = random.Random(5)
+    wanted = [(h, cooks, rng.randint(0, 7 - cooks), rng.choice([None, 0, 1, 2])) for h in range(150) for cooks in [rng.randint(0, 7)]]
+    recipes = {h: [(r, rng.choice("abc"), rng.choice([0, 5, 20, 30]), rng.random() < 0.6, rng.random() < 0.5) for r in range(rng.choice([0, 3, 12, 60]))] for h, *_ in wanted}
+    df = spark.createDataFrame([(h, *r) for h, rows in recipes.items() for r in rows], "household long, recipe long, title string, score long, is_new boolean, friendly boolean")
+    got = proposal.queues(df, spark.createDataFrame(wanted, "household long, cooks int, rests int, max_new int"), {"was": -30, "now": 0}).collect()
+    assert {(r.household, name): [x.recipe for x in r[name]] for r in got for name in ("was", "now")} == {(h, name): queue_by_hand(recipes[h], *w, novelty) for h, *w in wanted for name, novelty in (("was", -30), ("now", 0))}
+
+
+def test_changes_are_those_between_two_proposals(spark):
+    from larderflow.plans import proposal
+
+    assert proposal.week_shapes(spark).select("shape").distinct().count() == proposal.week_shapes(spark).count() == 4_246
+    h = spark.range(80).select(F.col("id").alias("household"), (F.col("id") % 6).cast("int").alias("sessions"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("max_new"))
+    recipes = h.select("household", F.explode(F.sequence(F.lit(0).cast("long"), F.col("household") % 13)).alias("recipe")).select("household", "recipe", F.concat(F.lit("t"), F.col("recipe")).alias("title"), (F.col("recipe") * 37 % 11 * 5).alias("score"), (F.col("recipe") % 2 == 0).alias("is_new"), ((F.col("recipe") + F.col("household")) % 3 > 0).alias("friendly"))
+    kept = spark.range(90).select((F.col("id") % 45).alias("household"), (F.floor(F.col("id") / 45) * 3 + F.col("id") % 3).cast("int").alias("night"), F.when(F.col("id") % 4 > 0, "cook").otherwise("out").alias("kind"), F.when(F.col("id") % 4 > 0, 100 + F.col("id")).alias("recipe"))
+    weeks_of = [proposal.proposals(h, recipes.withColumn("score", F.col("score") + F.when(F.col("is_new"), n).otherwise(0)), kept).collect() for n in (-30, 0)]
+    text = lambda r: {"cook": f"t{r.recipe}", "leftover": f"leftovers of t{r.recipe}"}.get(r.kind, r.kind)
+    was, now = ({(r.household, r.night): text(r) for r in rows if not r.kept} for rows in weeks_of)
+    wanted = sorted((*k, was[k], now[k]) for k in now if was[k] != now[k])
+    assert wanted and sorted(map(tuple, proposal.changes(h, recipes, kept.drop("recipe"), -30, 0).collect())) == wanted
+
+
+def test_changed_weeks_read_lines_once_and_tell_unknown_answers(spark, tmp_path):
+    import duckdb
+
+    assert plan_of(relational.QUERIES["k06_proposal_changes"](spark, "/root/testdata/sf0.001")).count("Relation [l_orderkey") == 1
+    con = duckdb.connect()
+    for name in ("customer", "orders", "lineitem", "part"):
+        con.execute(f"create table {name} as select * from '/root/testdata/sf0.001/{name}.parquet'")
+    con.execute("update lineitem set l_returnflag = null where l_partkey % 5 = 0; update lineitem set l_quantity = null where l_partkey % 7 = 0; update lineitem set l_discount = null, l_shipdate = null where l_orderkey % 3 = 0; delete from lineitem where l_orderkey % 10 = 1")
+    for name in ("customer", "orders", "lineitem", "part"):
+        con.execute(f"copy {name} to '{tmp_path}/{name}.parquet'")
+    for name in ("k06_proposal_changes", "k05_week_proposals"):
+        got = sorted(map(repr, map(tuple, relational.QUERIES[name](spark, str(tmp_path)).collect())))
+        assert got and got == sorted(map(repr, con.execute(relational.ORACLES[name]).fetchall()))
