@@ -19,6 +19,33 @@ def test_term_pairs_are_made_once_and_not_shuffled(spark):
     assert plan_of(pairs).lstrip().startswith("Union")  # no aggregate over pairs
 
 
+def test_term_pairs_take_few_bytes_and_are_those_of_the_sql(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    rng = random.Random(19)
+    word = lambda: rng.choice(["red", "Widget", "economy", "bolt"])
+    suppliers = [(k, k % 25) for k in range(1_500)] + [(rng.choice([None, *range(-9, 30)]), rng.choice([None, *range(25)])) for _ in range(90)]
+    parts = [(k, f"{word()} {word()}", word(), k % 50) for k in range(6_000)] + [(rng.choice([None, *range(-9, 30)]), f"{word()} {word()}", rng.choice([None, word()]), rng.choice([None, *range(50)])) for _ in range(90)]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    relational.c19_term_membership(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    con = duckdb.connect()
+    for name in ("supplier", "part"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    con.execute(f"create table want as {relational.ORACLES['c19_term_membership']}; create table got as select s_suppkey, p_partkey from '{tmp_path}/out/*.parquet'")
+    assert con.execute("select count(*) from (select * from want except all select * from got)").fetchall() == con.execute("select count(*) from (select * from got except all select * from want)").fetchall() == [(0,)]
+    assert sum(f.stat().st_size for f in tmp_path.glob("out/*.parquet")) < 0.4 * con.execute("select count(*) from got").fetchone()[0]
+
+
+def test_blocks_hold_each_key_once(spark):
+    df = spark.range(5_000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), (F.col("id") % 2).alias("g"))
+    blocks = relational.in_blocks(df, ["g"], "k", 32).collect()
+    assert max(len(b.k) for b in blocks) == 32 and len({(b.g, b.deal, b.block) for b in blocks}) == len(blocks) < 180
+    assert sorted((b.g, -1 if r.k is None else r.k) for b in blocks for r in b.k) == sorted((k % 2, k or -1) for k in range(5_000))
+
+
 def test_readers_order_is_over_all_rows_and_whole_words(spark, tmp_path):
     rows = [(1, 0, "BUILDINGS"), (2, 1, "BUILDERS"), (3, 0, "BUILDERS"), (4, 1, "AUTO"), (5, 0, "AUTO"), (6, 1, "BUILDINGS")]
     spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
